@@ -43,7 +43,7 @@ def to_letters(text: str) -> str:
 class Memory(dict):
     """Values by key, computed when missing; emptied when it holds too many. Long keys are not kept."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 600_000):
         super().__init__()
         self.make, self.most = make, most
 

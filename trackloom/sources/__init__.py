@@ -1,0 +1,65 @@
+"""Table readers and the adapters from the driver's tables to tracking tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+FEET_FRAMES = T.StructType([
+    T.StructField("schema", T.StringType()),
+    T.StructField("frames", T.ArrayType(T.StructType([
+        T.StructField("frame", T.LongType()), T.StructField("frame_index", T.LongType()),
+        T.StructField("timestamp_sec", T.DoubleType()), T.StructField("time_sec", T.DoubleType()), T.StructField("timestamp", T.DoubleType()),
+        T.StructField("players", T.ArrayType(T.StructType([
+            T.StructField("object_id", T.LongType()), T.StructField("track_id", T.LongType()), T.StructField("id", T.LongType()),
+            T.StructField("floor_xy_ft", T.ArrayType(T.DoubleType())), T.StructField("source", T.StringType()), T.StructField("team", T.StringType()),
+        ]))),
+    ]))),
+])
+ROSTER = T.StructType([
+    T.StructField("schema", T.StringType()),
+    T.StructField("team", T.StructType([T.StructField("name", T.StringType()), T.StructField("abbreviation", T.StringType()), T.StructField("source_url", T.StringType())])),
+    T.StructField("players", T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()), T.StructField("number", T.IntegerType()), T.StructField("height", T.StringType()),
+        T.StructField("weight_lbs", T.IntegerType()), T.StructField("position", T.StringType()),
+    ]))),
+])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def json_documents(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+    """Whole-file JSON documents under a fixed schema; a broken one keeps its text in _corrupt_record."""
+    held = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    return spark.read.schema(held).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
+
+
+def feet_points(documents: DataFrame) -> DataFrame:
+    """One row per player and frame with a two-element position; alternative spellings are coalesced."""
+    frames = documents.select("schema", F.posexplode("frames").alias("frame_at", "f"))
+    players = frames.select("schema", "frame_at", F.coalesce("f.frame", "f.frame_index").alias("frame_index"), F.coalesce("f.timestamp_sec", "f.time_sec", "f.timestamp").alias("timestamp_sec"), F.posexplode("f.players").alias("at", "p"))
+    return players.where(F.size("p.floor_xy_ft") == 2).select("schema", "frame_index", "timestamp_sec", F.coalesce("p.object_id", "p.track_id", "p.id", F.col("at").cast("long")).alias("track_id"), F.col("p.floor_xy_ft")[0].alias("x_ft"), F.col("p.floor_xy_ft")[1].alias("y_ft"), "p.source", "p.team")
+
+
+def roster_players(documents: DataFrame) -> DataFrame:
+    """One row per player with its team; abbreviation in capitals, names trimmed."""
+    return documents.select(F.upper(F.trim("team.abbreviation")).alias("team"), F.explode("players").alias("p")).select("team", F.trim("p.name").alias("name"), "p.number", "p.height", "p.weight_lbs", "p.position")
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as observations: track is the user, frame the hour, the point (value, props.k)."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("track_id"), F.expr("unix_seconds(cast(ts as timestamp)) div 3600").alias("frame"), "event_id", F.col("event_type").alias("label"), F.col("value").alias("score"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as boxes in frames (orders), inclusive corners."""
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as frame", "l_linenumber as box", "l_partkey as part", "cast(l_quantity as double) as x0", "cast(l_discount as double) * 100 as y0", "cast(l_quantity as double) + cast(l_tax as double) * 100 + 1 as x1", "cast(l_discount as double) * 100 + l_linenumber as y1", "cast(l_extendedprice as double) as price", "l_returnflag as kind")
+
+
+def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer as a roster: team is the nation, the number c_custkey modulo 100."""
+    return table(spark, sf_dir, "customer").selectExpr("c_nationkey as team", "cast(c_custkey % 100 as int) as number", "c_name as name", "c_custkey as player_id")

@@ -1,8 +1,9 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The driver's tables are analogues: events stand for observations, lineitem for
+boxes and crops, labels for audits, customer for rosters (see ``sources``).
+"""
 
+from .catalogue import ORACLE_SQL, QUERIES, flagship
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

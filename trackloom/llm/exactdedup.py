@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import Stored, unused
 
 HEAD = struct.Struct(">QQ")
 
@@ -57,7 +57,7 @@ class Trie:
     """A Patricia trie from byte strings to (id that stays, copies)."""
 
     def __init__(self):
-        self.root, self.held = Node(b""), 0
+        self.root, self.held = Node(b""), 200
 
     def insert(self, key: bytes, owner: int | None, copies: int) -> None:
         node, at = self.root, 0
@@ -88,9 +88,12 @@ class Trie:
         stack = [(self.root, b"", True)]
         while stack:
             node, path, on_path = stack.pop()
-            if node.value is not None and not (before is not None and on_path):
-                self.held -= len(node.edge) + 200
-                yield path, node.value
+            if before is None or not on_path:
+                if node is not self.root:
+                    self.held -= len(node.edge) + 200
+                if node.value is not None:
+                    yield path, node.value
+                    node.value = None
             ahead = before[len(path) :] if before is not None and on_path else None
             for first in sorted(node.children, reverse=True):
                 child = node.children[first]
@@ -210,10 +213,11 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     a kept row are reduced to one.
     """
     marks = Stored(spark, exact_duplicates(docs), "exact").df
-    gone = marks.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
-    rest = docs.join(gone, docs.doc_id == gone._gone, "left_anti")
-    repeated = Stored(spark, marks.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"), "repeated").df
+    name = unused(docs, "gone")
+    gone = marks.where("not kept and doc_id is not null").select(F.col("doc_id").alias(name))
+    rest = docs.join(gone, docs.doc_id == gone[name], "left_anti")
+    repeated = Stored(spark, marks.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name), "repeated").df
     if repeated.isEmpty():
         return rest
-    twice = rest.join(repeated, rest.doc_id == repeated._again, "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(repeated, rest.doc_id == repeated._again, "left_anti").unionAll(twice)
+    twice = rest.join(repeated, rest.doc_id == repeated[name], "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(repeated, rest.doc_id == repeated[name], "left_anti").unionAll(twice)

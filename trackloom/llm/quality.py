@@ -102,10 +102,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_per_class: int = 250
     enters the score. A null id is never held out. Repeated rows are repeated;
     other columns are ignored.
     """
-    scored = with_score(docs.select(F.col("doc_id").cast("long"), "text"), trained(docs, labels, max_per_class))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored, _ = with_score(docs.select(F.col("doc_id").cast("long"), "text"), trained(docs, labels, max_per_class))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_per_class: int = 2500) -> DataFrame:
     """``docs`` without the documents predicted to be of low quality; all columns stay."""
-    return with_score(docs, trained(docs, labels, max_per_class)).where(F.col("_score") >= THRESHOLD).drop("_score")
+    scored, name = with_score(docs, trained(docs, labels, max_per_class))
+    return scored.where(F.col(name) >= THRESHOLD).drop(name)

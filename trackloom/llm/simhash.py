@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stored
+from .common import Stored, unused
 from .components import components
 
 RADIUS = 3
@@ -138,6 +138,6 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     near-equal texts all repeats stay: they are one document.
     """
     groups = near_duplicates(spark, docs)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Stored(spark, gone, "gone").df
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    name = unused(docs, "gone")
+    gone = Stored(spark, groups.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone").df
+    return docs.join(gone, docs.doc_id == gone[name], "left_anti")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, labelled_sample
+from .common import held_out, labelled_sample, unused
 from .linear import fit_logistic, sigmoid
 from .pretokens import Memory
 
@@ -133,22 +133,22 @@ def fit(sample: list[tuple[str, int]]) -> Model:
 
 
 class _Scored:
-    def __init__(self, model, text_at: int):
-        self.model, self.text_at = model, text_at
+    """Replaces the last column, a text in UTF-8, by its score."""
+
+    def __init__(self, model, name: str):
+        self.model, self.name = model, name
 
     def __call__(self, batches):
         for batch in batches:
-            scores = [self.model.score(t.as_py()) for t in batch.column(self.text_at)]
-            keep = [batch.column(k) for k in range(batch.num_columns) if k != self.text_at]
-            names = [n for k, n in enumerate(batch.schema.names) if k != self.text_at]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(scores, pa.float64())], names=[*names, "_score"])
+            scores = [self.model.score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], self.name])
 
 
-def with_score(docs: DataFrame, model) -> DataFrame:
-    """``docs`` and a column _score; one pass, no shuffle, all other columns as they were."""
-    carried = docs.withColumn("_bytes", F.col("text").cast("binary"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return carried.mapInArrow(_Scored(model, len(docs.columns)), schema)
+def with_score(docs: DataFrame, model) -> tuple[DataFrame, str]:
+    """``docs`` and a score column, and that column's name; one pass, no shuffle, all other columns as they were."""
+    name = unused(docs, "score")
+    carried = docs.withColumn(name, F.col("text").cast("binary"))
+    return carried.mapInArrow(_Scored(model, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])), name
 
 
 def trained(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500) -> Model:
@@ -164,10 +164,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_per_class: int = 150
     other columns are ignored.
     """
     model = trained(docs, labels, max_per_class)
-    scored = with_score(docs.select(F.col("doc_id").cast("long"), "text"), model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored, _ = with_score(docs.select(F.col("doc_id").cast("long"), "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_per_class: int = 1500) -> DataFrame:
     """``docs`` without the documents predicted toxic; all columns stay."""
-    return with_score(docs, trained(docs, labels, max_per_class)).where(F.col("_score") < THRESHOLD).drop("_score")
+    scored, name = with_score(docs, trained(docs, labels, max_per_class))
+    return scored.where(F.col(name) < THRESHOLD).drop(name)

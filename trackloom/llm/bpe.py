@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import Memory, TextEncoder, byte_letters, load_ranks, pack, to_letters
+from .pretokens import Memory, TextEncoder, byte_letters, load_ranks, loaded, pack, to_letters
 
 
 def _varint(n: int) -> bytes:
@@ -82,16 +82,6 @@ class RankBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_LOADED: dict = {}
-
-
-def loaded(key: tuple, make):
-    """One object per Python worker, reused by its later tasks."""
-    if key not in _LOADED:
-        _LOADED[key] = make()
-    return _LOADED[key]
-
-
 class _RoundTrip:
     def __init__(self, ranks_path: str, pattern: str, keep_ids: bool):
         self.ranks_path, self.pattern, self.keep_ids = ranks_path, pattern, keep_ids

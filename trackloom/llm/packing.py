@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import loaded
 from .common import Stored
-from .pretokens import TextEncoder, WordEndJson, pack
+from .pretokens import TextEncoder, WordEndJson, loaded, pack
 from .ranking import ranked
 
 CAPACITY = 4096

@@ -57,6 +57,17 @@ class Memory(dict):
         return value
 
 
+_LOADED: dict = {}
+
+
+def loaded(key: tuple, make):
+    """What ``make`` gives, kept in the Python worker for its later tasks; one operator's object at a time, so memories don't add up."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = make()
+    return _LOADED[key]
+
+
 class Uneven(Exception):
     """A piece has white space at an end."""
 

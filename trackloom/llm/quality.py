@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample
 from .linear import shift, sigmoid
-from .pretokens import Memory
+from .pretokens import Memory, loaded
 from .toxicity import with_score
 
 COLUMNS = 1 << 18
@@ -34,12 +34,10 @@ def _hashes(piece: bytes) -> bytes:
     return np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64).tobytes()
 
 
-_PIECES = Memory(_hashes)
-
-
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Columns (ascending, distinct) and values of a text."""
-    words = np.frombuffer(b"".join([_PIECES[p] for p in (text or b"").split()]), np.uint64)
+    pieces = loaded(("word-hashes",), lambda: Memory(_hashes))
+    words = np.frombuffer(b"".join([pieces[p] for p in (text or b"").split()]), np.uint64)
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0)
     marked = words.copy()

@@ -24,9 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import loaded
 from .common import new_path
-from .pretokens import ByteLevelJson, TextEncoder, pack
+from .pretokens import ByteLevelJson, TextEncoder, loaded, pack
 
 #: Fixed values of the zstandard formats: skippable frame for the ids and for the seek table, and the table's closing mark.
 IDS_MAGIC, TABLE_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1

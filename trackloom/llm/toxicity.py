@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import held_out, labelled_sample, unused
 from .linear import fit_logistic, sigmoid
-from .pretokens import Memory
+from .pretokens import Memory, loaded
 
 FRAME = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ "
 GAINS = (2, 3, 4, 6)
@@ -86,11 +86,14 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"memory": None}
 
+    def _memory(self) -> Memory:
+        bad, good = _compressor(self.toxic).compress, _compressor(self.ordinary).compress
+        return Memory(lambda w: len(good(b" " + w + b" " + FRAME)) - len(bad(b" " + w + b" " + FRAME)), 500_000)
+
     def gain(self, window: bytes) -> int:
         """Bytes by which the toxic dictionary makes the window shorter."""
         if self.memory is None:
-            bad, good = _compressor(self.toxic).compress, _compressor(self.ordinary).compress
-            self.memory = Memory(lambda w: len(good(b" " + w + b" " + FRAME)) - len(bad(b" " + w + b" " + FRAME)), 500_000)
+            self.memory = loaded(("gains", self.toxic, self.ordinary), self._memory)
         return self.memory[window]
 
     def evidence(self, text: bytes) -> list[float]:

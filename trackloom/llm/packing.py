@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stored
-from .pretokens import TextEncoder, WordEndJson, loaded, pack
+from .pretokens import MEMORY, TextEncoder, WordEndJson, loaded, pack
 from .ranking import ranked
 
 CAPACITY = 4096
@@ -116,11 +116,11 @@ class _Placed:
 
 
 class _Pieces:
-    def __init__(self, path: str, end_id: int, capacity: int, keep_ids: bool):
-        self.path, self.end_id, self.capacity, self.keep_ids = path, end_id, capacity, keep_ids
+    def __init__(self, path: str, end_id: int, capacity: int, keep_ids: bool, memory: int):
+        self.path, self.end_id, self.capacity, self.keep_ids, self.memory = path, end_id, capacity, keep_ids, memory
 
     def __call__(self, batches):
-        texts = loaded(("word-end", self.path), lambda: TextEncoder(WordEndJson(self.path)))
+        texts = loaded(("word-end", self.path, self.memory), lambda: TextEncoder(WordEndJson(self.path, self.memory), self.memory))
         end, step = pack([self.end_id]), 4 * self.capacity
         for batch in batches:
             rows = []
@@ -134,14 +134,14 @@ class _Pieces:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), with ``keep_ids`` also ids (little-endian, 32 bits each).
 
     A document is its ids and the end id; only what is longer than the
     capacity is cut. A null or empty text is the end id alone.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_Pieces(tokenizer_path, end_id, capacity, keep_ids), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_Pieces(tokenizer_path, end_id, capacity, keep_ids, memory), schema)
 
 
 def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -159,10 +159,10 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY
     return ranked(pieces, "length", order, known).mapInArrow(_Placed(plan), schema)
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Repeated rows and rows without an id are packed like any other; other
     columns of ``docs`` are ignored; an empty table gives an empty result.
     """
-    return pack_pieces(spark, Stored(spark, token_pieces(docs, tokenizer_path, end_id, capacity, keep_ids), "pieces").df, capacity)
+    return pack_pieces(spark, Stored(spark, token_pieces(docs, tokenizer_path, end_id, capacity, keep_ids, memory), "pieces").df, capacity)

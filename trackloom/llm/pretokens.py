@@ -33,6 +33,8 @@ def byte_letters() -> list[str]:
     return out
 
 
+#: Pieces, and likewise words, that a Python worker remembers; some 100 MB each.
+MEMORY = 600_000
 _TABLE = {i: c for i, c in enumerate(byte_letters())}
 
 
@@ -43,7 +45,7 @@ def to_letters(text: str) -> str:
 class Memory(dict):
     """Values by key, computed when missing; emptied when it holds too many. Long keys are not kept."""
 
-    def __init__(self, make, most: int = 600_000):
+    def __init__(self, make, most: int = MEMORY):
         super().__init__()
         self.make, self.most = make, most
 
@@ -79,13 +81,13 @@ class TextEncoder:
     says that no space goes before it.
     """
 
-    def __init__(self, piece):
+    def __init__(self, piece, most: int = MEMORY):
         def checked(part, first):
             if not part or part[0].isspace() or part[-1].isspace():
                 raise Uneven
             return piece(part, first)
 
-        self.first, self.later = Memory(lambda p: checked(p, True)), Memory(lambda p: checked(p, False))
+        self.first, self.later = Memory(lambda p: checked(p, True), most), Memory(lambda p: checked(p, False), most)
         self.piece = piece
 
     def packed(self, text: str) -> bytes:
@@ -129,13 +131,13 @@ class WordEndJson:
     #: Fixed value: the word pattern of the vocabulary file.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.split, self.model = regex.compile(self.PATTERN), self.whole.model
-        self.words = Memory(lambda w: pack([t.id for t in self.model.tokenize(to_letters(w))]))
+        self.words = Memory(lambda w: pack([t.id for t in self.model.tokenize(to_letters(w))]), most)
 
     def __call__(self, part: str, first: bool) -> bytes:
         if PLAIN.fullmatch(part):

@@ -88,7 +88,7 @@ class Model:
 
     def _memory(self) -> Memory:
         bad, good = _compressor(self.toxic).compress, _compressor(self.ordinary).compress
-        return Memory(lambda w: len(good(b" " + w + b" " + FRAME)) - len(bad(b" " + w + b" " + FRAME)), 500_000)
+        return Memory(lambda w: len(good(b" " + w + b" " + FRAME)) - len(bad(b" " + w + b" " + FRAME)), 250_000)
 
     def gain(self, window: bytes) -> int:
         """Bytes by which the toxic dictionary makes the window shorter."""

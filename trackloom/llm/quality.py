@@ -36,7 +36,7 @@ def _hashes(piece: bytes) -> bytes:
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Columns (ascending, distinct) and values of a text."""
-    pieces = loaded(("word-hashes",), lambda: Memory(_hashes, 250_000))
+    pieces = loaded(("word-hashes",), lambda: Memory(_hashes, 150_000))
     words = np.frombuffer(b"".join([pieces[p] for p in (text or b"").split()]), np.uint64)
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0)

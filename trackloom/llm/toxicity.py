@@ -88,7 +88,7 @@ class Model:
 
     def _memory(self) -> Memory:
         bad, good = _compressor(self.toxic).compress, _compressor(self.ordinary).compress
-        return Memory(lambda w: len(good(b" " + w + b" " + FRAME)) - len(bad(b" " + w + b" " + FRAME)), 250_000)
+        return Memory(lambda w: len(good(b" " + w + b" " + FRAME)) - len(bad(b" " + w + b" " + FRAME)), 150_000)
 
     def gain(self, window: bytes) -> int:
         """Bytes by which the toxic dictionary makes the window shorter."""
@@ -136,22 +136,26 @@ def fit(sample: list[tuple[str, int]]) -> Model:
 
 
 class _Scored:
-    """Replaces the last column, a text in UTF-8, by its score."""
+    """Adds the score of the text column; passes on at most ``ROWS`` rows at once, so that batches of long texts don't pile up on the way back."""
 
-    def __init__(self, model, name: str):
-        self.model, self.name = model, name
+    ROWS = 512
+
+    def __init__(self, model, name: str, at: int):
+        self.model, self.name, self.at = model, name, at
 
     def __call__(self, batches):
-        for batch in batches:
-            scores = [self.model.score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], self.name])
+        for whole in batches:
+            for start in range(0, whole.num_rows, self.ROWS):
+                batch = whole.slice(start, self.ROWS)
+                texts = batch.column(self.at).cast(pa.binary())
+                scores = [self.model.score(t.as_py()) for t in texts]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, self.name])
 
 
 def with_score(docs: DataFrame, model) -> tuple[DataFrame, str]:
     """``docs`` and a score column, and that column's name; one pass, no shuffle, all other columns as they were."""
-    name = unused(docs, "score")
-    carried = docs.withColumn(name, F.col("text").cast("binary"))
-    return carried.mapInArrow(_Scored(model, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])), name
+    name, at = unused(docs, "score"), [c.lower() for c in docs.columns].index("text")
+    return docs.mapInArrow(_Scored(model, name, at), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])), name
 
 
 def trained(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500) -> Model:

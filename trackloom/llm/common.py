@@ -39,6 +39,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH = "4m"
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """``docs``; has the session hand rows to Python by bytes and not only by number.
+
+    A batch of 10,000 long texts is held by the JVM and by the worker, each
+    with copies. A limit that the session already has is left as it is.
+    """
+    conf, limit = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(limit, None) is None:
+        conf.set(limit, BATCH)
+    return docs
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, unused
+from .common import Stored, text_batches, unused
 
 HEAD = struct.Struct(">QQ")
 
@@ -188,7 +188,7 @@ class _Digests:
 
 def text_classes(docs: DataFrame, budget: int = 48 << 20) -> DataFrame:
     """(digest, keep_id, group_size) of every distinct text. ``budget``: bytes that a trie may hold."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_LocalOwners(budget), "text_len long, content_hash long, body binary, owner long, copies long")
+    rows = text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_LocalOwners(budget), "text_len long, content_hash long, body binary, owner long, copies long")
     dealt = rows.repartition("text_len", "content_hash").sortWithinPartitions("text_len", "content_hash")
     return dealt.mapInArrow(_TrieOwners(budget), "digest binary, keep_id long, group_size long")
 
@@ -201,7 +201,7 @@ def exact_duplicates(docs: DataFrame, budget: int = 48 << 20) -> DataFrame:
     other. A repeated row (same id, same text) is the same document and is kept
     or dropped with it. Other columns of ``docs`` are ignored.
     """
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_Digests(), "doc_id long, sha binary")
+    own = text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_Digests(), "doc_id long, sha binary")
     found = own.join(text_classes(docs, budget), F.col("sha") == F.col("digest"), "left")
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import Stored, text_batches
 from .pretokens import MEMORY, TextEncoder, WordEndJson, loaded, pack
 from .ranking import ranked
 
@@ -141,7 +141,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
     capacity is cut. A null or empty text is the end id alone.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_Pieces(tokenizer_path, end_id, capacity, keep_ids, memory), schema)
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_Pieces(tokenizer_path, end_id, capacity, keep_ids, memory), schema)
 
 
 def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

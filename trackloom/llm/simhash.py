@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stored, unused
+from .common import Stored, text_batches, unused
 from .components import components
 
 RADIUS = 3
@@ -64,7 +64,7 @@ class _Fingerprints:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_Fingerprints(shingle, seed), "doc_id long, fp long")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_Fingerprints(shingle, seed), "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:

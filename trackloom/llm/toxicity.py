@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, labelled_sample, unused
+from .common import held_out, labelled_sample, text_batches, unused
 from .linear import fit_logistic, sigmoid
 from .pretokens import Memory, loaded
 
@@ -155,7 +155,7 @@ class _Scored:
 def with_score(docs: DataFrame, model) -> tuple[DataFrame, str]:
     """``docs`` and a score column, and that column's name; one pass, no shuffle, all other columns as they were."""
     name, at = unused(docs, "score"), [c.lower() for c in docs.columns].index("text")
-    return docs.mapInArrow(_Scored(model, name, at), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])), name
+    return text_batches(docs).mapInArrow(_Scored(model, name, at), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])), name
 
 
 def trained(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500) -> Model:

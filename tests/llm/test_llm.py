@@ -345,3 +345,47 @@ def test_pipeline_against_plain_version(spark):
     kept = {i for i, g in group.items() if i == g}
     got = pipeline.run(spark, folder)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == kept
+
+
+def _similar_texts():
+    """Sources with edited copies (Jaccard around 0.8 of five-word shingles), a wide group, a common line and odd rows."""
+    r, out = random.Random(5), []
+    line = " ".join(f"common{k}" for k in range(12))
+    for g in range(12):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.choice([8, 60, 150, 400]))]
+        for _ in range(60 if g == 0 else 5):
+            own = list(base)
+            for _ in range(r.randrange(0, 2 + len(base) // 45)):
+                own[r.randrange(len(own))] = f"e{r.randrange(10**6)}"
+            out.append(" ".join(own))
+    out += [line + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(20)) for _ in range(40)]
+    out += ["", None, "  ", "one", "ONE", "one two", "a b c d", "a b c d e", out[3].replace(" ", "\n"), out[8].upper()]
+    r.shuffle(out)
+    return [(None if k % 37 == 5 else k, t) for k, t in enumerate(out)]
+
+
+def test_near_stage_finds_all_similar_texts(spark):
+    setjoin = pytest.importorskip("trackloom.llm.setjoin")
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = _similar_texts()
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().encode().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    group, pairs = list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y, pairs = group[a], group[b], pairs + 1
+                group = [y if g == x else g for g in group]
+    least = {}
+    for g, (i, _) in zip(group, rows, strict=True):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    want = sorted((i is None, i or 0, t or "") for g, (i, t) in zip(group, rows, strict=True) if i is None or least[g] == i)
+    assert pairs > 100 and len(want) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.text or "") for x in pipeline.drop_near_copies(spark, docs, "").collect()) == want
+    assert setjoin.keep_one(spark, docs.limit(0)).count() == 0
+    other = spark.createDataFrame([(1, rows[0][1]), (2, rows[0][1]), (2, "another text that stands nowhere else")], "doc_id long, text string")
+    assert sorted(x.text for x in setjoin.keep_one(spark, other).where("doc_id = 2").collect()) == ["another text that stands nowhere else"]

@@ -389,3 +389,11 @@ def test_near_stage_finds_all_similar_texts(spark):
     assert setjoin.keep_one(spark, docs.limit(0)).count() == 0
     other = spark.createDataFrame([(1, rows[0][1]), (2, rows[0][1]), (2, "another text that stands nowhere else")], "doc_id long, text string")
     assert sorted(x.text for x in setjoin.keep_one(spark, other).where("doc_id = 2").collect()) == ["another text that stands nowhere else"]
+
+
+def test_exact_stage_with_null_ids_and_one_id_with_two_texts(spark):
+    rows = [(None, "a"), (3, "A"), (None, "b"), (None, "B"), (1, "c"), (2, "c"), (1, "only here"), (7, "d"), (7, "D"), (7, "d"), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = exactdedup.keep_one(spark, docs).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, (r.text or "").lower()) for r in kept)
+    assert got == [(False, 1, "only here"), (False, 2, "c"), (False, 3, "a"), (False, 4, ""), (False, 7, "d"), (True, 0, "b")]

@@ -210,14 +210,22 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts; all columns stay.
 
     Rows without an id stay only where their whole group has none. Repeats of
-    a kept row are reduced to one.
+    a kept row are reduced to one. A row is told by id and text, so losing
+    with one text does not touch another text of the same id.
     """
-    marks = Stored(spark, exact_duplicates(docs), "exact").df
-    name = unused(docs, "gone")
-    gone = marks.where("not kept and doc_id is not null").select(F.col("doc_id").alias(name))
-    rest = docs.join(gone, docs.doc_id == gone[name], "left_anti")
-    repeated = Stored(spark, marks.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name), "repeated").df
+    same, raw, sha = unused(docs, "same"), unused(docs, "raw"), unused(docs, "sha")
+    digest = lambda: F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)
+    rows = text_batches(docs).select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("raw")).alias("row"), F.col("text").cast("binary"))
+    own = rows.mapInArrow(_Digests(), "doc_id struct<doc_id: long, raw: string>, sha binary").select("doc_id.doc_id", "doc_id.raw", "sha")
+    found = own.join(text_classes(docs), F.col("sha") == F.col("digest"))
+    marks = Stored(spark, found.select(F.col("doc_id").alias(same), F.col("raw").alias(raw), F.col("sha").alias(sha), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")), "exact").df
+    its = lambda df: docs["doc_id"].eqNullSafe(df[same]) & (digest() == df[raw])
+    gone = marks.where("not kept").select(same, raw).distinct()
+    rest = docs.join(gone, its(gone), "left_anti")
+    kept = marks.where("kept")
+    often = kept.groupBy(sha).count().where("count > 1").select(sha)
+    repeated = Stored(spark, kept.join(often, sha).select(same, raw, sha).distinct(), "repeated").df
     if repeated.isEmpty():
         return rest
-    twice = rest.join(repeated, rest.doc_id == repeated[name], "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(repeated, rest.doc_id == repeated[name], "left_anti").unionAll(twice)
+    twice = rest.join(repeated, its(repeated)).dropDuplicates([sha]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rest.join(repeated, its(repeated), "left_anti").unionAll(twice)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,3 +43,42 @@ def resolve(lookups: DataFrame, roster: DataFrame) -> DataFrame:
     met = lookups.join(counts, ["team", "number"], "left").join(teams, F.col("team") == F.col("_team"), "left")
     status = F.when(F.col("number").isNull() | ~F.col("number").between(0, 99), "invalid_number").when(F.col("_team").isNull(), "team_not_found").when(F.col("_n").isNull(), "not_found").when(F.col("_n") > 1, "ambiguous").otherwise("resolved")
     return met.withColumn("status", status).select("lookup_id", "team", "number", "status", F.when(~F.col("status").isin("invalid_number", "team_not_found"), F.coalesce("_n", F.lit(0))).alias("candidate_count"), F.when(F.col("status") == "resolved", F.col("_one")).alias("player_id"))
+
+
+def supported_vote(attempts: DataFrame, keys: list[str], zero_is_null: bool = False) -> DataFrame:
+    """One representative attempt per group: G25 per track and frame, G24 (``zero_is_null``) per crop.
+
+    Two-digit numbers with two attempts go before all others; then attempts,
+    summed confidence (null: 0.25) and the smaller text decide. ``consensus`` is
+    the winner's share of attempts. Of the winner's rows the one of highest
+    confidence, then readiness stands. Groups without a number have no row.
+    """
+    confidence = F.when(F.col("confidence") != 0, F.col("confidence")) if zero_is_null else F.col("confidence")
+    each, all_ = Window.partitionBy(*keys, "number"), Window.partitionBy(*keys)
+    own = attempts.where(F.length("number") > 0).withColumns({"n": F.count(F.lit(1)).over(each), "_sum": F.sum(F.coalesce(confidence, F.lit(0.25))).over(each), "_all": F.count(F.lit(1)).over(all_)})
+    supported = (F.length("number") == 2) & (F.col("n") >= 2)
+    order = [F.desc(supported), F.desc("n"), F.desc("_sum"), F.col("number"), F.desc(F.coalesce("confidence", F.lit(0.0))), F.desc(F.coalesce("readiness", F.lit(0.0)))]
+    best = own.withColumn("_at", F.row_number().over(all_.orderBy(*order))).where("_at = 1")
+    return best.withColumn("consensus", F.col("n") / F.col("_all")).withColumnRenamed("_sum", "confidence_sum").drop("_at", "_all")
+
+
+def _ranked(rows: DataFrame, weight: Column, ties: list[Column]) -> DataFrame:
+    """Leading number per track; a one-digit number contained in a two-digit candidate weighs a quarter."""
+    track = Window.partitionBy("track_id")
+    named = rows.where(F.length("number") > 0).groupBy("track_id", "number").agg(F.count(F.lit(1)).alias("votes"), F.sum(weight).alias("weight"))
+    longer = F.collect_set(F.when(F.length("number") == 2, F.col("number"))).over(track)
+    partial = (F.length("number") == 1) & F.exists(longer, lambda c: c.contains(F.col("number")))
+    weighed = named.withColumn("partial", partial).withColumn("weight", F.col("weight") * F.when(F.col("partial"), 0.25).otherwise(1.0))
+    ranked = weighed.withColumns({"total": F.sum("weight").over(track), "usable": F.sum("votes").over(track), "_at": F.row_number().over(track.orderBy(F.desc("weight"), *ties, F.col("number")))})
+    return ranked.where("_at = 1").withColumn("consensus", F.when(F.col("total") != 0, F.col("weight") / F.col("total")).otherwise(0.0))
+
+
+def aggregate_tracks(attempts: DataFrame, two_digits: int = 2, one_digit: int = 3, least: float = 0.67) -> DataFrame:
+    """G26 over attempts (track_id, frame, number, confidence, readiness); a null confidence weighs 0.3. Tracks without a number have a null one."""
+    rows = supported_vote(attempts, ["track_id", "frame"])
+    weight = F.coalesce("confidence", F.lit(0.3)) * F.greatest(F.lit(0.1), F.coalesce("readiness", F.lit(0.0)))
+    best = _ranked(rows, weight, [F.desc("votes")])
+    needed = F.when(F.length("number") == 1, one_digit).otherwise(two_digits)
+    reason = F.when(F.col("number").isNull(), "no_candidate").when(F.col("partial"), "partial_digit_conflict").when(F.col("votes") < needed, "too_few_votes").when(F.col("consensus") < least, "no_consensus").otherwise("accepted")
+    known = attempts.select("track_id").distinct().join(best, "track_id", "left")
+    return known.select("track_id", "number", F.coalesce("votes", F.lit(0)).alias("votes"), F.coalesce("consensus", F.lit(0.0)).alias("consensus"), reason.alias("reason"))

@@ -14,3 +14,12 @@ def test_frame_and_track_votes(spark):
     assert first[1] == "27" and first[2] == "42"
     got = {r.track_id: (r.number, r.reason) for r in votes.aggregate_tracks(attempts).collect()}
     assert got == {1: ("27", "too_few_votes"), 2: ("42", "too_few_votes"), 3: ("8", "too_few_votes"), 4: ("8", "accepted"), 5: ("12", "accepted"), 6: (None, "no_candidate")}
+
+
+def test_simple_votes_and_best_attempt(spark):
+    rows = [(1, 1, "1", 1.2, None), (1, 1, "12", 1.0, None), (2, 1, "5", None, None), (3, 1, None, 0.9, None)]
+    got = {r.track_id: (r.leading, r.consensus, r.status) for r in votes.simple_votes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: ("12", 0.769231, "accepted"), 2: ("5", 1.0, "uncertain"), 3: (None, 0.0, "uncertain")}
+    rows = [(1, 1, "99", 0.99, None)] + [(1, 1, "23", 0.0, None)] * 3
+    best = votes.supported_vote(spark.createDataFrame(rows, SCHEMA), ["track_id", "frame"], zero_is_null=True).first()
+    assert (best.number, best.n, best.consensus, best.confidence_sum) == ("23", 3, 0.75, 0.75)

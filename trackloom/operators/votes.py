@@ -82,3 +82,11 @@ def aggregate_tracks(attempts: DataFrame, two_digits: int = 2, one_digit: int =
     reason = F.when(F.col("number").isNull(), "no_candidate").when(F.col("partial"), "partial_digit_conflict").when(F.col("votes") < needed, "too_few_votes").when(F.col("consensus") < least, "no_consensus").otherwise("accepted")
     known = attempts.select("track_id").distinct().join(best, "track_id", "left")
     return known.select("track_id", "number", F.coalesce("votes", F.lit(0)).alias("votes"), F.coalesce("consensus", F.lit(0.0)).alias("consensus"), reason.alias("reason"))
+
+
+def simple_votes(attempts: DataFrame, minimum: int = 2, least: float = 0.67) -> DataFrame:
+    """G27 over attempts (track_id, number, confidence); a null confidence weighs 1. All usable attempts count towards ``minimum``."""
+    best = _ranked(attempts, F.coalesce("confidence", F.lit(1.0)), [])
+    known = attempts.select("track_id").distinct().join(best, "track_id", "left")
+    status = F.when((F.col("usable") >= minimum) & (F.col("consensus") >= least), "accepted").otherwise("uncertain")
+    return known.select("track_id", F.col("number").alias("leading"), F.round(F.coalesce("consensus", F.lit(0.0)), 6).alias("consensus"), status.alias("status"))

@@ -22,11 +22,11 @@ def range_join(left: DataFrame, right: DataFrame, at: str, other: str, lowest: i
 
 
 def nearest_join(points: DataFrame, frames: DataFrame, frame: str, key: str, most: int) -> DataFrame:
-    """Each point with its nearest keyframe, ties to the lower one; null beyond ``most``. ``frames`` is a short list of keyframes.
+    """Each point with its nearest keyframe, ties to the lower one; null beyond ``most``. All keyframes count.
 
-    Distances are taken per distinct frame, not per point.
+    Distances are taken per distinct frame, not per point, to every keyframe.
     """
-    near = points.select(frame).distinct().join(F.broadcast(frames.limit(10_000)), F.lit(True)).groupBy(frame).agg(F.min(F.struct(F.abs(F.col(frame) - F.col(key)).alias("gap"), F.col(key).alias("key"))).alias("_n"))
+    near = points.select(frame).distinct().crossJoin(frames).groupBy(frame).agg(F.min(F.struct(F.abs(F.col(frame) - F.col(key)).alias("gap"), F.col(key).alias("key"))).alias("_n"))
     held = near.select(F.col(frame).alias("_f"), F.when(F.col("_n.gap") <= most, F.col("_n.key")).alias("keyframe"), F.col("_n.gap").alias("frame_distance"))
     return points.join(held, points[frame] == held._f, "left").drop("_f")
 

@@ -30,6 +30,26 @@ def smoothed_rows(grid: DataFrame, sigma: float, reach: int) -> DataFrame:
     return sent.groupBy((F.col("cell_x") + F.col("k.dx")).alias("cell_x"), "cell_y").agg(F.sum(F.col("n") * F.col("k.w")).alias("smooth"))
 
 
+def _along(grid: DataFrame, axis: str, other: str, cells: int, sigma: float, reach: int) -> DataFrame:
+    """One pass of a Gaussian whose border cells stand for all beyond them; weight outside the field is not made."""
+    weights = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
+    total, last = sum(weights), cells - 1
+    one = F.array(*[F.lit(w / total) for w in weights])
+    upto = F.array(*[F.lit(sum(weights[: k + 1]) / total) for k in range(len(weights))])
+    at, to = F.col(axis), F.col("to")
+    sent = grid.select(axis, other, "n", F.explode(F.sequence(F.greatest(at - reach, F.lit(0)), F.least(at + reach, F.lit(last)))).alias("to"))
+    pick = lambda table, k: F.element_at(table, (k + reach + 1).cast("int"))
+    weight = F.when((at == 0) & (at == last), 1.0).when(at == 0, pick(upto, -to)).when(at == last, pick(upto, to - last)).otherwise(pick(one, at - to))
+    return sent.groupBy(to.alias(axis), other).agg(F.sum(F.col("n") * weight).alias("n"))
+
+
+def smoothed_field(grid: DataFrame, width: int, height: int, sigma: float, reach: int) -> DataFrame:
+    """A Gaussian along x and y with replicated borders; the grid itself when sigma is not positive."""
+    if sigma > 0:
+        grid = _along(_along(grid, "cell_x", "cell_y", width, sigma, reach), "cell_y", "cell_x", height, sigma, reach)
+    return grid.select("cell_x", "cell_y", F.col("n").cast("double").alias("smooth"))
+
+
 def cumulative(points: DataFrame) -> DataFrame:
     """Points seen up to each frame, over all tracks, from per-frame counts."""
     counts = points.groupBy("frame").agg(F.count(F.lit(1)).alias("n"))

@@ -41,3 +41,11 @@ def active_tracks(observations: DataFrame, least: int = 3, overlap: float = 0.25
     t = observations.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("overlap", F.lit(0.0))).alias("mean_overlap"), F.max("referee").alias("referee"), F.max("bench").alias("bench"))
     why = reasons((F.col("n") < least, "track_too_short"), (F.col("mean_overlap") < overlap, "low_field_overlap"), (F.col("referee") >= limit, "referee"), (F.col("bench") >= limit, "bench_or_crowd"))
     return t.withColumn("reasons", why).withColumn("kept", F.size("reasons") == 0)
+
+
+def best_paths(rows: DataFrame, group: list[str], path: str, score: str, position: str, n: int) -> DataFrame:
+    """Per group the first n distinct non-empty paths by falling score (null: 0), ties by ``position``, as an ordered list."""
+    order = [F.desc(F.coalesce(score, F.lit(0.0))), F.col(position)]
+    best = top_n_distinct(rows.where(F.length(path) > 0), group, path, order, n)
+    found = best.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", path))), lambda s: s[path]).alias("paths"))
+    return rows.select(*group).distinct().join(found, group, "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))

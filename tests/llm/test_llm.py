@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -160,11 +161,19 @@ def test_piecewise_ids_are_the_librarys(name):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(P.path(name))
-    whole.encode_special_tokens = True
     piece = pretokens.ByteLevelJson(P.path(name), P.PATTERN) if name.startswith("byte") else pretokens.WordEndJson(P.path(name))
     own = pretokens.TextEncoder(piece)
-    for t in ["", " ", "a", " a", "a ", "a  b", "a\n b", "\x85x y\xa0z", *_texts()]:
+    many = ["", " ", "a", " a", "a ", "a  b", "a\n b", "a\nb.\nÉté, c", "x <|endoftext|> y", "a<|EndOfText|>", "<|startoftext|>b c", "\x85x y\xa0z", *_texts()]
+    for t in many:
         assert np.frombuffer(own.packed(t), np.uint32).tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    for most in (600_000, 20):
+        own = pretokens.TextEncoder(piece, most)
+        for _ in range(2):
+            ids, bounds = own.batch(pa.array([None, *many]))
+            assert bounds.tolist()[:2] == [0, 0] and len(bounds) == len(many) + 2
+            for k, t in enumerate(many, 1):
+                assert ids[bounds[k] : bounds[k + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    assert own.batch(pa.array([], pa.string()))[1].tolist() == [0]
 
 
 def _labelled(spark, bad, n=240):
@@ -239,7 +248,6 @@ def test_packing(spark, docs, rows, none):
 
     path = P.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     got = packing.pack_documents(spark, docs, path, keep_ids=True).toPandas()
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
@@ -291,7 +299,6 @@ def test_token_files(spark, docs, rows, none):
 
     path = P.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     got = seekable.round_trip(spark, docs, path, P.PATTERN).orderBy("start").collect()
     assert len(got) == len(rows) and [g.doc_id or -1 for g in got] == sorted(g.doc_id or -1 for g in got)
     own, at = {i: np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], np.uint32) for i, t, *_ in rows if i is not None}, 0

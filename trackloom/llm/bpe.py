@@ -15,8 +15,8 @@ from array import array
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .common import id_and_text
 from .pretokens import Memory, TextEncoder, byte_letters, load_ranks, loaded, pack, to_letters
 
 
@@ -65,14 +65,19 @@ class RankBpe:
         self.ranks = {t: r for r, t in enumerate(self.tokens)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
         self.split = regex.compile(pattern)
-        self.words = Memory(self._word)
-        self.texts = TextEncoder(self._part)
+        self.decimals = list(map(str, range(len(self.tokens))))
+        self.markers, self.words = (), Memory(self.word, 20_000)
+        self.tails, self.newline = {c: self.word(c) for c in ".,;:!?)"}, self.word("\n")
+        self.texts = TextEncoder(self)
 
-    def _word(self, word: str) -> bytes:
+    def word(self, word: str) -> bytes:
         whole = self.ranks.get(word.encode())
         return pack(self.model.encode(to_letters(word)) if whole is None else [whole])
 
-    def _part(self, part: str, first: bool) -> bytes:
+    def key(self, part: str, first: bool) -> str:
+        return part if first else " " + part
+
+    def __call__(self, part: str, first: bool) -> bytes:
         return b"".join([self.words[w] for w in self.split.findall(part if first else " " + part)])
 
     def encode(self, text: str) -> array:
@@ -90,15 +95,16 @@ class _RoundTrip:
         bpe = loaded(("rank-bpe", self.ranks_path, self.pattern), lambda: RankBpe(self.ranks_path, self.pattern))
         for batch in batches:
             out = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if self.keep_ids else {})
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = bpe.encode(text.as_py() or "")
+            flat, bounds = bpe.texts.batch(batch.column(1))
+            for k, doc_id in enumerate(batch.column(0).to_pylist()):
+                ids = flat[bounds[k] : bounds[k + 1]].tolist()
                 back = bpe.decode(ids)
                 out["doc_id"].append(doc_id)
                 out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                out["ids_sha256"].append(hashlib.sha256(",".join(map(bpe.decimals.__getitem__, ids)).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
                 if self.keep_ids:
-                    out["ids"].append(ids.tolist())
+                    out["ids"].append(ids)
                     out["decoded"].append(back)
             kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int64()), "decoded": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()], names=list(out))
@@ -110,7 +116,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
     Columns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas)
     and decoded_sha256; with ``keep_ids`` also ids and the decoded bytes. A
     null or empty text has no tokens; a repeated row gives a repeated result;
-    other columns of ``docs`` are ignored. No shuffle: one pass over the texts.
+    other columns of ``docs`` are ignored. Bytes that are not UTF-8 count as
+    the replacement character. No shuffle: one pass over the texts.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded binary" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_RoundTrip(ranks_path, pattern, keep_ids), schema)
+    return id_and_text(docs).mapInArrow(_RoundTrip(ranks_path, pattern, keep_ids), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a folder of our own is made and recorded there.
+    and all tasks run in this process (tests on one machine) a folder of our
+    own is made and recorded there; on a cluster that is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="trackloom-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -47,7 +51,8 @@ def text_batches(docs: DataFrame) -> DataFrame:
     """``docs``; has the session hand rows to Python by bytes and not only by number.
 
     A batch of 10,000 long texts is held by the JVM and by the worker, each
-    with copies. A limit that the session already has is left as it is.
+    with copies. Every operator that hands texts to Python calls this, so none
+    depends on what ran before. A limit that the session already has is left.
     """
     conf, limit = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(limit, None) is None:
@@ -55,6 +60,11 @@ def text_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in batches by bytes. Bytes that are not UTF-8 become the replacement character, one rule for all encoders."""
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string")).alias("text"))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, text_batches
-from .pretokens import MEMORY, TextEncoder, WordEndJson, loaded, pack
+from .common import Stored, id_and_text, unused
+from .pretokens import MEMORY, TextEncoder, WordEndJson, loaded
 from .ranking import ranked
 
 CAPACITY = 4096
@@ -98,6 +98,8 @@ class Plan:
 
 
 class _Placed:
+    """Adds the places; the first two columns are the length and the rank, which are not passed on."""
+
     def __init__(self, plan: Plan):
         runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 5)
         self.length, self.rank, self.bins, self.first, self.offset = runs.T.copy()
@@ -106,13 +108,11 @@ class _Placed:
 
     def __call__(self, batches):
         for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False)
+            length, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             run = np.searchsorted(self.keys, (length << 48) + rank, side="right") - 1
             turn, within = np.divmod(rank - self.rank[run], self.bins[run])
             places = [pa.array(self.first[run] + within), pa.array(self.offset[run] + turn * length)]
-            keep = [n for n in batch.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *places], names=[*keep, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *places], names=[*batch.schema.names[2:], "sequence_id", "offset"])
 
 
 class _Pieces:
@@ -120,15 +120,16 @@ class _Pieces:
         self.path, self.end_id, self.capacity, self.keep_ids, self.memory = path, end_id, capacity, keep_ids, memory
 
     def __call__(self, batches):
-        texts = loaded(("word-end", self.path, self.memory), lambda: TextEncoder(WordEndJson(self.path, self.memory), self.memory))
-        end, step = pack([self.end_id]), 4 * self.capacity
+        texts = loaded(("word-end", self.path, self.memory), lambda: TextEncoder(WordEndJson(self.path), self.memory))
+        step, end = self.capacity, np.array([self.end_id], np.uint32)
         for batch in batches:
+            flat, bounds = texts.batch(batch.column(1))
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = texts.packed(text.as_py() or "") + end
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                ids = np.concatenate([flat[bounds[i] : bounds[i + 1]], end])
                 for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if self.keep_ids else [])))
+                    part = ids[at : at + step].tobytes()
+                    rows.append((doc_id, k, at, len(part) // 4, zlib.crc32(part), *([part] if self.keep_ids else [])))
             kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if self.keep_ids else {})
             columns = zip(*rows) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
@@ -138,25 +139,31 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity
     """(doc_id, piece, start, length, ids_crc32), with ``keep_ids`` also ids (little-endian, 32 bits each).
 
     A document is its ids and the end id; only what is longer than the
-    capacity is cut. A null or empty text is the end id alone.
+    capacity is cut. A null or empty text is the end id alone. Bytes that are
+    not UTF-8 count as the replacement character; strings of special tokens in
+    a text are those tokens, as the library has it.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
-    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_Pieces(tokenizer_path, end_id, capacity, keep_ids, memory), schema)
+    return id_and_text(docs).mapInArrow(_Pieces(tokenizer_path, end_id, capacity, keep_ids, memory), schema)
 
 
 def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset: their places in as few sequences as best fit finds.
 
     ``pieces`` must be stored (it is read three times) and needs length,
-    between 1 and the capacity; all other columns stay. Offsets in a sequence
-    are gapless from 0.
+    between 1 and the capacity; all other columns stay, except that columns
+    called sequence_id or offset give way to the new ones. Offsets in a
+    sequence are gapless from 0.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     counts = pieces.groupBy("length").count()
     plan = Plan({r["length"]: r["count"] for r in counts.collect()}, capacity)  # a row per length: 4096 at most
     known = spark.createDataFrame([(n, c) for n, c in plan.used.items()], "length long, count long")
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
+    rank = unused(pieces, "rank")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked(pieces, "length", order, known).mapInArrow(_Placed(plan), schema)
+    placed = ranked(pieces, "length", order, known, rank=rank)
+    return placed.select(F.col("length").alias("_0"), F.col(rank).alias("_1"), *[F.col(f"`{c}`") for c in pieces.columns]).mapInArrow(_Placed(plan), schema)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False, memory: int = MEMORY) -> DataFrame:

@@ -14,11 +14,16 @@ import base64
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Pieces for which the library's splitting is restated with a pattern here; all others go to the library whole.
 PLAIN = re.compile(r"[!-~¡-ɏ](?:[!-~¡-ɏ\n]*[!-~¡-ɏ])?")
 SPACED = re.compile(r"(?<=\S) (?=\S)")
+#: All white space, as Python and the vocabularies' patterns have it.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def byte_letters() -> list[str]:
@@ -33,29 +38,36 @@ def byte_letters() -> list[str]:
     return out
 
 
-#: Pieces, and likewise words, that a Python worker remembers; some 100 MB each.
+#: Pieces that a Python worker remembers; some 100 MB.
 MEMORY = 600_000
 _TABLE = {i: c for i, c in enumerate(byte_letters())}
 
 
 def to_letters(text: str) -> str:
+    if text.isascii() and (text.isalpha() or text[0] == " " and text[1:].isalpha()):
+        return "Ġ" + text[1:] if text[0] == " " else text
     return text.encode().decode("latin-1").translate(_TABLE)
 
 
 class Memory(dict):
-    """Values by key, computed when missing; emptied when it holds too many. Long keys are not kept."""
+    """Values by key, computed when missing. It holds ``most`` at the most, in two halves: a full younger one replaces the older, so what recurs stays. Long keys are not kept."""
 
     def __init__(self, make, most: int = MEMORY):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half, self.old = make, max(1, most // 2), {}
+
+    def keep(self, key, value) -> None:
+        if len(key) <= 80:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) > 80:
-            return value
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            self.keep(key, value)
         return value
 
 
@@ -70,79 +82,151 @@ def loaded(key: tuple, make):
     return _LOADED[key]
 
 
-class Uneven(Exception):
-    """A piece has white space at an end."""
-
-
 class TextEncoder:
-    """``packed(text)``: the ids of a text as native unsigned 32-bit integers.
+    """The ids of texts as native unsigned 32-bit integers, one text at a time or a batch at once.
 
     ``piece(text, first)`` must give the packed ids of one piece; ``first``
-    says that no space goes before it.
+    says that no space goes before it. ``piece.markers`` are strings that the
+    library takes for special tokens, ``piece.whole_text`` encodes a text that
+    holds one. Such texts, and texts in which a piece has white space at an
+    end, are told apart in a batch and encoded one by one.
     """
 
     def __init__(self, piece, most: int = MEMORY):
-        def checked(part, first):
-            if not part or part[0].isspace() or part[-1].isspace():
-                raise Uneven
-            return piece(part, first)
-
-        self.first, self.later = Memory(lambda p: checked(p, True), most), Memory(lambda p: checked(p, False), most)
+        self.first, self.later = Memory(lambda p: piece(p, True), 20_000), Memory(lambda p: piece(p, False), most)
         self.piece = piece
 
+    def _later(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of pieces that follow a space, or begin with a line feed in its stead. A piece that is a Latin word, or one with a mark behind it, is encoded as just that."""
+        own, memory = self.piece, self.later
+        out, old = list(map(memory.get, pieces)), memory.old
+        word, tails = own.word, own.tails
+        for k, found in enumerate(out):
+            if found is None:
+                p = pieces[k]
+                found = old.get(p)
+                if found is None:
+                    line = p[:1] == "\n"
+                    body = p[1:] if line else p
+                    core, tail = (body[:-1], tails[body[-1]]) if body[-1:] in tails else (body, b"")
+                    if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core) and core.lower().isalpha()):
+                        found = word(own.key(core, line)) + tail
+                    else:
+                        found = own(body, line) if body else b""
+                    found = own.newline + found if line else found
+                    memory.keep(p, found)
+                out[k] = found
+        return out
+
     def packed(self, text: str) -> bytes:
         if not text:
             return b""
-        later = self.later
-        parts = text.split(" ")
-        try:
-            head = self.first[parts[0]]
-            return head + b"".join([later[p] for p in parts[1:]])
-        except Uneven:
-            parts = SPACED.split(text)
-            return b"".join([self.piece(p, not k) if p[:1].isspace() or p[-1:].isspace() else later[p] if k else self.first[p] for k, p in enumerate(parts)])
+        if any(m in text.lower() for m in self.piece.markers):
+            return self.piece.whole_text(text)
+        parts = SPACED.split(text)
+        return b"".join([self.piece(p, not k) if not p or p[0].isspace() or p[-1].isspace() else self.later[p] if k else self.first[p] for k, p in enumerate(parts)])
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, bounds of each text in them). A null text is empty.
+
+        Every distinct piece of the batch is looked up once; the ids are then
+        gathered without a loop over pieces.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        odd = np.zeros(len(texts), bool)
+        for m in self.piece.markers:
+            odd |= pc.match_substring(texts, m, ignore_case=True).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        known = coded.dictionary
+        body = pc.if_else(pc.starts_with(known, "\n"), pc.utf8_slice_codeunits(known, 1), known)
+        uneven = pc.or_(pc.equal(body, ""), pc.not_equal(pc.utf8_trim(body, BLANKS), body)).to_numpy(zero_copy_only=False)
+        codes, pieces = coded.indices.to_numpy().astype(np.int64), known.to_pylist()
+        if uneven.any():
+            odd |= np.logical_or.reduceat(uneven[codes], ends[:-1])
+        whole = np.flatnonzero(odd)
+        used = np.ones(len(codes), bool)
+        used[ends[:-1]] = False  # first pieces have a table entry of their own, whole texts have one for all their pieces
+        for k in whole:
+            used[ends[k] : ends[k + 1]] = False
+        wanted = np.zeros(len(pieces), bool)
+        wanted[codes[used]] = True
+        packed = self._later([p if w else "" for p, w in zip(pieces, wanted.tolist(), strict=True)])
+        empty, heads = len(packed), ends[:-1]
+        packed.append(b"")
+        odds, firsts = set(whole.tolist()), codes[heads].tolist()
+        packed += [self.packed(texts[k].as_py()) if k in odds else self.first[pieces[c]] for k, c in enumerate(firsts)]
+        for k in whole:
+            codes[ends[k] : ends[k + 1]] = empty
+        codes[heads] = empty + 1 + np.arange(len(heads))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        table, starts = np.frombuffer(b"".join(packed), np.uint32), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        each = sizes[codes]
+        upto = np.cumsum(each)
+        ids = table[np.repeat(starts[codes] - (upto - each), each) + np.arange(int(upto[-1]))]
+        return ids, np.concatenate([[0], upto])[ends]
 
 
 def pack(ids) -> bytes:
     return array("I", ids).tobytes()
 
 
-class ByteLevelJson:
-    """Piece encoder over a ``tokenizers`` file with byte-level splitting."""
+class _Json:
+    """What both kinds of ``tokenizers`` files share. Special tokens are found in a text as the library finds them."""
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.split, self.model = regex.compile(pattern), self.whole.model
-        self.words = Memory(lambda w: pack([t.id for t in self.model.tokenize(to_letters(w))]))
+        self.markers = tuple({t.content.lower() for t in self.whole.get_added_tokens_decoder().values()})
+        self.words = Memory(self.word, 20_000)
+        #: Marks that are words of their own behind a word.
+        self.tails, self.newline = {c: self.word(c) for c in ".,;:!?)"}, self.whole_text("\n")
+
+    def word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(to_letters(word))]).tobytes()
+
+    def whole_text(self, text: str) -> bytes:
+        return pack(self.whole.encode(text, add_special_tokens=False).ids)
+
+    def largest(self) -> int:
+        """The largest id of the vocabulary."""
+        return max(self.whole.get_vocab(with_added_tokens=True).values())
+
+
+class ByteLevelJson(_Json):
+    """Piece encoder over a ``tokenizers`` file with byte-level splitting."""
+
+    def key(self, part: str, first: bool) -> str:
+        return part if first else " " + part
 
     def __call__(self, part: str, first: bool) -> bytes:
         text = part if first else " " + part
         if PLAIN.fullmatch(part):
             return b"".join([self.words[w] for w in self.split.findall(text)])
-        return pack(self.whole.encode(text, add_special_tokens=False).ids)
+        return self.whole_text(text)
 
 
-class WordEndJson:
+class WordEndJson(_Json):
     """Piece encoder over a ``tokenizers`` file that lower-cases and drops white space."""
 
     #: Fixed value: the word pattern of the vocabulary file.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, most: int = MEMORY):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        super().__init__(path, self.PATTERN)
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.split, self.model = regex.compile(self.PATTERN), self.whole.model
-        self.words = Memory(lambda w: pack([t.id for t in self.model.tokenize(to_letters(w))]), most)
+    def key(self, part: str, first: bool) -> str:
+        return part.lower()
 
     def __call__(self, part: str, first: bool) -> bytes:
         if PLAIN.fullmatch(part):
             return b"".join([self.words[w] for w in self.split.findall(part.lower())])
-        return pack(self.whole.encode(part, add_special_tokens=False).ids)
+        return self.whole_text(part)
 
 
 def load_ranks(path: str) -> list[bytes]:

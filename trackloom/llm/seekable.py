@@ -5,7 +5,7 @@ skippable frame with the documents' ids, then a skippable frame with the seek
 table: per frame its compressed size, its size, and the low 32 bits of the
 XXH64 of its content. Readers take the table from the end of the file and
 decompress only the frames they want. Ids are stored in 16 bits where the
-vocabulary allows it, else in 32.
+largest id of the vocabulary allows it, else in 32.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from array import array
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
-from .pretokens import ByteLevelJson, TextEncoder, loaded, pack
+from .common import id_and_text, new_path
+from .pretokens import ByteLevelJson, TextEncoder, loaded
 
 #: Fixed values of the zstandard formats: skippable frame for the ids and for the seek table, and the table's closing mark.
 IDS_MAGIC, TABLE_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -47,6 +45,9 @@ class FileWriter:
         self.entries, self.documents, self.tokens = [], [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        """One document; an id that the file's width can't hold is an error."""
+        if self.width == 2 and len(ids) and int(ids.max()) > 0xFFFF:
+            raise ValueError(f"id {int(ids.max())} needs more than 16 bits")
         body = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
         frame = self.zstd.compress(body)
         self.out.write(frame)
@@ -109,21 +110,27 @@ class FileReader:
             k = last
 
 
+def width_for(largest: int) -> int:
+    """Bytes that an id needs: 2 or 4."""
+    return 2 if largest <= 0xFFFF else 4
+
+
 class _Write:
     """One file per partition. Its name is new for each attempt, and only what the attempt that counted reports is ever read."""
 
-    def __init__(self, folder: str, tokenizer_path: str, pattern: str, end_id: int, width: int):
-        self.folder, self.tokenizer_path, self.pattern, self.end_id, self.width = folder, tokenizer_path, pattern, end_id, width
+    def __init__(self, folder: str, tokenizer_path: str, pattern: str, end_id: int):
+        self.folder, self.tokenizer_path, self.pattern, self.end_id = folder, tokenizer_path, pattern, end_id
 
     def __call__(self, batches):
         texts = loaded(("byte-level", self.tokenizer_path), lambda: TextEncoder(ByteLevelJson(self.tokenizer_path, self.pattern)))
-        end, out, part = pack([self.end_id]), None, TaskContext.get().partitionId()
+        out, part, end = None, TaskContext.get().partitionId(), np.array([self.end_id], np.uint32)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, bounds = texts.batch(batch.column(1))
+            for k, doc_id in enumerate(batch.column(0).to_pylist()):
                 if out is None:
                     path = f"{self.folder}/tokens-{part:06d}-{uuid.uuid4().hex[:12]}.zst"
-                    out = FileWriter(path, self.width)
-                out.add(doc_id, np.frombuffer(texts.packed(text.as_py() or "") + end, np.uint32))
+                    out = FileWriter(path, width_for(max(texts.piece.largest(), self.end_id)))
+                out.add(doc_id, np.concatenate([ids[bounds[k] : bounds[k + 1]], end]))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([path]), pa.array([len(out.entries)], pa.int64()), pa.array([out.tokens], pa.int64())], names=["part", "path", "documents", "tokens"])
@@ -152,15 +159,18 @@ class _Read:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds, strict=True)], names=[n for n, _ in kinds])
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int = 0, width: int = 2) -> list[tuple[int, str, int, int]]:
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int = 0) -> list[tuple[int, str, int, int]]:
     """Write the ids of all documents in ascending order of their id; returns (part, path, documents, tokens) of every file.
 
     The texts are dealt by ranges of doc_id and encoded where they are written,
-    so ids never cross a shuffle. Null ids come first. ``folder`` is a URI that
-    all executors can write to. The list has one entry per file.
+    so ids never cross a shuffle. Rows of one id (null ids, which come first,
+    or repeats) are dealt by where they were read, so they may fill many files.
+    ``folder`` is a URI that all executors can write to. The list has one entry
+    per file.
     """
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    files = dealt.mapInArrow(_Write(folder, tokenizer_path, pattern, end_id, width), "part long, path string, documents long, tokens long").collect()
+    order = ["doc_id", "_read"]
+    dealt = id_and_text(docs).withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    files = dealt.mapInArrow(_Write(folder, tokenizer_path, pattern, end_id), "part long, path string, documents long, tokens long").collect()
     return sorted((r.part, r.path, r.documents, r.tokens) for r in files)
 
 
@@ -174,15 +184,18 @@ def read_tokens(spark: SparkSession, files: list[tuple[int, str, int, int]], kee
     return listed.mapInArrow(_Read(keep_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
 
 
-def round_trip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, width: int = 2) -> DataFrame:
+def round_trip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0) -> DataFrame:
     """Write all documents to files in the shared folder and read them back: doc_id, start, n_tokens, ids_crc32.
 
-    A null or empty text has the end id alone. Repeated rows are written one
-    after the other; other columns of ``docs`` are ignored; an empty table
-    writes no file and gives no rows.
+    A null or empty text has the end id alone; bytes that are not UTF-8 count
+    as the replacement character. Strings of special tokens in a text are those
+    tokens, as the library has it. Repeated rows are written one after the
+    other; other columns of ``docs`` are ignored; an empty table writes no file
+    and gives no rows. The files stay in the shared folder: the result is read
+    from them.
     """
     folder = new_path(spark, "tokens")
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
-    return read_tokens(spark, write_tokens(docs, folder, tokenizer_path, pattern, end_id, width))
+    return read_tokens(spark, write_tokens(docs, folder, tokenizer_path, pattern, end_id))

@@ -66,17 +66,14 @@ class RankBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
         self.split = regex.compile(pattern)
         self.decimals = list(map(str, range(len(self.tokens))))
-        self.markers, self.words = (), Memory(self.word, 20_000)
-        self.tails, self.newline = {c: self.word(c) for c in ".,;:!?)"}, self.word("\n")
+        self.markers, self.words = (), Memory(self.word, 300_000)
+        self.newline = self.word("\n")
         self.texts = TextEncoder(self)
 
     def word(self, word: str) -> bytes:
         whole = self.ranks.get(word.encode())
         return pack(self.model.encode(to_letters(word)) if whole is None else [whole])
 
-    def key(self, part: str, first: bool) -> str:
-        return part if first else " " + part
-
     def __call__(self, part: str, first: bool) -> bytes:
         return b"".join([self.words[w] for w in self.split.findall(part if first else " " + part)])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stored, id_and_text, unused
-from .pretokens import MEMORY, TextEncoder, WordEndJson, loaded
+from .pretokens import MEMORY, TextEncoder, WordEndJson, grouped, loaded
 from .ranking import ranked
 
 CAPACITY = 4096
@@ -122,10 +122,10 @@ class _Pieces:
     def __call__(self, batches):
         texts = loaded(("word-end", self.path, self.memory), lambda: TextEncoder(WordEndJson(self.path), self.memory))
         step, end = self.capacity, np.array([self.end_id], np.uint32)
-        for batch in batches:
-            flat, bounds = texts.batch(batch.column(1))
+        for doc_ids, column in grouped(batches):
+            flat, bounds = texts.batch(column)
             rows = []
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+            for i, doc_id in enumerate(doc_ids):
                 ids = np.concatenate([flat[bounds[i] : bounds[i + 1]], end])
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step].tobytes()

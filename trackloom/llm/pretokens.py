@@ -38,9 +38,14 @@ def byte_letters() -> list[str]:
     return out
 
 
-#: Pieces that a Python worker remembers; some 100 MB.
-MEMORY = 600_000
+#: A word of Latin letters (without the two that stand for space and line feed, and İ), and a mark that is a word of its own behind one.
+WORD, TAIL = r"\A[A-Za-zÀ-ÖØ-öø-ĉċ-ğġ-įıĴ-ɏ]+\z", r"[.,;:!?)]\z"
+#: Pieces that a Python worker remembers.
+MEMORY = 300_000
 _TABLE = {i: c for i, c in enumerate(byte_letters())}
+#: The same as 16-bit letters, with 2 and 1 in the stead of space and line feed.
+_LETTERS = np.array([ord(c) for c in byte_letters()], "<u2")
+_LETTERS[[2, 1]] = _LETTERS[[32, 10]]
 
 
 def to_letters(text: str) -> str:
@@ -89,7 +94,9 @@ class TextEncoder:
     says that no space goes before it. ``piece.markers`` are strings that the
     library takes for special tokens, ``piece.whole_text`` encodes a text that
     holds one. Such texts, and texts in which a piece has white space at an
-    end, are told apart in a batch and encoded one by one.
+    end, are told apart in a batch and encoded one by one. Words by the
+    hundred thousand are new in every batch, so they are encoded together
+    and not remembered; odd pieces are.
     """
 
     def __init__(self, piece, most: int = MEMORY):
@@ -97,23 +104,15 @@ class TextEncoder:
         self.piece = piece
 
     def _later(self, pieces: list[str]) -> list[bytes]:
-        """The packed ids of pieces that follow a space, or begin with a line feed in its stead. A piece that is a Latin word, or one with a mark behind it, is encoded as just that."""
+        """The packed ids of pieces that follow a space, or begin with a line feed in its stead."""
         own, memory = self.piece, self.later
         out, old = list(map(memory.get, pieces)), memory.old
-        word, tails = own.word, own.tails
         for k, found in enumerate(out):
             if found is None:
                 p = pieces[k]
                 found = old.get(p)
                 if found is None:
-                    line = p[:1] == "\n"
-                    body = p[1:] if line else p
-                    core, tail = (body[:-1], tails[body[-1]]) if body[-1:] in tails else (body, b"")
-                    if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core) and core.lower().isalpha()):
-                        found = word(own.key(core, line)) + tail
-                    else:
-                        found = own(body, line) if body else b""
-                    found = own.newline + found if line else found
+                    found = own(p, False) if p[:1] != "\n" else own.newline + own(p[1:], True)
                     memory.keep(p, found)
                 out[k] = found
         return out
@@ -144,30 +143,128 @@ class TextEncoder:
         known = coded.dictionary
         body = pc.if_else(pc.starts_with(known, "\n"), pc.utf8_slice_codeunits(known, 1), known)
         uneven = pc.or_(pc.equal(body, ""), pc.not_equal(pc.utf8_trim(body, BLANKS), body)).to_numpy(zero_copy_only=False)
-        codes, pieces = coded.indices.to_numpy().astype(np.int64), known.to_pylist()
+        codes = coded.indices.to_numpy().astype(np.int64)
         if uneven.any():
             odd |= np.logical_or.reduceat(uneven[codes], ends[:-1])
-        whole = np.flatnonzero(odd)
+        whole, heads = np.flatnonzero(odd), ends[:-1]
         used = np.ones(len(codes), bool)
-        used[ends[:-1]] = False  # first pieces have a table entry of their own, whole texts have one for all their pieces
+        used[heads] = False  # first pieces have a table entry of their own, whole texts have one for all their pieces
         for k in whole:
             used[ends[k] : ends[k + 1]] = False
-        wanted = np.zeros(len(pieces), bool)
+        wanted = np.zeros(len(known), bool)
         wanted[codes[used]] = True
-        packed = self._later([p if w else "" for p, w in zip(pieces, wanted.tolist(), strict=True)])
-        empty, heads = len(packed), ends[:-1]
-        packed.append(b"")
-        odds, firsts = set(whole.tolist()), codes[heads].tolist()
-        packed += [self.packed(texts[k].as_py()) if k in odds else self.first[pieces[c]] for k, c in enumerate(firsts)]
+        table, sizes = self._table(known, wanted)
+        odds, firsts = set(whole.tolist()), known.take(pa.array(codes[heads])).to_pylist()
+        packed = [self.packed(texts[k].as_py()) if k in odds else self.first[p] for k, p in enumerate(firsts)]
+        empty = len(sizes)
         for k in whole:
             codes[ends[k] : ends[k + 1]] = empty
         codes[heads] = empty + 1 + np.arange(len(heads))
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        table, starts = np.frombuffer(b"".join(packed), np.uint32), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        each = sizes[codes]
-        upto = np.cumsum(each)
-        ids = table[np.repeat(starts[codes] - (upto - each), each) + np.arange(int(upto[-1]))]
-        return ids, np.concatenate([[0], upto])[ends]
+        sizes = np.concatenate([sizes, [0], np.fromiter(map(len, packed), np.int64, len(packed)) // 4])
+        ids = gathered(np.concatenate([table, np.frombuffer(b"".join(packed), np.uint32)]), sizes, codes)
+        return ids, np.concatenate([[0], np.cumsum(sizes[codes])])[ends]
+
+    def _table(self, known: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the wanted pieces, and how many each piece has (none where it isn't wanted).
+
+        Where the piece encoder has ``many``, the words among the pieces (a
+        Latin word, perhaps with a mark behind it or a line feed before it) are
+        encoded together, each distinct one once; the others are remembered.
+        """
+        rest = wanted.copy()
+        if (many := getattr(self.piece, "many", None)) is not None and len(known):
+            line = pc.starts_with(known, "\n")
+            body = pc.if_else(line, pc.utf8_slice_codeunits(known, 1), known)
+            marked = pc.match_substring_regex(body, TAIL)
+            core = pc.if_else(marked, pc.utf8_slice_codeunits(body, 0, -1), body)
+            plain = pc.match_substring_regex(core, WORD).to_numpy(zero_copy_only=False) & wanted
+            at = np.flatnonzero(plain)
+            line, marked = line.to_numpy(zero_copy_only=False)[at], marked.to_numpy(zero_copy_only=False)[at]
+            words = many.key(core.take(pa.array(at)), line).dictionary_encode()
+            flat, each = many(words.dictionary)
+            own = words.indices.to_numpy().astype(np.int64)
+            sizes = np.zeros(len(known), np.int64)
+            sizes[at] = each[own] + marked
+            table = np.empty(int(sizes.sum()), np.uint32)
+            stops = np.cumsum(sizes[at])
+            tail = np.zeros(len(table), bool)
+            tail[stops[marked] - 1] = True
+            table[~tail] = gathered(flat, each, own)
+            marks = pc.utf8_slice_codeunits(body.take(pa.array(at[marked])), -1).dictionary_encode()
+            table[tail] = np.array([self.piece.tails[m] for m in marks.dictionary.to_pylist()], np.uint32)[marks.indices.to_numpy()]
+            rest &= ~plain
+        others = np.flatnonzero(rest)
+        packed = self._later(known.take(pa.array(others)).to_pylist())
+        if getattr(self.piece, "many", None) is None or not len(known):
+            sizes = np.zeros(len(known), np.int64)
+            sizes[others] = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+            return np.frombuffer(b"".join(packed), np.uint32), sizes
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        order = np.argsort(np.concatenate([at, others]), kind="stable")
+        both = np.concatenate([sizes[at], lengths])
+        sizes[others] = lengths
+        return gathered(np.concatenate([table, np.frombuffer(b"".join(packed), np.uint32)]), both, order), sizes
+
+
+def gathered(table: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The entries of a table of runs (of ``sizes``, one after the other) in the order asked for."""
+    each = sizes[order]
+    upto = np.cumsum(each)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[order]
+    return table[np.repeat(starts - (upto - each), each) + np.arange(int(upto[-1]) if len(upto) else 0)]
+
+
+class Words:
+    """Many distinct words in one call of the library: a tokenizer with the file's model that splits at a mark alone.
+
+    ``begins`` or ``stops`` tells ids that begin or end a word; all others go
+    on with it.
+    """
+
+    MARK, AT_ONCE = "|", 4_000
+
+    def __init__(self, model, marks: np.ndarray, at_start: bool, spaced: bool):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.marks, self.at_start, self.spaced = Tokenizer(model), marks, at_start, spaced
+        self.tokenizer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(self.MARK)
+
+    def key(self, words: pa.Array, line: np.ndarray) -> pa.Array:
+        """What tells words apart: here the space before all that don't begin a line."""
+        if not self.spaced:
+            return pc.utf8_lower(words)
+        return pc.binary_join_element_wise(pa.array(np.where(line, "\x01|", "\x02"), pa.large_string()), words, pa.scalar("", pa.large_string()))
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All their ids, and how many each has."""
+        texts = []
+        for k in range(0, len(words), self.AT_ONCE):
+            part = words.slice(k, self.AT_ONCE)
+            texts.append(_LETTERS[np.frombuffer(self.MARK.join(part.to_pylist()).encode(), np.uint8)].tobytes().decode("utf-16-le"))
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        at = np.flatnonzero(self.marks[flat])
+        bounds = np.append(at, len(flat)) if self.at_start else np.concatenate([[0], at + 1])
+        if len(bounds) != len(words) + 1:
+            raise ValueError("words and ids don't go together")
+        return flat, np.diff(bounds)
+
+
+def grouped(batches, size: int = 12 << 20):
+    """(doc_ids, texts) of (doc_id, text) batches, some ``size`` bytes at once: the larger, the fewer words are new in it."""
+    held, at = [], 0
+    for batch in batches:
+        held.append(batch)
+        at += batch.nbytes
+        if at >= size:
+            yield held_together(held)
+            held, at = [], 0
+    if held:
+        yield held_together(held)
+
+
+def held_together(batches: list[pa.RecordBatch]) -> tuple[list, pa.Array]:
+    return [i for b in batches for i in b.column(0).to_pylist()], pa.concat_arrays([b.column(1).cast(pa.large_string()) for b in batches])
 
 
 def pack(ids) -> bytes:
@@ -185,7 +282,8 @@ class _Json:
         self.markers = tuple({t.content.lower() for t in self.whole.get_added_tokens_decoder().values()})
         self.words = Memory(self.word, 20_000)
         #: Marks that are words of their own behind a word.
-        self.tails, self.newline = {c: self.word(c) for c in ".,;:!?)"}, self.whole_text("\n")
+        self.tails, self.newline = {c: self.whole_text(c) for c in ".,;:!?)"}, self.whole_text("\n")
+        self.tails = {c: np.frombuffer(v, np.uint32)[0] for c, v in self.tails.items()}
 
     def word(self, word: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(to_letters(word))]).tobytes()
@@ -201,8 +299,12 @@ class _Json:
 class ByteLevelJson(_Json):
     """Piece encoder over a ``tokenizers`` file with byte-level splitting."""
 
-    def key(self, part: str, first: bool) -> str:
-        return part if first else " " + part
+    def __init__(self, path: str, pattern: str):
+        super().__init__(path, pattern)
+        marks = np.zeros(self.largest() + 1, bool)
+        for token, i in self.whole.get_vocab(with_added_tokens=False).items():
+            marks[i] = token[0] in "ĠĊ"
+        self.many = Words(self.model, marks, True, True)
 
     def __call__(self, part: str, first: bool) -> bytes:
         text = part if first else " " + part
@@ -219,9 +321,10 @@ class WordEndJson(_Json):
 
     def __init__(self, path: str):
         super().__init__(path, self.PATTERN)
-
-    def key(self, part: str, first: bool) -> str:
-        return part.lower()
+        marks = np.zeros(self.largest() + 1, bool)
+        for token, i in self.whole.get_vocab(with_added_tokens=False).items():
+            marks[i] = token.endswith("</w>")
+        self.many = Words(self.model, marks, False, False)
 
     def __call__(self, part: str, first: bool) -> bytes:
         if PLAIN.fullmatch(part):

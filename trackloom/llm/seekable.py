@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_and_text, new_path
-from .pretokens import ByteLevelJson, TextEncoder, loaded
+from .pretokens import ByteLevelJson, TextEncoder, grouped, loaded
 
 #: Fixed values of the zstandard formats: skippable frame for the ids and for the seek table, and the table's closing mark.
 IDS_MAGIC, TABLE_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -124,9 +124,9 @@ class _Write:
     def __call__(self, batches):
         texts = loaded(("byte-level", self.tokenizer_path), lambda: TextEncoder(ByteLevelJson(self.tokenizer_path, self.pattern)))
         out, part, end = None, TaskContext.get().partitionId(), np.array([self.end_id], np.uint32)
-        for batch in batches:
-            ids, bounds = texts.batch(batch.column(1))
-            for k, doc_id in enumerate(batch.column(0).to_pylist()):
+        for doc_ids, column in grouped(batches):
+            ids, bounds = texts.batch(column)
+            for k, doc_id in enumerate(doc_ids):
                 if out is None:
                     path = f"{self.folder}/tokens-{part:06d}-{uuid.uuid4().hex[:12]}.zst"
                     out = FileWriter(path, width_for(max(texts.piece.largest(), self.end_id)))

@@ -1,4 +1,4 @@
-"""Near copies by exact similarity of shingle sets, for the pipeline.
+"""Near copies by exact similarity of shingle sets.
 
 Two texts are linked when the Jaccard similarity of their sets of word
 shingles is at least 4/5. Shingles are told apart by their XXH64 hashes.
@@ -6,17 +6,21 @@ shingles is at least 4/5. Shingles are told apart by their XXH64 hashes.
 Search. Put all shingles into one order, whichever. A set of n that is to be
 4/5 similar to another shares at least ceil(4n/5) of its shingles with it, so
 the two share one of the first n - ceil(4n/5) + 1 of each: these are the keys.
-Texts with a key in common meet. All that two sets share up to the last key of
-the one whose keys end first are keys of both, so the keys in common and that
-set's other shingles bound what they share; pairs for which that is too little
-go, and the rest are verified on the full sets. The
-order decides only how much meets: shingles that recur in a sample of the
-texts come last, the commonest at the very end.
-
-All pairs of a bucket of at most ``SMALL`` sets are verified. In a wider one
-every set is first held against two leaders, and after that only pairs that
-the links so far leave in different components: each set outside the bucket's
-commonest component against all others.
+Texts with a key in common meet. Where the first key that two sets of n and m
+share stands at i and j, they share at most 1 + min(n - 1 - i, m - 1 - j)
+shingles, and a pair for which that is too little goes. So the smaller set of
+a pair has that key among its first ninth, which alone keeps apart texts that
+share a common passage. In wide buckets a pair whose sketches (parities of 512
+cells) differ too much goes as well. The rest are verified on the full sets.
+The order
+decides only how much meets: shingles that recur in a sample of the texts come
+last, the commonest at the very end.
+
+All pairs of a bucket of at most ``SMALL`` sets are looked at. In a wider one
+some sets are leaders, and every set is first held against those of a dozen of
+its buckets; after that only pairs that the links so far leave in different
+components: each set outside the bucket's commonest component against all
+others. So leaders save work, and no link hangs on them.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql.window import Window
 
 from .common import Stored, text_batches, unused
 from .components import components
+from .simhash import majority, near_links, shingle_hashes
 
 SHINGLE = 5
 #: Sets that one bucket may hold for all its pairs to be verified.
@@ -38,21 +43,22 @@ SMALL = 16
 SAMPLE = 32
 #: Common shingles that are put last; the order of the others is that of their hashes.
 COMMON = 200_000
+#: Cells of a set's sketch.
+SKETCH = 512
+#: Wide buckets in which a set is held against their leaders.
+TRIES = 12
 #: Parts that the pairs of one set are dealt to.
 PARTS = 64
 
 
-def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles; a shorter text is one shingle, one without words has none."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    pieces = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64))
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether each of ``SKETCH`` cells holds an odd number of the hashes, as longs. Two sets differ in as many hashes as their cells do, at least."""
+    odd = np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 class _Sets:
-    """(row, text) to (row, node, size, some of the hashes): all of them, or the keys alone."""
+    """(row, text) to (row, node, size, some of the hashes): all of them, or the keys alone, in the order of shingles."""
 
     def __init__(self, shingle: int, common: np.ndarray | None, keys: bool):
         self.shingle, self.keys = shingle, keys
@@ -60,44 +66,42 @@ class _Sets:
             self.by_hash = np.argsort(common)
             self.ranked, self.common = common, common[self.by_hash]
 
-    def first(self, own: np.ndarray) -> tuple[np.ndarray, int]:
-        """The keys, and where the last of them stands in the order."""
+    def first(self, own: np.ndarray) -> np.ndarray:
         n = len(own)
         if not n:
-            return np.zeros(1, np.uint64), 0
+            return np.zeros(1, np.uint64)
         count = n - (4 * n + 4) // 5 + 1
         if len(self.common):
             at = np.minimum(np.searchsorted(self.common, own), len(self.common) - 1)
             known = self.common[at] == own
-            ranks = np.sort(self.by_hash[at[known]])
-            late = self.ranked[ranks]
-            early = own[~known]
-            own = np.concatenate([early, late])
-            if count > len(early):
-                return own[:count], (1 << 62) + int(ranks[count - len(early) - 1])
-        return own[:count], int(own[count - 1]) >> 2
+            own = np.concatenate([own[~known], self.ranked[np.sort(self.by_hash[at[known]])]])
+        return own[:count]
 
     def __call__(self, batches):
         for batch in batches:
-            nodes, sizes, ends, parts, lasts = [], [], [0], [], []
+            nodes, sizes, ends, parts, fps, marks = [], [], [0], [], [], []
             for t in batch.column(1):
-                own = shingles(t.as_py(), self.shingle)
+                hashes = shingle_hashes(t.as_py(), self.shingle)
+                own = np.unique(hashes)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
                 sizes.append(len(own))
-                part, last = self.first(own) if self.keys else (own, 0)
-                parts.append(part)
-                lasts.append(last)
+                fps.append(majority(hashes) if self.keys else 0)
+                marks.append(parities(own))
+                parts.append(self.first(own) if self.keys else own)
                 ends.append(ends[-1] + len(parts[-1]))
             flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
             held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), held, pa.array(lasts, pa.int64())], names=["doc_id", "node", "size", "hashes", "last"])
+            longs = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (nodes, fps)]
+            flat = np.concatenate(marks) if marks else np.empty(0, np.int64)
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCH // 64), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs[0], pa.array(sizes, pa.int32()), held, longs[1], sketch], names=["doc_id", "node", "size", "hashes", "fp", "sketch"])
 
 
 def _sets(docs: DataFrame, shingle: int, common: np.ndarray | None = None, keys: bool = False) -> DataFrame:
-    """(doc_id, mark, node, size, hashes, last) of every row; mark tells texts of one id apart, node names the set."""
+    """(doc_id, mark, node, size, hashes, fp) of every row; mark tells texts of one id apart, node names the set, fp is the fingerprint (with ``keys``)."""
     rows = text_batches(docs).select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark")).alias("doc_id"), F.col("text").cast("binary"))
-    found = rows.mapInArrow(_Sets(shingle, common, keys), "doc_id struct<doc_id: long, mark: long>, node long, size int, hashes array<long>, last long")
-    return found.select("doc_id.doc_id", "doc_id.mark", "node", "size", "hashes", "last")
+    found = rows.mapInArrow(_Sets(shingle, common, keys), "doc_id struct<doc_id: long, mark: long>, node long, size int, hashes array<long>, fp long, sketch array<long>")
+    return found.select("doc_id.doc_id", "doc_id.mark", "node", "size", "hashes", "fp", "sketch")
 
 
 def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
@@ -113,11 +117,15 @@ def _alike(a: str, b: str) -> Column:
     return F.least(a, b) * 5 >= F.greatest(a, b) * 4
 
 
-def _enough(uncounted: Column) -> Column:
-    """Whether a pair's ``shared`` keys, the ``uncounted`` ones at most, and all other shingles make it 4/5 similar."""
-    others = lambda size: F.floor((F.col(size) * 4 + 4) / 5) - 1
-    rest = F.when(F.col("end_a") < F.col("end_b"), others("m")).when(F.col("end_a") > F.col("end_b"), others("n")).otherwise(F.greatest(others("m"), others("n")))
-    return (F.col("shared") + uncounted + rest) * 9 >= (F.col("m") + F.col("n")) * 4
+def _reaches(n: str, i: str, m: str, j: str) -> Column:
+    """Whether sets of n and m that share their first key at i and j can be 4/5 similar."""
+    return (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * 9) >= (F.col(n) + F.col(m)) * 4
+
+
+def _close_sketches(a: str, b: str, n: str, m: str) -> Column:
+    """Whether two sketches leave it open that sets of n and m are 4/5 similar: they may differ in a ninth of n + m."""
+    apart = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, SKETCH // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return apart * 9 <= F.col(n) + F.col(m)
 
 
 def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
@@ -134,42 +142,56 @@ def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, rows: Data
     return Stored(spark, both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.col("m") + F.col("n")) * 4).select("a", "b"), "similar").df
 
 
+def _ball_pairs(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """Pairs of sets that ball hashing of their fingerprints proposes; equal fingerprints go through their smallest set."""
+    near = Stored(spark, sets.groupBy("fp").agg(F.min("node").alias("own")), "fps").df
+    links = near_links(spark, near.select("fp"))
+    far = near.select(F.col("fp").alias("b"), F.col("own").alias("to"))
+    across = links.join(near, F.col("a") == F.col("fp")).join(far, "b").select(F.col("own").alias("a"), F.col("to").alias("b"))
+    same = sets.join(near, "fp").where("node <> own").select(F.col("node").alias("a"), F.col("own").alias("b"))
+    return across.unionAll(same)
+
+
 def similar_sets(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, node) of every row, and (node, label) of every node that is linked to another."""
     found = Stored(spark, _sets(docs, shingle, common_shingles(docs, shingle), keys=True), "keys").df
     rows = found.select("doc_id", "mark", "node")
-    sets = found.select("node", "size", "hashes", "last").dropDuplicates(["node"])
+    sets = found.select("node", "size", "hashes", "fp", "sketch").dropDuplicates(["node"])
     w = Window.partitionBy("key")
-    keyed = sets.select("node", "size", "last", F.explode("hashes").alias("key"))
-    met = keyed.withColumns({"n": F.count(F.lit(1)).over(w), "low": F.min(F.struct("node", "size")).over(w), "high": F.max(F.struct("node", "size")).over(w)}).where("n > 1")
-    per = Window.partitionBy("node")
-    met = met.withColumns({"wide": F.count_if(F.col("n") > SMALL).over(per), "narrow": F.count_if(F.col("n") <= SMALL).over(per)})
-    met = Stored(spark, met, "met").df
+    keyed = sets.select("node", "size", F.posexplode("hashes").alias("at", "key"))
+    early = F.max(((F.col("size") - F.col("at")) * 9 >= F.col("size") * 8).cast("int"))
+    met = Stored(spark, keyed.withColumns({"n": F.count(F.lit(1)).over(w), "early": early.over(w)}).where("n > 1 and early = 1").drop("early"), "met").df
     few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
-    left = few.select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("last").alias("end_a"), F.col("wide").alias("wide_a"))
-    right = few.select("key", F.col("node").alias("b"), F.col("size").alias("n"), F.col("last").alias("end_b"), F.col("wide").alias("wide_b"))
-    pairs = left.join(right, "key").where(F.col("a") < F.col("b")).where(_alike("m", "n")).groupBy(*left.columns[1:], *right.columns[1:]).agg(F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.where(_enough(F.least("wide_a", "wide_b"))).select("a", "b")
-    for leader in ("low", "high"):
-        pairs = pairs.unionAll(many.where(F.col("node") != F.col(f"{leader}.node")).where(_alike("size", f"{leader}.size")).select(F.col("node").alias("a"), F.col(f"{leader}.node").alias("b")))
+    # Each bucket is led by a set of its own, so a set meets as many others as it has keys; and by the smallest of all, which many share.
+    leaders = many.groupBy("key").agg(F.min(F.struct("node", "size")).alias("leader_1"), F.min(F.struct(F.xxhash64("node", "key").alias("drawn"), "node", "size")).alias("leader_2"))
+    tries = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key")))
+    led = many.withColumn("try", tries).where(F.col("try") <= TRIES).join(leaders, "key")
+
+    def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs (a, b) of rows with a common key that can be similar."""
+        x = left.select("key", F.col("node").alias("a"), F.col("size").alias("n"), F.col("at").alias("i"), *[c for c in left.columns if c.startswith("of_")])
+        y = right.select("key", F.col("node").alias("b"), F.col("size").alias("m"), F.col("at").alias("j"), *[c for c in right.columns if c.startswith("of_")])
+        return x.join(y, "key").where(_reaches("n", "i", "m", "j"))
+
+    pairs = pairs_of(few, few).where(F.col("a") < F.col("b")).select("a", "b").unionAll(_ball_pairs(spark, sets))
+    for leader in ("leader_1", "leader_2"):
+        pairs = pairs.unionAll(led.where(F.col("node") != F.col(f"{leader}.node")).where(_alike("size", f"{leader}.size")).select(F.col("node").alias("a"), F.col(f"{leader}.node").alias("b")))
     links = _verified(spark, pairs, docs, rows, shingle)
     groups = components(spark, links).df
     if many.isEmpty():
         return rows, groups
-    named = many.select("key", "node", "size", "last", "narrow").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = many.select("key", "node", "size", "at").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sets.select("node", "sketch"), "node")
     named = Stored(spark, named, "named").df
     usual = named.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", F.col("most.label").alias("usual"))
     split = Stored(spark, named.join(usual, "key"), "split").df
     if split.isEmpty():
         return rows, groups
-    apart = split.where("label <> usual").select("key", F.col("node").alias("b"), F.col("size").alias("n"), F.col("last").alias("end_b"), F.col("narrow").alias("narrow_b"), F.col("label").alias("of_b"))
-    across = split.select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("last").alias("end_a"), F.col("narrow").alias("narrow_a"), F.col("label").alias("of_a"), "usual").join(apart, "key")
-    # Of two sets outside the usual component one direction is enough, so every bucket counts once.
-    once = (F.col("of_a") == F.col("usual")) | (F.col("of_a") < F.col("of_b"))
-    across = across.where((F.col("of_a") != F.col("of_b")) & once).where(_alike("m", "n"))
-    one = F.struct("a", "b", "m", "n", "end_a", "end_b", "narrow_a", "narrow_b").alias("one")
-    counted = across.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max(one).alias("one"), F.count(F.lit(1)).alias("shared")).select("one.*", "shared")
-    more = _verified(spark, counted.where(_enough(F.least("narrow_a", "narrow_b"))).select("a", "b"), docs, rows, shingle)
+    # The smaller set of a pair has the key early, so one side or the other is among the early rows.
+    early = (F.col("size") - F.col("at")) * 9 >= F.col("size") * 8
+    sided = split.withColumns({"of_apart": F.col("label") != F.col("usual"), "of_label": F.col("label"), "of_sketch": F.col("sketch")})
+    right = sided.withColumnsRenamed({"of_apart": "of_other", "of_label": "of_it", "of_sketch": "of_its"})
+    across = pairs_of(sided.where(early), right).where(F.col("of_label") != F.col("of_it")).where(F.col("of_apart") | F.col("of_other")).where(_close_sketches("of_sketch", "of_its", "n", "m"))
+    more = _verified(spark, across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, rows, shingle)
     if more.isEmpty():
         return rows, groups
     return rows, components(spark, links.unionAll(more)).df

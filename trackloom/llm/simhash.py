@@ -4,20 +4,13 @@ A fingerprint's bit is set when it is set in more than half of the XXH64
 hashes of the text's word shingles. Two texts are linked when their
 fingerprints differ in at most three bits.
 
-Search. The 64 bits are cut into three blocks. If two fingerprints differ in
-one to three bits, some block holds one of them; with that block blanked out
-at most two remain, a radius of two whose middle is one flip away from either.
-So every fingerprint emits, per blanked block, itself and all one-bit variants
-(132 keys); equal keys meet, and pairs are verified on the full fingerprints.
-
-A bucket in which all fingerprints are within three bits of one another is
-linked to its smallest member. In a wider bucket that would not do, and all
-its pairs would be too many: its members go through whole-fingerprint balls
-instead. There every member emits its 65 variants of radius one, and those of
-even parity also the two-bit variants whose bits lie in one half. A variant
-can be shared by 65 + 2016 fingerprints at most, and everything that meets at
-a variant which somebody reaches by one flip is within three bits of that
-somebody, so a link to the smallest such member loses no connection.
+Search. Two fingerprints within three bits meet half-way: every fingerprint
+emits itself and all variants of one flip, and those of even parity also
+variants of two flips, as of two fingerprints at a distance of three one is
+even. Equal variants meet in a bucket, which holds 65 + 2016 fingerprints at
+most. Everything that meets at a variant which somebody reaches by one flip is
+within three bits of that somebody, so a link to the smallest such member
+loses no connection, and no bucket is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -29,27 +22,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stored, text_batches, unused
+from .common import Stored, text_batches
 from .components import components
 
 RADIUS = 3
-#: Bits of the three blocks, as (lowest, one past the highest).
-BLOCKS = ((0, 22), (22, 43), (43, 64))
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """The unsigned fingerprint of a text in UTF-8; zero where there are no words."""
+def shingle_hashes(text: bytes | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's word shingles in UTF-8, repeats included; a shorter text is one shingle, one without words has none."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     pieces = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in pieces), np.uint64, n)
+    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in pieces), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half the hashes; zero without any."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 15):
+    for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """The unsigned fingerprint of a text in UTF-8; zero where there are no words."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 class _Fingerprints:
@@ -75,41 +75,35 @@ def _close(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
 
 
-def _block_variants(fps: DataFrame) -> DataFrame:
-    """(fp, key): per blanked block the rest of the fingerprint and its one-bit variants."""
-    keep, inside = F, F.lit(False)
-    for k, (lo, hi) in enumerate(BLOCKS):
-        keep = keep.when(F.col("block") == k, F.lit(_signed(((1 << 64) - 1) ^ ((1 << hi) - (1 << lo)))).cast("long"))
-        inside = inside | ((F.col("block") == k) & F.col("bit").between(lo, hi - 1))
-    blanked = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(BLOCKS) - 1))).alias("block")).select("fp", "block", F.col("fp").bitwiseAND(keep).alias("rest"))
-    return blanked.select("fp", "block", "rest", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit")).where(~inside).select("fp", F.col("rest").bitwiseXOR(_flip("bit")).alias("key"))
-
-
 def _flip(bit: str) -> Column:
     return F.when(F.col(bit) < 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftleft(1L, {bit})"))
 
 
 def _ball_variants(fps: DataFrame) -> DataFrame:
-    """(fp, key, near): whole-fingerprint variants; near where one flip or none was made."""
-    near = fps.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("i")).select("fp", F.col("fp").bitwiseXOR(_flip("i")).alias("key"), F.lit(True).alias("near"))
+    """(key, fp): every variant within half the radius, rounded up for fingerprints of even parity.
+
+    Of two fingerprints at a distance of 3 one has even parity; two of its
+    three differing bits lie in one half of the 64, so pairs of flips within a
+    half are enough.
+    """
+    near = fps.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("i")).select(F.col("fp").bitwiseXOR(_flip("i")).alias("key"), "fp")
     even = fps.where(F.bit_count("fp") % 2 == 0).select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).where("i % 32 < 31")
     pairs = even.select("fp", "i", F.explode(F.expr("sequence(i + 1, cast((i div 32) * 32 + 31 as int))")).alias("j"))
-    return near.unionAll(pairs.select("fp", F.col("fp").bitwiseXOR(_flip("i")).bitwiseXOR(_flip("j")).alias("key"), F.lit(False).alias("near")))
+    return near.unionAll(pairs.select(F.col("fp").bitwiseXOR(_flip("i")).bitwiseXOR(_flip("j")).alias("key"), "fp"))
 
 
 def near_links(spark: SparkSession, fps: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within ``RADIUS`` bits; ``fps`` has distinct longs fp."""
-    w = Window.partitionBy("key")
-    met = _block_variants(fps).withColumns(
-        {"n": F.count(F.lit(1)).over(w), "low": F.min("fp").over(w), "spread": F.bit_count(F.bit_or("fp").over(w).bitwiseXOR(F.bit_and("fp").over(w)))}
-    ).where("n > 1")
-    met = Stored(spark, met.where((F.col("spread") > RADIUS) | (F.col("fp") != F.col("low"))).select("fp", "low", (F.col("spread") > RADIUS).alias("wide"), _close("fp", "low").alias("linked")).distinct(), "met")
-    links = met.df.where("linked and fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    # In a wide bucket of two, the only pair has been verified already; it costs a few variants here.
-    wide = met.df.where("wide").select("fp").distinct()
-    balls = _ball_variants(wide).withColumn("centre", F.min(F.when(F.col("near"), F.col("fp"))).over(w))
-    more = balls.where("centre is not null and centre <> fp").select(F.col("fp").alias("a"), F.col("centre").alias("b"))
-    return links.unionAll(more).distinct()
+    """Links (a, b) that connect all fingerprints within ``RADIUS`` bits; ``fps`` has distinct longs fp.
+
+    Variants are dealt by their upper half, which all flips in the lower half
+    leave as it is: those rows of a fingerprint stay together and compress
+    well, however many partitions there are.
+    """
+    w = Window.partitionBy("upper", "key")
+    near = F.bit_count(F.col("key").bitwiseXOR(F.col("fp"))) <= 1
+    dealt = _ball_variants(fps).withColumn("upper", F.shiftright("key", 32)).repartition("upper")
+    met = dealt.withColumn("centre", F.min(F.when(near, F.col("fp"))).over(w)).where("centre is not null and centre <> fp")
+    return met.where(_close("fp", "centre")).select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -119,25 +113,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, seed
     included. A null text counts as empty; texts without words have the
     fingerprint zero and are linked like any other. Repeated rows are repeated
     in the result; null ids take part but never name a component unless all of
-    it is null. Other columns of ``docs`` are ignored.
+    it is null. Other columns of ``docs`` are ignored. Two tables, of
+    fingerprints and of their components, stay in the shared folder, as the
+    result is read from them; some 60 bytes a document.
     """
     rows = Stored(spark, fingerprints(docs, shingle, seed), "fingerprints").df
-    distinct = Stored(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct").df
-    found = components(spark, near_links(spark, distinct.select("fp"))).df
-    named = found.join(distinct, found.node == distinct.fp).select("node", "label", "rep")
+    distinct = Stored(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    found = components(spark, near_links(spark, distinct.df.select("fp")))
+    named = found.df.join(distinct.df, found.df.node == distinct.df.fp).select("node", "label", "rep")
     smallest = named.groupBy("label").agg(F.min("rep").alias("least"))
-    moved = Stored(spark, named.select("node", "label").join(smallest, "label").select(F.col("node").alias("fp"), "least"), "moved").df
-    owner = Stored(spark, distinct.join(moved, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("least", "rep").alias("component_id")), "owners").df
+    moved = Stored(spark, named.select("node", "label").join(smallest, "label").select(F.col("node").alias("fp"), "least"), "moved")
+    owner = Stored(spark, distinct.df.join(moved.df, "fp", "left").select(F.col("fp").alias("key"), F.coalesce("least", "rep").alias("component_id")), "owners").df
+    for done in (distinct, found, moved):
+        done.drop()
     return rows.join(owner, rows.fp == owner.key).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose group has a smaller doc_id; all columns stay.
-
-    Rows without an id are never dropped. Of repeated rows with one id and
-    near-equal texts all repeats stay: they are one document.
-    """
-    groups = near_duplicates(spark, docs)
-    name = unused(docs, "gone")
-    gone = Stored(spark, groups.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone").df
-    return docs.join(gone, docs.doc_id == gone[name], "left_anti")

@@ -12,8 +12,9 @@ def test_frame_and_track_votes(spark):
     attempts = spark.createDataFrame(rows, SCHEMA)
     first = {r.track_id: r.number for r in votes.supported_vote(attempts, ["track_id", "frame"]).where("frame = 1").collect()}
     assert first[1] == "27" and first[2] == "42"
-    got = {r.track_id: (r.number, r.reason) for r in votes.aggregate_tracks(attempts).collect()}
-    assert got == {1: ("27", "too_few_votes"), 2: ("42", "too_few_votes"), 3: ("8", "too_few_votes"), 4: ("8", "accepted"), 5: ("12", "accepted"), 6: (None, "no_candidate")}
+    says = {v: k for k, v in votes.REASONS.items()}
+    got = {r.track_id: (r.number, says[r.reason], r.accepted_number) for r in votes.aggregate_tracks(attempts).collect()}
+    assert got == {1: ("27", "few", None), 2: ("42", "few", None), 3: ("8", "few", None), 4: ("8", "accepted", "8"), 5: ("12", "accepted", "12"), 6: (None, "none", None)}
 
 
 def test_simple_votes_and_best_attempt(spark):

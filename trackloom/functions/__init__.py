@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import boxes
+
 
 def reasons(*rules: tuple[Column, str]) -> Column:
     """Names of the rules that hold, in their order; a null condition doesn't hold."""
@@ -13,12 +15,8 @@ def reasons(*rules: tuple[Column, str]) -> Column:
 
 def iou(a: str, b: str) -> Column:
     """Intersection over union of boxes with inclusive corners, columns <prefix>x0..y1."""
-    c = lambda p, k: F.col(p + k)
-    wide = F.greatest(F.lit(0.0), F.least(c(a, "x1"), c(b, "x1")) - F.greatest(c(a, "x0"), c(b, "x0")) + 1)
-    high = F.greatest(F.lit(0.0), F.least(c(a, "y1"), c(b, "y1")) - F.greatest(c(a, "y0"), c(b, "y0")) + 1)
-    area = lambda p: (c(p, "x1") - c(p, "x0") + 1) * (c(p, "y1") - c(p, "y0") + 1)
-    both = wide * high
-    return F.when(area(a) + area(b) - both > 0, both / (area(a) + area(b) - both)).otherwise(0.0)
+    own = [boxes.box(*[F.col(p + k) for k in boxes.SIDES]) for p in (a, b)]
+    return boxes.iou(*own)
 
 
 def distance(ax, ay, bx, by) -> Column:
@@ -31,9 +29,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays; null where one has no length."""
+    """Cosine of two arrays; null where one is missing or both lengths multiply to next to nothing."""
     n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(n > 0, dot(a, b) / n)
+    return F.when(n > 1e-9, dot(a, b) / n)
 
 
 def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
@@ -69,10 +67,5 @@ def digits(text: Column) -> Column:
     return F.when(F.length(kept) > 0, kept)
 
 
-def jersey_numbers(text: Column) -> Column:
-    """Runs of one or two digits."""
-    return F.filter(F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1)), lambda d: F.length(d) <= 2)
-
-
 def crop_quality(scale: Column, sharp: Column, blur: Column, resolution: Column, occlusion: Column, border: Column) -> Column:
     return scale * 0.25 + sharp * 0.24 + blur * 0.18 + resolution * 0.18 + occlusion * 0.10 + border * 0.05

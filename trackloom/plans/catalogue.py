@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from .. import functions as fn
 from .. import streaming
+from ..functions import boxes as bx
 from ..operators import joins, select, spatial, tracks, votes
 from ..sources import boxes, observations, roster, table
 
@@ -38,10 +39,12 @@ def _six(c, d: int = 6):
     return F.round(c, d)
 
 
-@query(OBS + """, t AS (SELECT track_id, count(*) AS n, avg(CASE WHEN label = 'error' THEN 0 ELSE least(score / 100, 1) END) AS m, max(CASE WHEN label = 'purchase' THEN score / 500 ELSE 0 END) AS r, avg(CASE WHEN label = 'click' THEN 1.0 ELSE 0 END) AS b FROM obs GROUP BY track_id)
-SELECT track_id, n, round(m, 6) AS mean_overlap, concat_ws(';', CASE WHEN n < 50 THEN 'track_too_short' END, CASE WHEN m < 0.25 THEN 'low_field_overlap' END, CASE WHEN r >= 0.5 THEN 'referee' END) AS reasons, (n >= 50 AND m >= 0.25 AND r < 0.5) AS kept FROM t""")
+@query(OBS + """, t AS (SELECT track_id, count(*) AS n, avg(CASE WHEN label = 'error' THEN 0 ELSE least(score / 100, 1) END) AS m, max(CASE WHEN label = 'purchase' THEN score / 500 ELSE 0 END) AS r, max(CASE WHEN label = 'view' THEN y / 150 ELSE 0 END) AS b FROM obs GROUP BY track_id)
+SELECT track_id, n, round(m, 6) AS mean_overlap, concat_ws(';', CASE WHEN n < 50 THEN 'track_too_short' END, CASE WHEN m < 0.25 THEN 'insufficient_playing_surface_overlap' END, CASE WHEN r >= 0.5 THEN 'referee_rejection' END, CASE WHEN b >= 0.5 THEN 'bench_crowd_suppression' END) AS reasons, (n >= 50 AND m >= 0.25 AND r < 0.5 AND b < 0.5) AS kept FROM t""")
 def active_filter(spark, d):
-    o = observations(spark, d).select("track_id", F.when(F.col("label") != "error", F.least(F.col("score") / 100, F.lit(1.0))).alias("overlap"), F.when(F.col("label") == "purchase", F.col("score") / 500).otherwise(0.0).alias("referee"), F.lit(0.0).alias("bench"))
+    """E01, L07."""
+    of = lambda label, v: F.when(F.col("label") == label, v).otherwise(0.0)
+    o = observations(spark, d).select("track_id", F.when(F.col("label") != "error", F.least(F.col("score") / 100, F.lit(1.0))).alias("overlap"), of("purchase", F.col("score") / 500).alias("referee"), of("view", F.col("y") / 150).alias("bench"))
     return select.active_tracks(o, least=50).select("track_id", "n", _six("mean_overlap").alias("mean_overlap"), F.array_join("reasons", ";").alias("reasons"), "kept")
 
 
@@ -75,13 +78,6 @@ def topn_per_type(spark, d):
     return select.top_n(observations(spark, d), ["track_id", "label"], [F.desc("score"), F.col("event_id")], 3).select("track_id", "label", "event_id", "rank")
 
 
-@query(OBS + ", g AS (SELECT track_id, sum(score) AS s FROM obs GROUP BY track_id), t AS (SELECT track_id FROM g ORDER BY round(s, 4) DESC, track_id LIMIT 10) SELECT track_id, event_id, score FROM obs WHERE track_id IN (SELECT track_id FROM t)")
-def topk_groups_all(spark, d):
-    o = observations(spark, d)
-    best = o.groupBy("track_id").agg(F.sum("score").alias("s")).orderBy(F.desc(F.round("s", 4)), "track_id").limit(10)
-    return o.join(F.broadcast(best), "track_id", "left_semi").select("track_id", "event_id", "score")
-
-
 @query(OBS + "SELECT track_id, frame, arg_max(label, (score, -event_id)) AS label, max(score) AS score FROM obs GROUP BY track_id, frame")
 def argmax_variant(spark, d):
     best = F.max_by("label", F.struct("score", (-F.col("event_id")).alias("o")))
@@ -104,39 +100,13 @@ def iou_pairs(spark, d):
     return _box_pairs(spark, d).where("iou >= 0.01").select("frame", "a_part", "b_part", _six("iou").alias("iou"))
 
 
-@query(BOX + _IOU + ", m AS (SELECT frame, a_part AS part, o / (s - o) AS iou FROM p UNION ALL SELECT frame, b_part, o / (s - o) FROM p) SELECT b.frame, b.part, round(coalesce(max(m.iou), 0), 6) AS overlap FROM (SELECT DISTINCT frame, part FROM box) b LEFT JOIN m USING (frame, part) GROUP BY b.frame, b.part")
+@query(OBS + ", b AS (SELECT event_id, frame, label, x / 5 AS x0, y AS y0, x / 5 + 9 AS x1, y + 14 AS y1 FROM obs), n AS (SELECT event_id, frame, label, greatest(0, least(89, floor(x0))) AS x0, greatest(0, least(99, floor(y0))) AS y0, greatest(0, least(89, ceil(x1))) AS x1, greatest(0, least(99, ceil(y1))) AS y1 FROM b), v AS (SELECT *, x1 > x0 AND y1 > y0 AS ok FROM n) "
+       "SELECT a.event_id, round(CASE WHEN NOT a.ok THEN 1.0 ELSE coalesce(max(CASE WHEN o.ok AND least(a.x1, o.x1) >= greatest(a.x0, o.x0) AND least(a.y1, o.y1) >= greatest(a.y0, o.y0) THEN (least(a.x1, o.x1) - greatest(a.x0, o.x0) + 1) * (least(a.y1, o.y1) - greatest(a.y0, o.y0) + 1) / greatest((a.x1 - a.x0 + 1) * (a.y1 - a.y0 + 1), 1) WHEN o.ok THEN 0 END), 0.0) END, 6) AS overlap FROM v a LEFT JOIN v o ON a.frame = o.frame AND a.label = o.label AND a.event_id <> o.event_id GROUP BY a.event_id, a.ok")
 def overlap_max(spark, d):
-    p = _box_pairs(spark, d)
-    m = p.select("frame", F.col("a_part").alias("part"), "iou").unionAll(p.select("frame", F.col("b_part"), "iou"))
-    return boxes(spark, d).select("frame", "part").distinct().join(m, ["frame", "part"], "left").groupBy("frame", "part").agg(_six(F.coalesce(F.max("iou"), F.lit(0.0))).alias("overlap"))
-
-
-_NEXT = OBS + ", c AS (SELECT a.event_id AS a, b.event_id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 60 AS cost FROM obs a JOIN obs b ON b.frame = a.frame + 1 AND a.label = b.label WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 60) "
-
-
-def _candidates(spark, d):
+    """the largest share of a box that another of its frame covers. Frames are hours and labels here."""
     o = observations(spark, d)
-    a = o.select(F.col("event_id").alias("a"), (F.col("frame") + 1).alias("frame"), "label", F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = o.select(F.col("event_id").alias("b"), "frame", "label", F.col("x").alias("bx"), F.col("y").alias("by"))
-    return a.join(b, ["frame", "label"]).withColumn("dist", fn.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where("dist <= 60").withColumn("cost", F.col("dist") / 60)
-
-
-@query(_NEXT + "SELECT a, b, round(cost, 6) AS cost, round(1 / (1 + cost), 6) AS score FROM c")
-def gated_candidates(spark, d):
-    return _candidates(spark, d).select("a", "b", _six("cost").alias("cost"), _six(1 / (1 + F.col("cost"))).alias("score"))
-
-
-@query(_NEXT + "SELECT a, b, round(cost, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cost, b) AS i, row_number() OVER (PARTITION BY b ORDER BY cost, a) AS j FROM c) WHERE i = 1 AND j = 1")
-def mutual_nearest(spark, d):
-    return joins.mutual_nearest(_candidates(spark, d), "a", "b", F.col("cost")).select("a", "b", _six("cost").alias("cost"))
-
-
-@query(OBS + "SELECT a.event_id AS a, b.event_id AS b, b.frame - a.frame AS gap FROM obs a JOIN obs b ON a.track_id = b.track_id AND b.frame - a.frame BETWEEN 1 AND 8")
-def fragment_pairs(spark, d):
-    o = observations(spark, d)
-    left = o.select("track_id", F.col("event_id").alias("a"), F.col("frame").alias("from"))
-    right = o.select("track_id", F.col("event_id").alias("b"), F.col("frame").alias("to"))
-    return joins.range_join(left, right, "from", "to", 1, 8, ["track_id"]).select("a", "b", (F.col("to") - F.col("from")).alias("gap"))
+    b = o.select("event_id", "frame", "label", bx.box(F.col("x") / 5, F.col("y"), F.col("x") / 5 + 9, F.col("y") + 14).alias("b"))
+    return joins.largest_overlap(b, "event_id", ["frame", "label"], "b", 90, 100).select("event_id", _six("overlap").alias("overlap"))
 
 
 @query(OBS + ", l AS (SELECT *, sum(CASE WHEN p IS NULL OR frame - p > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY frame, event_id) AS life FROM (SELECT *, lag(frame) OVER (PARTITION BY track_id ORDER BY frame, event_id) AS p FROM obs)) SELECT track_id, CAST(life AS BIGINT) AS life, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n FROM l GROUP BY track_id, life")
@@ -167,17 +137,6 @@ def cumulative_points(spark, d):
     return spatial.cumulative(observations(spark, d))
 
 
-@query(OBS + "SELECT track_id, count(*) AS n, count(DISTINCT frame) AS frames, min(frame) AS first_frame, max(frame) AS last_frame, round(avg(score), 6) AS mean_score, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM obs GROUP BY track_id")
-def track_summary(spark, d):
-    return observations(spark, d).groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("frame").alias("frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), _six(F.avg("score")).alias("mean_score"), F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"))
-
-
-@query("SELECT label, i AS bin, round(avg(embedding[i + 1]), 5) AS mean FROM embeddings, range(64) r(i) GROUP BY label, i")
-def mean_histogram(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("bin", "v"))
-    return e.groupBy("label", F.col("bin").cast("long").alias("bin")).agg(F.round(F.avg(F.col("v").cast("double")), 5).alias("mean"))
-
-
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def appearance_cosine(spark, d):
     e = table(spark, d, "embeddings")
@@ -225,20 +184,13 @@ def density_norm(spark, d):
     return spatial.normalised(spatial.density(observations(spark, d), 120, 80))
 
 
-@query(_GRID + ", k AS (SELECT CAST(dx AS BIGINT) AS dx, exp(-(dx * dx) / 8.0) / (SELECT sum(exp(-(e * e) / 8.0)) FROM range(-6, 7) q(e)) AS w FROM range(-6, 7) r(dx)) SELECT cell_x + dx AS cell_x, cell_y, round(sum(n * w), 5) AS smooth FROM g, k GROUP BY 1, 2")
-def gaussian_1d(spark, d):
-    return spatial.smoothed_rows(spatial.density(observations(spark, d), 120, 80), 2.0, 6).select("cell_x", "cell_y", F.round("smooth", 5).alias("smooth"))
+_BLUR = "SELECT CAST(dx AS BIGINT) AS d, exp(-(dx * dx) / 8.0) / (SELECT sum(exp(-(e * e) / 8.0)) FROM range(-6, 7) q(e)) AS w FROM range(-6, 7) r(dx)"
 
 
-@query(OBS + """, t AS (SELECT track_id, count(*) AS n, avg(CASE WHEN x > 100 THEN 1.0 ELSE 0 END) AS outside, avg(CASE WHEN label = 'error' THEN 1.0 ELSE 0 END) AS ref FROM obs GROUP BY track_id)
-SELECT track_id, CASE WHEN n < 40 OR outside > 0.5 THEN 'low_quality' WHEN ref >= 0.25 THEN 'likely_referee' WHEN n >= 60 AND outside <= 0.2 THEN 'likely_player' ELSE 'uncertain' END AS label,
-round(CASE WHEN n < 40 OR outside > 0.5 THEN least(0.92, 0.58 + 0.12) WHEN ref >= 0.25 THEN least(0.88, 0.56 + 0.10) WHEN n >= 60 AND outside <= 0.2 THEN 0.8 ELSE 0.45 + least(0.15, 0.03 * n) END, 6) AS confidence FROM t""")
-def quality_labels(spark, d):
-    t = observations(spark, d).groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("x") > 100).cast("double")).alias("outside"), F.avg((F.col("label") == "error").cast("double")).alias("ref"))
-    low, ref, good = F.expr("n < 40 or outside > 0.5"), F.col("ref") >= 0.25, F.expr("n >= 60 and outside <= 0.2")
-    label = F.when(low, "low_quality").when(ref, "likely_referee").when(good, "likely_player").otherwise("uncertain")
-    conf = F.when(low, F.lit(0.7)).when(ref, F.lit(0.66)).when(good, F.lit(0.8)).otherwise(F.lit(0.45) + F.least(F.lit(0.15), F.col("n") * 0.03))
-    return t.select("track_id", label.alias("label"), _six(conf).alias("confidence"))
+@query(_GRID + f", k AS ({_BLUR}), xs AS (SELECT CAST(i AS BIGINT) AS i FROM range(120) r(i)), ys AS (SELECT CAST(i AS BIGINT) AS i FROM range(80) r(i)), a AS (SELECT xs.i AS cell_x, g.cell_y, sum(g.n * k.w) AS n FROM xs JOIN k ON true JOIN g ON g.cell_x = greatest(0, least(119, xs.i + k.d)) GROUP BY 1, 2), b AS (SELECT a.cell_x, ys.i AS cell_y, sum(a.n * k.w) AS smooth FROM ys JOIN k ON true JOIN a ON a.cell_y = greatest(0, least(79, ys.i + k.d)) GROUP BY 1, 2) SELECT cell_x, cell_y, round(smooth, 5) AS smooth FROM b")
+def gaussian_2d(spark, d):
+    """G21, with replicated borders."""
+    return spatial.smoothed_field(spatial.density(observations(spark, d), 120, 80), 120, 80, 2.0, 6).select("cell_x", "cell_y", F.round("smooth", 5).alias("smooth"))
 
 
 @query(OBS + ", m AS (SELECT track_id, avg(score) AS s FROM obs GROUP BY track_id), b AS (SELECT coalesce(median(s), 80) AS base FROM m) SELECT track_id, round(s, 6) AS mean_score, s < least(55, 0.65 * base) AS low FROM m, b")
@@ -261,27 +213,6 @@ def crop_quality(spark, d):
     return boxes(spark, d).select("frame", "part", "box", _six(q).alias("quality"))
 
 
-_AUDIT = "WITH a AS (SELECT d.doc_id, n_chars, quality, toxic, 0.5 * (n_chars / (n_chars + 1500.0)) + 0.5 * quality - 0.07 * toxic AS s FROM documents d JOIN labels l USING (doc_id)) "
-
-
-def _audit(spark, d):
-    a = table(spark, d, "documents").select("doc_id", "n_chars", "source").join(table(spark, d, "labels"), "doc_id")
-    return a.withColumn("s", (F.col("n_chars") / (F.col("n_chars") + 1500.0)) * 0.5 + F.col("quality") * 0.5 - F.col("toxic") * 0.07)
-
-
-@query(_AUDIT + "SELECT doc_id, round(s, 6) AS score, CASE WHEN quality = 0 OR s < 0.68 THEN 'rejected' WHEN s >= 0.78 THEN 'ocr_ready' ELSE 'borderline' END AS status, concat_ws(';', CASE WHEN quality = 0 THEN 'poor' END, CASE WHEN toxic = 1 THEN 'side' END, CASE WHEN n_chars < 200 THEN 'small' END) AS reasons FROM a")
-def audit_status(spark, d):
-    why = fn.reasons((F.col("quality") == 0, "poor"), (F.col("toxic") == 1, "side"), (F.col("n_chars") < 200, "small"))
-    status = F.when((F.col("quality") == 0) | (F.col("s") < 0.68), "rejected").when(F.col("s") >= 0.78, "ocr_ready").otherwise("borderline")
-    return _audit(spark, d).select("doc_id", _six("s").alias("score"), status.alias("status"), F.array_join(why, ";").alias("reasons"))
-
-
-@query("SELECT source, count(*) AS audited, count(*) FILTER (quality = 1) AS good, CASE WHEN count(*) FILTER (quality = 1) >= 3 THEN 'ready' WHEN count(*) FILTER (quality = 1) >= 1 THEN 'borderline' ELSE 'rejected' END AS readiness FROM documents JOIN labels USING (doc_id) GROUP BY source")
-def track_visibility(spark, d):
-    good = F.count_if(F.col("quality") == 1)
-    return _audit(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("audited"), good.alias("good")).withColumn("readiness", F.when(F.col("good") >= 3, "ready").when(F.col("good") >= 1, "borderline").otherwise("rejected"))
-
-
 @query("SELECT doc_id, coalesce(quality, 0) AS quality, quality IS NOT NULL AS audited FROM documents LEFT JOIN labels USING (doc_id)")
 def clean_audit_join(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0)).alias("quality"), F.col("quality").isNotNull().alias("audited"))
@@ -305,61 +236,11 @@ def digits_clean(spark, d):
     return table(spark, d, "part").select("p_partkey", fn.digits(F.col("p_brand")).alias("digits"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '[0-9]+'), lambda s: length(s) <= 2), ',') AS numbers FROM documents")
-def number_regex(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(fn.jersey_numbers(F.col("text")), ",").alias("numbers"))
-
-
-_ATT = "WITH att AS (SELECT user_id % 40 AS track_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) // 24 AS frame, event_id, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 12 + 1 AS VARCHAR) AS number, CASE WHEN event_type <> 'error' THEN round(value / 500, 4) END AS confidence FROM events), f AS (SELECT track_id, frame, number, count(*) AS n, max(coalesce(confidence, 0.25)) AS confidence FROM att GROUP BY 1, 2, 3), v AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY track_id, frame ORDER BY n DESC, confidence DESC, number) = 1) "
-
-
-def _attempts(spark, d):
-    o = observations(spark, d)
-    return o.select((F.col("track_id") % 40).alias("track_id"), F.expr("frame div 24").alias("frame"), "event_id", (F.col("y").cast("long") % 12 + 1).cast("string").alias("number"), F.when(F.col("label") != "error", F.round(F.col("score") / 500, 4)).alias("confidence"))
-
-
-@query(_ATT + "SELECT track_id, frame, number, n, confidence FROM v")
-def frame_collapse(spark, d):
-    return votes.frame_votes(_attempts(spark, d))
-
-
-@query(_ATT + """, g AS (SELECT track_id, number, count(*) AS votes, sum(coalesce(confidence, 0.3)) AS w FROM v GROUP BY 1, 2),
-p AS (SELECT *, length(number) = 1 AND EXISTS (SELECT 1 FROM g h WHERE h.track_id = g.track_id AND length(h.number) = 2 AND contains(h.number, g.number)) AS partial FROM g),
-r AS (SELECT *, w * CASE WHEN partial THEN 0.25 ELSE 1 END AS weight FROM p), s AS (SELECT *, sum(weight) OVER (PARTITION BY track_id) AS total, row_number() OVER (PARTITION BY track_id ORDER BY weight DESC, votes DESC, number) AS o FROM r)
-SELECT track_id, number, votes, round(weight, 6) AS weight, round(weight / total, 6) AS consensus, CASE WHEN partial THEN 'partial_digit_conflict' WHEN votes < 2 THEN 'too_few_votes' WHEN weight / total < 0.67 THEN 'no_consensus' ELSE 'accepted' END AS reason FROM s WHERE o = 1""")
-def track_vote(spark, d):
-    return votes.track_numbers(votes.frame_votes(_attempts(spark, d)))
-
-
-@query(_ATT + ", g AS (SELECT track_id, number, round(sum(coalesce(confidence, 1.0)), 6) AS weight FROM att GROUP BY 1, 2) SELECT track_id, number, weight FROM g QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY weight DESC, number) = 1")
-def simple_vote(spark, d):
-    g = _attempts(spark, d).groupBy("track_id", "number").agg(F.round(F.sum(F.coalesce("confidence", F.lit(1.0))), 6).alias("weight"))
-    return select.top_n(g, ["track_id"], [F.desc("weight"), F.col("number")], 1).drop("rank")
-
-
-@query(_ATT + "SELECT track_id, frame, event_id, number FROM att QUALIFY row_number() OVER (PARTITION BY track_id, frame ORDER BY coalesce(confidence, 0.25) DESC, event_id) = 1")
-def best_attempt(spark, d):
-    return select.top_n(_attempts(spark, d), ["track_id", "frame"], [F.desc(F.coalesce("confidence", F.lit(0.25))), F.col("event_id")], 1).select("track_id", "frame", "event_id", "number")
-
-
 @query(ROSTER + "SELECT number, count(*) AS players, count(DISTINCT team) AS teams, count(*) > 1 AS ambiguous FROM roster GROUP BY number")
 def roster_index(spark, d):
     return votes.roster_index(roster(spark, d))
 
 
-@query(ROSTER + "SELECT team, number, count(*) AS players, string_agg(name, ',' ORDER BY name) AS names FROM roster GROUP BY 1, 2 HAVING count(*) > 1")
-def roster_ambiguous(spark, d):
-    return roster(spark, d).groupBy("team", "number").agg(F.count(F.lit(1)).alias("players"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names")).where("players > 1")
-
-
-@query(ROSTER + """, l AS (SELECT s_suppkey AS lookup_id, s_nationkey + (CASE WHEN s_suppkey % 7 = 0 THEN 100 ELSE 0 END) AS team, CAST(s_suppkey % 103 AS INTEGER) AS number FROM supplier), c AS (SELECT team, number, count(*) AS n, min(player_id) AS one FROM roster GROUP BY 1, 2)
-SELECT lookup_id, team, number, status, CASE WHEN status NOT IN ('invalid_number', 'team_not_found') THEN coalesce(n, 0) END AS candidate_count, CASE WHEN status = 'resolved' THEN one END AS player_id FROM (
-SELECT lookup_id, l.team, l.number, n, one, CASE WHEN l.number NOT BETWEEN 0 AND 99 THEN 'invalid_number' WHEN l.team NOT IN (SELECT team FROM roster) THEN 'team_not_found' WHEN n IS NULL THEN 'not_found' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM l LEFT JOIN c ON l.team = c.team AND l.number = c.number)""")
-def roster_resolve(spark, d):
-    lookups = table(spark, d, "supplier").selectExpr("s_suppkey as lookup_id", "s_nationkey + case when s_suppkey % 7 = 0 then 100 else 0 end as team", "cast(s_suppkey % 103 as int) as number")
-    return votes.resolve(lookups, roster(spark, d))
-
-
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'left_only' WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS side FROM (SELECT doc_id FROM documents) d FULL JOIN (SELECT doc_id + 5 AS doc_id FROM labels) l ON d.doc_id = l.doc_id")
 def id_reconcile(spark, d):
     a = table(spark, d, "documents").select(F.col("doc_id").alias("a"))
@@ -372,11 +253,6 @@ def id_except(spark, d):
     return table(spark, d, "documents").select("doc_id").exceptAll(table(spark, d, "labels").select("doc_id")).distinct()
 
 
-@query("SELECT o_orderstatus AS stage, count(*) AS n, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'valid_with_warnings' END AS state FROM orders GROUP BY o_orderstatus")
-def stage_states(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("stage")).agg(F.count(F.lit(1)).alias("n")).withColumn("state", F.when(F.col("stage") == "F", "completed").when(F.col("stage") == "O", "pending").otherwise("valid_with_warnings"))
-
-
 @query(OBS + ", s AS (SELECT label, 4 * count(*) FILTER (x BETWEEN 4 AND 96 AND y BETWEEN 18 AND 94) + 0.7 * count(*) + avg(score) - 2 * count(*) FILTER (y < 18 OR x < 4 OR x > 96) AS p FROM obs GROUP BY label) SELECT label, round(p, 4) AS prompt_score, CAST(row_number() OVER (ORDER BY p DESC, label) AS INTEGER) AS rank FROM s")
 def prompt_rank(spark, d):
     p = F.count_if(F.expr("x between 4 and 96 and y between 18 and 94")) * 4 + F.count(F.lit(1)) * 0.7 + F.avg("score") - F.count_if(F.expr("y < 18 or x < 4 or x > 96")) * 2
@@ -427,9 +303,3 @@ def windowed_counts(spark, d):
 def union_points(spark, d):
     o = observations(spark, d)
     return o.select("frame", "x", "y", "label").unionByName(o.where("score > 50").select("frame", "x", "y", F.lit("copy").alias("label"))).distinct()
-
-
-@query(None)
-def tracker(spark, d):
-    o = observations(spark, d)
-    return tracks.track_clips(o.select((F.col("frame") % 64).alias("clip_id"), F.expr("frame div 64").alias("frame"), F.col("event_id").alias("detection"), "x", "y"))

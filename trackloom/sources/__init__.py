@@ -44,6 +44,71 @@ def feet_points(documents: DataFrame) -> DataFrame:
     return players.where(F.size("p.floor_xy_ft") == 2).select("schema", "frame_index", "timestamp_sec", F.coalesce("p.object_id", "p.track_id", "p.id", F.col("at").cast("long")).alias("track_id"), F.col("p.floor_xy_ft")[0].alias("x_ft"), F.col("p.floor_xy_ft")[1].alias("y_ft"), "p.source", "p.team")
 
 
+#: The field in feet.
+FIELD_FEET = (200.0, 85.0)
+
+
+def adapted_feet(documents: DataFrame, box: tuple[float, float, float, float] = (0.0, 0.0, 1600.0, 700.0), origin: str = "top_left") -> DataFrame:
+    """``feet_points`` and where they lie on a template: x, y in pixels, in_feet and in_bounds by closed bounds. Sorting is left to whoever shows them."""
+    from ..functions import feet_to_field
+
+    length, width = FIELD_FEET
+    p = feet_points(documents)
+    x, y = feet_to_field(F.col("x_ft"), F.col("y_ft"), box, length, width, origin)
+    p = p.withColumns({"x": x, "y": y, "in_feet": F.col("x_ft").between(0, length) & F.col("y_ft").between(0, width)})
+    return p.withColumn("in_bounds", F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3]))
+
+
+def read_state(documents: DataFrame, raw: str, keys: tuple[str, ...] = ("crops", "predictions")) -> DataFrame:
+    """``documents`` and what their JSON texts hold: error (``file_not_found`` for null, ``invalid_json``, ``top_level_json_is_not_an_object``; null when all is well), kind (the schema named, else what frames of players are called, else ``unknown``) and records, the number of objects in the list under the first of ``keys`` that is there."""
+    text = F.col(raw)
+    value = F.try_parse_json(text)
+    shape = F.schema_of_variant(value)
+    error = F.when(text.isNull(), "file_not_found").when(value.isNull(), "invalid_json").when(~shape.startswith("OBJECT"), "top_level_json_is_not_an_object")
+    named = F.get_json_object(text, "$.schema")
+    frames = F.from_json(F.get_json_object(text, "$.frames"), "array<struct<players: string>>")
+    kind = F.when(error.isNull(), F.coalesce(named, F.when((F.size(frames) > 0) & F.forall(frames, lambda f: f["players"].isNotNull()), "unknown_frames_players_floor_xy").otherwise("unknown")))
+    listed = F.coalesce(*[F.get_json_object(text, f"$.{k}") for k in keys])
+    objects = F.filter(F.from_json(listed, "array<string>"), lambda v: v.startswith("{"))
+    return documents.withColumns({"error": error, "kind": kind, "records": F.when(error.isNull(), F.greatest(F.size(objects), F.lit(0)))})
+
+
+def valid_documents(documents: DataFrame, raw: str, path: str) -> DataFrame:
+    """``documents`` whose text is a JSON object; the others raise, with their path and what is wrong. A path that is listed twice is read once."""
+    state = read_state(documents.dropDuplicates([path]), raw)
+    broken = F.raise_error(F.concat(F.col(path), F.lit(": "), F.col("error")))
+    return state.withColumn("error", F.when(F.col("error").isNotNull(), broken).otherwise(F.col("error"))).where(F.coalesce("error", F.lit("")) == "").drop("error", "kind", "records")
+
+
+def files(spark: SparkSession, folder: str, pattern: str = "*", deep: bool = False) -> DataFrame:
+    """(path, name, bytes, frame) of the files of a folder; frame is the number in ``frame_<digits>``, null without."""
+    from ..functions.text import frame_of_path
+
+    held = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(deep).lower()).load(folder)
+    return held.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), frame_of_path(F.col("path")).alias("frame"))
+
+
+def file_records(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, bytes, sha256, oversize) of all files below a folder; over 90 MB is oversize."""
+    held = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return held.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), (F.col("length") > 90 * 1024 * 1024).alias("oversize"))
+
+
+def unique_names(listed: DataFrame) -> DataFrame:
+    """``files`` with one row per name; a name that occurs twice raises."""
+    once = listed.groupBy("name").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n"))
+    return once.select("name", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("duplicate file name: "), F.col("name")))).otherwise(F.col("path")).alias("path"))
+
+
+def kept_masks(metadata: DataFrame, fusion: DataFrame) -> DataFrame:
+    """One row per kept mask of a frame's metadata (frame_index, kept_masks), with the fused centroid and point count of (frame_index, mask_id); null and 0 where there is none, the last of repeats else."""
+    from ..operators.joins import last_by
+
+    masks = metadata.select("frame_index", F.explode("kept_masks").alias("m")).select("frame_index", F.col("m.mask_id"), F.col("m.bbox"), F.col("m.centroid"), F.col("m.bottom_center_point"), F.col("m.confidence_score"))
+    side = last_by(fusion.select("frame_index", "mask_id", "centroid_3d", "point_count", "ordinal"), ["frame_index", "mask_id"], "ordinal").drop("ordinal")
+    return masks.join(side, ["frame_index", "mask_id"], "left").withColumn("point_count", F.coalesce("point_count", F.lit(0)))
+
+
 def roster_players(documents: DataFrame) -> DataFrame:
     """One row per player with its team; abbreviation in capitals, names trimmed."""
     return documents.select(F.upper(F.trim("team.abbreviation")).alias("team"), F.explode("players").alias("p")).select("team", F.trim("p.name").alias("name"), "p.number", "p.height", "p.weight_lbs", "p.position")

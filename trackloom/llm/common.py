@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,18 +95,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold_of(doc_id) == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_class: int) -> tuple[list[tuple[str, int]], float | None]:
-    """Texts and labels to learn from, at most ``max_per_class`` of each class; and the share of label 1.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_per_class: int, max_bytes: int) -> tuple[list[tuple[str, int]], float | None]:
+    """Texts and labels to learn from: whole texts of at most ``max_per_class`` documents of each class, and of each no more than ``max_bytes`` of text beyond its first document.
 
-    Only rows outside the held-out fold count. The sample is the rows with the
-    smallest hash of their id, so it is the same however the tables are laid
-    out. The bound (2 x ``max_per_class`` rows) is what may be broadcast and
-    brought to the driver. The share is over all labelled rows outside the
-    fold, None where there are none.
+    Only rows outside the held-out fold count; an id that has both labels
+    counts for neither. Documents are taken in the order of the hash of their
+    id, so the sample is the same however the tables are laid out; of several
+    texts of an id it is the smallest one. These bounds are what may be
+    broadcast and brought to the driver. The share of label 1 is over all
+    labelled rows outside the fold, counted as if half a row of each class came
+    on top, None where there are none.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 1)).select("doc_id", F.col(label).cast("int").alias("_y"))
-    share = known.agg(F.avg("_y")).first()[0]
-    picked = [known.where(F.col("_y") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for y in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").select("doc_id", "_y", F.coalesce("text", F.lit("")).alias("text")).toArrow().to_pydict()
-    order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["_y"][i], rows["text"][i]))
-    return [(rows["text"][i], rows["_y"][i]) for i in order], share
+    valid = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 1)).select("doc_id", F.col(label).cast("int").alias("_y"))
+    known = valid.groupBy("doc_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").drop("_z")
+    ones, rows = known.agg(F.sum("_y"), F.count(F.lit(1))).first()
+    picked = [known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for y in (0, 1)]
+    met = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("_t")).join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id")
+    texts = met.groupBy("doc_id", "_y").agg(F.min("_t").alias("_t"))  # 2 x max_per_class rows from here on
+    before = Window.partitionBy("_y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    held = texts.withColumn("_at", F.coalesce(F.sum(F.octet_length("_t")).over(before), F.lit(0))).where(F.col("_at") < max_bytes)
+    found = held.select("doc_id", "_y", F.make_valid_utf8("_t").alias("_t")).toArrow().to_pydict()
+    order = sorted(range(len(found["doc_id"])), key=lambda i: (found["doc_id"][i], found["_y"][i]))
+    return [(found["_t"][i], found["_y"][i]) for i in order], ((ones or 0) + 0.5) / (rows + 1) if rows else None

@@ -7,7 +7,8 @@ dealt by length and content hash, sorted by both, and inserted into tries over
 (length, hash, bytes), whose terminals hold the id that stays and the number
 of copies. As the rows come in key order, everything left of the current
 (length, hash) is finished; when the trie holds more than its budget, those
-subtrees are emitted and let go. Memory is bounded by the budget plus one text.
+subtrees are emitted and let go. Memory is bounded by the budget, the texts of
+one batch and a few copies of one text.
 
 The terminals' answers go back to the documents by the SHA-256 of the text. A
 trie raises if two different texts of one hash bucket share a digest.
@@ -84,26 +85,37 @@ class Trie:
             node.value = (known if owner is None else owner if known is None else max(known, owner), n + copies)
 
     def take(self, before: bytes | None = None):
-        """Remove and yield (key, (owner, copies)); with ``before`` only what lies left of that key's path."""
-        stack = [(self.root, b"", True)]
+        """Remove and yield (key, (owner, copies)); with ``before`` only what lies left of that key's path.
+
+        The path to the node at hand is one buffer that grows and shrinks, so
+        besides the trie only one key is held.
+        """
+        path = bytearray()
+        # (node, length of the path above it, whether the path to it is a beginning of ``before``)
+        stack = [(self.root, 0, True)]
         while stack:
-            node, path, on_path = stack.pop()
+            node, above, on_path = stack.pop()
+            del path[above:]
+            path += node.edge
             if before is None or not on_path:
                 if node is not self.root:
                     self.held -= len(node.edge) + 200
                 if node.value is not None:
-                    yield path, node.value
+                    yield bytes(path), node.value
                     node.value = None
-            ahead = before[len(path) :] if before is not None and on_path else None
+            at = len(path)
             for first in sorted(node.children, reverse=True):
                 child = node.children[first]
-                edge, facing = (child.edge, child.edge[:0]) if ahead is None else (child.edge[: len(ahead)], ahead[: len(child.edge)])
-                if ahead is None or edge < facing:
-                    stack.append((child, path + child.edge, False))
-                    if on_path:
-                        del node.children[first]
-                elif edge == facing and len(child.edge) <= len(ahead):
-                    stack.append((child, path + child.edge, True))
+                if before is None or not on_path:
+                    stack.append((child, at, False))
+                    del node.children[first]
+                    continue
+                facing = before[at : at + len(child.edge)]
+                if child.edge[: len(facing)] < facing or not facing and child.edge < facing:
+                    stack.append((child, at, False))
+                    del node.children[first]
+                elif child.edge == facing:
+                    stack.append((child, at, True))
 
 
 ROW = pa.schema([("text_len", pa.int64()), ("content_hash", pa.int64()), ("body", pa.binary()), ("owner", pa.int64()), ("copies", pa.int64())])

@@ -26,7 +26,6 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def shift(prior: float | None, share: float) -> float:
-    """What a class-balanced model's bias lacks where class 1 has the share ``prior`` (else the sample's ``share``)."""
-    p = min(max(share if prior is None else prior, 0.02), 0.98)
-    return float(np.log(p / (1 - p)))
+def shift(prior: float) -> float:
+    """What a class-balanced model's bias lacks where class 1 has the share ``prior``, which is neither 0 nor 1."""
+    return float(np.log(prior / (1 - prior)))

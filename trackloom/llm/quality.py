@@ -1,7 +1,7 @@
 """Quality by hashed word n-grams, logistic regression and FTRL updates.
 
 Words are runs of letters and digits, lower-cased, and runs of other visible
-characters (of which three count). A word equal to the one before it is
+characters. A word equal to the one before it is
 replaced by one fixed mark. Unigrams and bigrams of these are hashed into a
 fixed number of columns; a text is its count vector scaled to length one. The
 weights are learned by follow-the-regularised-leader with per-coordinate rates
@@ -30,7 +30,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hashes(piece: bytes) -> bytes:
-    words = [w if w[0].isalnum() else w[:3] for w in WORD.findall(piece.decode("utf-8", "replace").lower())]
+    words = WORD.findall(piece.decode("utf-8", "replace").lower())
     return np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64).tobytes()
 
 
@@ -65,7 +65,7 @@ class Model:
 
 
 def fit(sample: list[tuple[str, int]], prior: float | None = None, rounds: int = 8, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
-    """FTRL-proximal over the sample, in an order drawn with a fixed seed; classes weigh the same, and ``prior`` (the share of good documents) moves the bias."""
+    """FTRL-proximal over the sample, in an order drawn with a fixed seed; classes weigh the same, and ``prior`` (the share of good documents, the sample's own by default) moves the bias."""
     rows = [(*features(t.encode()), y) for t, y in dict.fromkeys(sample)]
     share = np.mean([y for *_, y in rows]) if rows else 0.5
     weight = {1: 0.5 / max(share, 1e-9), 0: 0.5 / max(1 - share, 1e-9)}
@@ -85,12 +85,13 @@ def fit(sample: list[tuple[str, int]], prior: float | None = None, rounds: int =
             n[at] += g * g
     w = current(np.arange(COLUMNS), l1)
     used = np.nonzero(w)[0]
-    return Model(used, w[used], float(current(np.array([COLUMNS]), 0.0)[0]) + shift(prior, share))
+    own = (sum(y for *_, y in rows) + 0.5) / (len(rows) + 1)
+    return Model(used, w[used], float(current(np.array([COLUMNS]), 0.0)[0]) + shift(own if prior is None else prior))
 
 
-def trained(docs: DataFrame, labels: DataFrame, max_per_class: int = 2500) -> Model:
-    """A model from at most ``max_per_class`` labelled documents of each class outside the held-out fold."""
-    return fit(*labelled_sample(docs, labels, "quality", max_per_class))
+def trained(docs: DataFrame, labels: DataFrame, max_per_class: int = 2500, max_bytes: int = 12 << 20) -> Model:
+    """A model from at most ``max_per_class`` labelled documents, and about ``max_bytes`` of text, of each class outside the held-out fold."""
+    return fit(*labelled_sample(docs, labels, "quality", max_per_class, max_bytes))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_per_class: int = 2500) -> DataFrame:
@@ -98,13 +99,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_per_class: int = 250
 
     Every whole text is scored; null counts as empty. Nothing but the text
     enters the score. A null id is never held out. Repeated rows are repeated;
-    other columns are ignored.
+    other columns are ignored. Without labels all scores are one half; an
+    empty table has no rows.
     """
     scored, _ = with_score(docs.select(F.col("doc_id").cast("long"), "text"), trained(docs, labels, max_per_class))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_per_class: int = 2500) -> DataFrame:
-    """``docs`` without the documents predicted to be of low quality; all columns stay."""
+    """``docs`` without the documents predicted to be of low quality; all columns, repeated rows and rows without an id stay. A null text counts as empty."""
     scored, name = with_score(docs, trained(docs, labels, max_per_class))
     return scored.where(F.col(name) >= THRESHOLD).drop(name)

@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained, one on toxic text and one on ordinary
 text. A document is cut into windows of one word each; a window that becomes
 shorter with the toxic dictionary than with the ordinary one is evidence. How
 often windows of a document gain 2, 3, 4 or 6 bytes gives its score through
-thresholds calibrated on the learning sample.
+weights fitted to learning documents that the dictionaries had not seen.
 
 Labels mark whole documents, most of whose words are ordinary. So the toxic
 dictionary is trained on the windows that hold a byte n-gram which is far
@@ -66,12 +66,12 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
 
 
-def _trained(size: int, counts: Counter, most: int = 200_000) -> bytes:
-    """Dictionary content from pieces, each as often as it occurs, 50 times at most."""
-    pieces = [b" " + w + b" " for w in sorted(counts) for _ in range(min(counts[w], 50))]
+def _trained(size: int, counts: Counter) -> bytes:
+    """Dictionary content from pieces, each as often as it occurs."""
+    pieces = [b" " + w + b" " for w in sorted(counts) for _ in range(counts[w])]
     random.Random(7).shuffle(pieces)
     try:
-        return zstandard.train_dictionary(size, pieces[:most], d=6, k=24).as_bytes()
+        return zstandard.train_dictionary(size, pieces, d=6, k=24).as_bytes()
     except zstandard.ZstdError:  # too little to choose from: all of it
         return b"".join(dict.fromkeys(pieces))[-size:]
 
@@ -106,32 +106,47 @@ class Model:
         return float(sigmoid(x @ self.weights))
 
 
-def fit(sample: list[tuple[str, int]]) -> Model:
-    """Train both dictionaries and calibrate for even odds of the classes. With only one class in the sample every score is that class's side of one half."""
-    texts = [(t.encode(), y) for t, y in dict.fromkeys(sample)]
-    words = {1: Counter(), 0: Counter()}
-    grams = {1: Counter(), 0: Counter()}
-    n = Counter(y for _, y in texts)
+def dictionaries(texts: list[tuple[bytes, int]]) -> Model:
+    """Both dictionaries from texts of both classes, without weights."""
+    words, grams, n = {1: Counter(), 0: Counter()}, {1: Counter(), 0: Counter()}, Counter(y for _, y in texts)
     for t, y in texts:
         own = set(windows(t))
         words[y].update(own)
         grams[y].update(set().union(*map(_grams, own)) if own else ())
-    if not n[0] or not n[1]:
-        return Model(b"", b"", np.array([0.0] * len(GAINS) + [np.log((n[1] + 1) / (n[0] + 1))]))
     telling = {g for g, k in grams[1].items() if k >= max(4, 0.03 * n[1]) and k / n[1] >= 20 * (grams[0][g] + 0.5) / n[0]}
     suspect = Counter()
     for w, k in words[1].items():
         if core := _core(w, telling):
             suspect[core] += k
-    model = Model(_trained(6144, suspect), _trained(65536, words[0]))
-    again = Counter()
+    ordinary = _trained(65536, words[0])
+    model, again = Model(_trained(6144, suspect), ordinary), Counter()
     for _ in range(2):
         again.update({w: k + 3 for w, k in words[0].items() if model.gain(w) >= 2})
         if again:
-            model = Model(model.toxic, model.ordinary[:65536] + _trained(24576, again))
-    x = np.array([model.evidence(t) for t, _ in texts])
-    y = np.array([y for _, y in texts], float)
-    model.weights = fit_logistic(x, y, ridge=0.05)
+            model = Model(model.toxic, ordinary + _trained(24576, again))
+    return model
+
+
+def fit(sample: list[tuple[str, int]], parts: int = 3) -> Model:
+    """Train both dictionaries, and calibrate for even odds of the classes.
+
+    The weights are fitted to evidence that every text got from dictionaries
+    trained without it: the sample is cut into ``parts``, and each is looked at
+    with what the others give. With only one class in a cut, or at all, every
+    score is that class's side of one half.
+    """
+    texts = [(t.encode(), y) for t, y in dict.fromkeys(sample)]
+    random.Random(5).shuffle(texts)
+    n = Counter(y for _, y in texts)
+    cuts = [[r for k, r in enumerate(texts) if k % parts != part] for part in range(parts)]
+    if any(len({y for _, y in cut}) < 2 for cut in cuts):
+        return Model(b"", b"", np.array([0.0] * len(GAINS) + [np.log((n[1] + 1) / (n[0] + 1))]))
+    seen = []
+    for part, cut in enumerate(cuts):
+        other = dictionaries(cut)
+        seen += [(other.evidence(t), y) for k, (t, y) in enumerate(texts) if k % parts == part]
+    model = dictionaries(texts)
+    model.weights = fit_logistic(np.array([e for e, _ in seen]), np.array([y for _, y in seen], float), ridge=0.05)
     return model
 
 
@@ -158,9 +173,9 @@ def with_score(docs: DataFrame, model) -> tuple[DataFrame, str]:
     return text_batches(docs).mapInArrow(_Scored(model, name, at), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])), name
 
 
-def trained(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500) -> Model:
-    """A model from at most ``max_per_class`` labelled documents of each class outside the held-out fold."""
-    return fit(labelled_sample(docs, labels, "toxic", max_per_class)[0])
+def trained(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500, max_bytes: int = 8 << 20) -> Model:
+    """A model from at most ``max_per_class`` labelled documents, and about ``max_bytes`` of text, of each class outside the held-out fold."""
+    return fit(labelled_sample(docs, labels, "toxic", max_per_class, max_bytes)[0])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_per_class: int = 1500) -> DataFrame:
@@ -168,7 +183,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_per_class: int = 150
 
     Every whole text is scored; null counts as empty. Nothing but the text
     enters the score. A null id is never held out. Repeated rows are repeated;
-    other columns are ignored.
+    other columns are ignored. Without labels of both classes all scores are
+    alike; an empty table has no rows.
     """
     model = trained(docs, labels, max_per_class)
     scored, _ = with_score(docs.select(F.col("doc_id").cast("long"), "text"), model)
@@ -176,6 +192,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_per_class: int = 150
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_per_class: int = 1500) -> DataFrame:
-    """``docs`` without the documents predicted toxic; all columns stay."""
+    """``docs`` without the documents predicted toxic; all columns, repeated rows and rows without an id stay. A null text counts as empty."""
     scored, name = with_score(docs, trained(docs, labels, max_per_class))
     return scored.where(F.col(name) < THRESHOLD).drop(name)

@@ -22,9 +22,9 @@ COLUMNS = 1 << 16
 #: Fixed values: (host, path, verdict) of the rules.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-#: The labelled table: words of hosts that are blocked, and of hosts that are allowed. Each is met with several domains and paths.
-BLOCKED = ("cheap-pills", "spam-farm", "casino-bonus", "free-viagra", "win-money-now", "hot-singles", "payday-loans", "replica-watches", "buy-followers", "miracle-diet", "crypto-doubler", "adult-cams", "betting-tips", "pills-online", "link-farm", "click-bait", "fake-degrees", "lottery-winner", "keygen-crack", "torrent-warez")
-ALLOWED = ("news", "weather", "library", "university", "docs", "museum", "recipes", "science", "garden", "history", "music", "school", "travel", "health", "city-council", "open-data", "sports", "books", "theatre", "wiki", "theron", "thanting", "tionare", "blog", "forum")
+#: The labelled table: words that hosts of junk are named with, and words of ordinary hosts. Each is met with several endings, domains and paths.
+BLOCKED = ("casino", "poker", "slots", "jackpot", "roulette", "betting", "lottery", "viagra", "cialis", "pharmacy-discount", "weight-loss", "payday", "quick-loan", "replica", "fake-watch", "counterfeit", "xxx", "porn", "escort", "camgirls", "warez", "keygen", "crack-serial", "torrent", "free-money", "get-rich", "click-now", "spam", "seo-links", "popup-ads", "ad-server", "tracker-pixel", "malware", "phish", "giveaway-win", "miracle-cure")
+ALLOWED = ("news", "weather", "library", "university", "museum", "recipes", "science", "garden", "history", "music", "school", "travel", "health", "council", "open-data", "sports", "books", "theatre", "encyclopedia", "journal", "archive", "research", "hospital", "railway", "bakery", "poetry", "chess", "mountain", "river", "language", "physics", "community", "market", "software", "kitchen", "photography")
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
@@ -32,9 +32,9 @@ def labelled_urls() -> list[tuple[str, str, int]]:
     out = []
     for words, label in ((BLOCKED, 0), (ALLOWED, 1)):
         for k, word in enumerate(words):
-            for j, ending in enumerate(("example.com", "example.net", "example.org")):
-                for prefix in ("", "www.", "blog.", "m."):
-                    out.append((f"{prefix}{word}.{ending}", f"/{('en', 'de', 'fr', 'es')[(k + j) % 4]}/{(37 * k + 11 * j) % 1000}{('', '/', '.html')[(k + j) % 3]}", label))
+            for j, ending in enumerate((".com", "-online.net", "-site.info", "daily.org")):
+                for prefix in ("", "www.", "blog.", "m.", "my-"):
+                    out.append((f"{prefix}{word}{ending}", f"/{('en', 'de', 'fr', 'es', 'page', 'item')[(k + j) % 6]}/{(37 * k + 11 * j) % 1000}{('', '/', '.html')[(k + j) % 3]}", label))
     return out
 
 
@@ -57,9 +57,18 @@ class Model:
         return float(sigmoid(self.weights[at].sum() / np.sqrt(max(len(at), 1)) + self.bias))
 
 
+def bounded(table: Sequence[tuple[str, str, int]], max_rows: int, seed: int = 5) -> list[tuple[str, str, int]]:
+    """The table, or of either class ``max_rows`` rows at most, drawn with a fixed seed whatever their order."""
+    out, draw = [], np.random.default_rng(seed)
+    for label in (0, 1):
+        rows = sorted(r for r in table if r[2] == label)
+        out += rows if len(rows) <= max_rows else [rows[k] for k in np.sort(draw.permutation(len(rows))[:max_rows])]
+    return out
+
+
 def fit(table: Sequence[tuple[str, str, int]], rounds: int = 30, rate: float = 0.5, ridge: float = 1e-4, max_rows: int = 10_000) -> Model:
-    """Stochastic gradient descent in a fixed order over at most ``max_rows`` labelled URLs."""
-    rows = [(columns_of(h.lower(), p), y) for h, p, y in table[:max_rows]]
+    """Stochastic gradient descent in a fixed order over at most ``max_rows`` labelled URLs of each class."""
+    rows = [(columns_of(h.lower(), p), y) for h, p, y in bounded(table, max_rows)]
     w, bias, order = np.zeros(COLUMNS), 0.0, np.random.default_rng(5)
     for turn in range(rounds):
         step = rate / (1 + 0.1 * turn)
@@ -105,7 +114,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, table
     rule's; of several the longest wins. Without a rule the model decides:
     allow from ``threshold`` on. A null url, or one without ``://``, has an
     empty host and path, fits no rule, and is judged by the model as such.
-    Repeated rows are repeated; other columns are ignored. No shuffle.
+    Repeated rows and rows without an id are judged like any other; other
+    columns are ignored; an empty table has no rows. No shuffle.
     """
     scored = split_urls(pages).mapInArrow(_Scored(fit(labelled_urls() if table is None else table)), "page_id long, host string, path string, score double")
     rule, verdict = F.lit(None).cast(T.StringType()), F.when(F.col("score") >= threshold, "allow").otherwise("block")

@@ -288,9 +288,38 @@ def test_hilbert(spark, docs, rows, none):
     want = sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
     assert sorted(zip(got["size"], got.text_crc32, strict=True)) == want
     assert got.sort_values(["shard", "slot"]).curve_index.is_monotonic_increasing
+    # The same by a plain sort: codes by rows before a value, cells along the curve, then id, checksum, size.
+    def code(values, v):
+        known = [x for x in values if x is not None]
+        return 0 if v is None else sum(x < v for x in known) * 15 // len(known) + 1
+
+    along = {tuple(r.a): r.h for r in spark.range(4096).select(F.array(*[F.shiftright("id", k).bitwiseAND(15) for k in (8, 4, 0)]).alias("a")).select("a", hilbert.hilbert_index(F.col("a"), 4, 3).alias("h")).collect()}
+    langs, sources = [r[2] for r in rows], [r[3] for r in rows]
+    plain = []
+    for i, t, lang, source, n in rows:
+        cell = (code(langs, lang), code(sources, source), 0 if not n else min(15, n.bit_length() - 1))
+        b = (t or "").encode()
+        plain.append((along[cell], i is not None, i or 0, zlib.crc32(b), len(b) + 1, i))
+    plain.sort(key=lambda r: r[:5])
+    n = len(plain)
+    want = []
+    for k, (h, _, _, crc, size, i) in enumerate(plain):
+        shard = k * 16 // n
+        want.append((i is None, i or 0, crc, size, shard, k - -(-shard * n // 16), h))
+    got_rows = hilbert.shards(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text_crc32, r["size"], r.shard, r.slot, r.curve_index) for r in got_rows) == sorted(want)
     assert hilbert.shards(none).count() == 0
 
 
+def test_shards_prune_on_every_dimension(spark):
+    r = random.Random(8)
+    rows = [(i, "t", f"l{r.randrange(6)}", f"s{r.randrange(8)}", int(2 ** (12 * r.random()))) for i in range(3000)]
+    got = hilbert.shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).select("doc_id", "shard").collect()
+    shard = {g.doc_id: g.shard for g in got}
+    touched = lambda at: sum(len({shard[row[0]] for row in rows if row[at] == v}) for v in {row[at] for row in rows}) / len({row[at] for row in rows})
+    assert touched(2) < 9 and touched(3) < 12  # of 16; by chance all of them
+
+
 def test_token_files(spark, docs, rows, none):
     from tokenizers import Tokenizer
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import ranked
+from .common import Stored
 
 
 def hilbert_index(axes: Column, bits: int, dims: int) -> Column:
@@ -49,9 +49,12 @@ def hilbert_index(axes: Column, bits: int, dims: int) -> Column:
     return F.aggregate(levels, zero, lambda acc, q: F.aggregate(final, acc, lambda a, v: a * 2 + F.when(v.bitwiseAND(q) != zero, 1).otherwise(0).cast("long")))
 
 
-def coded(value: Column, bits: int) -> Column:
-    """A categorical value as a coordinate; null is 0."""
-    return F.when(value.isNull(), 0).otherwise(F.pmod(F.xxhash64(value), F.lit((1 << bits) - 1)) + 1).cast("int")
+def codes(rows: DataFrame, column: str, bits: int) -> DataFrame:
+    """(value, code) of every value of a categorical column: values in their order, cut into as many runs of about equal weight in rows as there are codes from 1 on; null has code 0 and no row."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    return counts.withColumn("before", before).crossJoin(F.broadcast(total)).select("value", F.expr(f"int(before * {(1 << bits) - 1} div total) + 1").alias("code"))
 
 
 def magnitude(value: Column, bits: int) -> Column:
@@ -63,23 +66,38 @@ def shards(docs: DataFrame, n_shards: int = 16, bits: int = 4) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, curve_index.
 
     The law is ``rows``: shard counts differ by one at most. Cells are made of
-    lang, source and n_chars; within a cell documents are in no special order.
-    size is the bytes of the text plus one; a null text has size 1 and the
-    checksum of the empty one. Repeated rows are numbered one by one, null
-    columns have a coordinate of their own, other columns are ignored. The
-    text is read once and only its size and checksum go on.
+    lang, source and n_chars and ordered along the curve; within a cell
+    documents go by id, then checksum and size, null ids first. size is the
+    bytes of the text plus one; a null text has size 1 and the checksum of the
+    empty one. Repeated rows are numbered one by one, null columns have a
+    coordinate of their own, other columns are ignored; an empty table has no
+    rows. The texts are read once; only their sizes and checksums go on.
+
+    Rows are put in order by ranges, those that are wholly equal by where they
+    were read, so no key fills a task. Two narrow tables stay in the shared
+    folder, as the result is read from the second; some 80 bytes a document.
     """
-    dims = [coded(F.col("lang"), bits), coded(F.col("source"), bits), magnitude(F.col("n_chars"), bits)]
-    cell = dims[0]
-    for d in dims[1:]:
-        cell = cell * (1 << bits) + d
-    counts = docs.select(cell.alias("cell")).groupBy("cell").count()
-    axes = F.array(*[F.shiftright(F.col("cell"), bits * k).bitwiseAND((1 << bits) - 1) for k in range(len(dims) - 1, -1, -1)])
-    curve = counts.select("cell", "count", hilbert_index(axes, bits, len(dims)).alias("curve_index"))
-    # At most 2 ** (bits * dims) = 4096 cells, whatever the input.
-    starts = curve.select(F.col("cell").alias("at"), "curve_index", F.coalesce(F.sum("count").over(Window.orderBy("curve_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"), F.sum("count").over(Window.partitionBy()).alias("total"))
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), cell.alias("cell"))
-    placed = ranked(rows, "cell", ["doc_id", "text_crc32", "size"], counts).join(F.broadcast(starts), F.col("cell") == F.col("at")).withColumn("place", F.col("start") + F.col("rank"))
-    shard = F.expr(f"(place * {n_shards}) div total")
-    return placed.withColumn("shard", shard).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), (F.col("place") - F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve_index")
+    spark = docs.sparkSession
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = Stored(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), "lang", "source", magnitude(F.col("n_chars"), bits).alias("m")), "rows").df
+    held = rows.withColumn("_read", F.monotonically_increasing_id())
+    for k, c in enumerate(("lang", "source")):
+        known = codes(rows, c, bits).select(F.col("value").alias(f"_v{k}"), F.col("code").alias(f"_c{k}"))
+        held = held.join(known, F.col(c) == F.col(f"_v{k}"), "left")
+    step = 1 << bits
+    held = held.withColumn("cell", (F.coalesce("_c0", F.lit(0)) * step + F.coalesce("_c1", F.lit(0))) * step + F.col("m"))
+    axes = F.array(*[F.shiftright(F.col("id").cast("int"), bits * k).bitwiseAND(step - 1) for k in (2, 1, 0)])
+    # All 2 ** (3 * bits) cells, 4096 of them, whatever the input.
+    curve = spark.range(1 << 3 * bits).select(F.col("id").alias("_cell"), hilbert_index(axes, bits, 3).alias("curve_index"))
+    order = ["curve_index", "doc_id", "text_crc32", "size", "_read"]
+    met = held.join(F.broadcast(curve), F.col("cell") == F.col("_cell")).select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = Stored(spark, met.select("curve_index", "doc_id", "text_crc32", "size", F.spark_partition_id().alias("part"), within.alias("within")), "placed").df
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per partition of the table before.
+    starts = counts.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    ranked = placed.join(F.broadcast(starts), F.col("part") == F.col("_part")).withColumn("place", F.col("start") + F.col("within"))
+    ranked = ranked.withColumn("shard", F.expr(f"(place * {n_shards}) div total"))
+    slot = F.col("place") - F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")
+    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve_index")

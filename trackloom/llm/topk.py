@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Parts of the lists that are read before the bounds are looked at; after the last everything has been read.
-DEPTHS = (0.875, 0.9375, 0.96875, 1.0)
+#: Parts of the lists after whose reading the bounds are looked at; after the last everything has been read.
+DEPTHS = (0.5, 0.75, 0.875, 0.9375, 0.96875, 1.0)
 
 
 def bounds(queries: np.ndarray, block: np.ndarray, ordered: np.ndarray, depth: float, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +41,7 @@ def top_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, bl
     """(query id, id, score) of each query's k best in the block, ties to the smaller id; a query's own id is left out."""
     if not len(block) or not len(queries):
         return
+    queries, block = queries.astype(np.int64), block.astype(np.int64)
     reach = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * max(1, block.shape[1])
     kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else object
     exact = block.astype(object) if kind is object else block
@@ -99,8 +100,12 @@ def top_k(vectors: DataFrame, is_query: Column | None = None, k: int = 20, block
     ``block_rows`` candidates and ``query_rows`` queries, whatever the input.
     """
     rows = quantised(vectors)
-    asks = rows.where(F.col("vec_id") % 20 == 0 if is_query is None else is_query)
-    n, m = rows.count(), asks.count()
+    chosen = F.col("vec_id") % 20 == 0 if is_query is None else is_query
+    reach = F.array_max(F.transform("v", lambda c: F.abs(c)))
+    n, m, most = rows.agg(F.count(F.lit(1)), F.count_if(chosen), F.max(reach)).first()
+    # Every candidate goes to each group of queries and every query to each block, so they travel in 16 bits where that holds them.
+    rows = rows.withColumn("v", F.col("v").cast("array<smallint>")) if (most or 0) < 1 << 15 else rows
+    asks = rows.where(chosen)
     blocks, groups = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
     left = asks.withColumns({"h": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int"), "g": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     right = rows.withColumns({"g": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), "h": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stored, text_batches, unused
+from .pretokens import forget
 
 HEAD = struct.Struct(">QQ")
 
@@ -156,6 +157,7 @@ class _LocalOwners:
             yield len(body), xxhash.xxh64_intdigest(body) >> 1, body, owner, copies
 
     def __call__(self, batches):
+        forget()
         return _batches(self.rows(batches), ROW, weigh=lambda r: r[0] + 64)
 
 

@@ -11,6 +11,7 @@ of white space whole.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from array import array
 
@@ -79,10 +80,17 @@ class Memory(dict):
 _LOADED: dict = {}
 
 
+def forget() -> None:
+    """Let go of what other operators have left in this Python worker, and hand free memory back."""
+    _LOADED.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def loaded(key: tuple, make):
     """What ``make`` gives, kept in the Python worker for its later tasks; one operator's object at a time, so memories don't add up."""
     if key not in _LOADED:
-        _LOADED.clear()
+        forget()
         _LOADED[key] = make()
     return _LOADED[key]
 
@@ -250,7 +258,7 @@ class Words:
         return flat, np.diff(bounds)
 
 
-def grouped(batches, size: int = 12 << 20):
+def grouped(batches, size: int = 8 << 20):
     """(doc_ids, texts) of (doc_id, text) batches, some ``size`` bytes at once: the larger, the fewer words are new in it."""
     held, at = [], 0
     for batch in batches:

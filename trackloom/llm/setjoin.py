@@ -10,9 +10,8 @@ Texts with a key in common meet. Where the first key that two sets of n and m
 share stands at i and j, they share at most 1 + min(n - 1 - i, m - 1 - j)
 shingles, and a pair for which that is too little goes. So the smaller set of
 a pair has that key among its first ninth, which alone keeps apart texts that
-share a common passage. In wide buckets a pair whose sketches (parities of 512
-cells) differ too much goes as well. The rest are verified on the full sets.
-The order
+share a common passage. A pair whose sketches (parities of 512 cells) differ too
+much goes as well. The rest are verified on the full sets. The order
 decides only how much meets: shingles that recur in a sample of the texts come
 last, the commonest at the very end.
 
@@ -34,6 +33,7 @@ from pyspark.sql.window import Window
 
 from .common import Stored, text_batches, unused
 from .components import components
+from .pretokens import forget
 from .simhash import majority, near_links, shingle_hashes
 
 SHINGLE = 5
@@ -78,6 +78,7 @@ class _Sets:
         return own[:count]
 
     def __call__(self, batches):
+        forget()
         for batch in batches:
             nodes, sizes, ends, parts, fps, marks = [], [], [0], [], [], []
             for t in batch.column(1):
@@ -128,23 +129,34 @@ def _close_sketches(a: str, b: str, n: str, m: str) -> Column:
     return apart * 9 <= F.col(n) + F.col(m)
 
 
-def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar. Many may share their b, few their a."""
-    pairs = Stored(spark, pairs.distinct().withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS))), "pairs").df
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, rows: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
+    """Those of the pairs (a, b) that are similar. Many may share their b, few their a. The sketches go first, as whole sets are large."""
+    known = lambda end, size: sets.select(F.col("node").alias(end), F.col("size").alias(size), F.col("sketch").alias(f"of_{end}"))
+    near = pairs.distinct().join(known("a", "n"), "a").join(known("b", "m"), "b").where(_close_sketches("of_a", "of_b", "n", "m")).select("a", "b")
+    pairs = Stored(spark, near.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS))), "pairs")
+    ends = pairs.df.select(F.col("a").alias("node")).unionAll(pairs.df.select(F.col("b").alias("node"))).distinct()
     # One row stands for all that have the same set.
     shown = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark")).select(F.col("mark").alias("_mark")).distinct()
     texts = docs.select("doc_id", "text").withColumn("_mark", F.xxhash64("text")).join(shown, "_mark", "left_semi").dropDuplicates(["_mark"])
-    sets = Stored(spark, _sets(texts, shingle).select("node", "size", "hashes"), "sets").df
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("hashes").alias("x")), "a")
-    right = pairs.select("b", "part").distinct().join(sets.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("hashes").alias("y")), "b")
+    whole = Stored(spark, _sets(texts, shingle).select("node", "size", "hashes"), "sets")
+    left = pairs.df.join(whole.df.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("hashes").alias("x")), "a")
+    right = pairs.df.select("b", "part").distinct().join(whole.df.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("hashes").alias("y")), "b")
     both = left.join(right, ["b", "part"])
-    return Stored(spark, both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.col("m") + F.col("n")) * 4).select("a", "b"), "similar").df
+    similar = Stored(spark, both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.col("m") + F.col("n")) * 4).select("a", "b"), "similar").df
+    pairs.drop()
+    whole.drop()
+    return similar
 
 
-def _ball_pairs(spark: SparkSession, sets: DataFrame) -> DataFrame:
+def _kept(temporary: list[Stored], spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table that is dropped with the others of the list."""
+    temporary.append(Stored(spark, df, label))
+    return temporary[-1].df
+
+
+def _ball_pairs(spark: SparkSession, sets: DataFrame, temporary: list[Stored]) -> DataFrame:
     """Pairs of sets that ball hashing of their fingerprints proposes; equal fingerprints go through their smallest set."""
-    near = Stored(spark, sets.groupBy("fp").agg(F.min("node").alias("own")), "fps").df
+    near = _kept(temporary, spark, sets.groupBy("fp").agg(F.min("node").alias("own")), "fps")
     links = near_links(spark, near.select("fp"))
     far = near.select(F.col("fp").alias("b"), F.col("own").alias("to"))
     across = links.join(near, F.col("a") == F.col("fp")).join(far, "b").select(F.col("own").alias("a"), F.col("to").alias("b"))
@@ -152,15 +164,16 @@ def _ball_pairs(spark: SparkSession, sets: DataFrame) -> DataFrame:
     return across.unionAll(same)
 
 
-def similar_sets(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark, node) of every row, and (node, label) of every node that is linked to another."""
-    found = Stored(spark, _sets(docs, shingle, common_shingles(docs, shingle), keys=True), "keys").df
+def similar_sets(spark: SparkSession, docs: DataFrame, temporary: list[Stored], shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, node) of every row, and (node, label) of every node that is linked to another. The tables in ``temporary`` are to be dropped when both have been used."""
+    found = _kept(temporary, spark, _sets(docs, shingle, common_shingles(docs, shingle), keys=True), "keys")
     rows = found.select("doc_id", "mark", "node")
-    sets = found.select("node", "size", "hashes", "fp", "sketch").dropDuplicates(["node"])
+    sketches = _kept(temporary, spark, found.select("node", "size", "fp", "sketch").dropDuplicates(["node"]), "sketches")
+    sets = found.select("node", "size", "hashes").dropDuplicates(["node"])
     w = Window.partitionBy("key")
     keyed = sets.select("node", "size", F.posexplode("hashes").alias("at", "key"))
     early = F.max(((F.col("size") - F.col("at")) * 9 >= F.col("size") * 8).cast("int"))
-    met = Stored(spark, keyed.withColumns({"n": F.count(F.lit(1)).over(w), "early": early.over(w)}).where("n > 1 and early = 1").drop("early"), "met").df
+    met = _kept(temporary, spark, keyed.withColumns({"n": F.count(F.lit(1)).over(w), "early": early.over(w)}).where("n > 1 and early = 1").drop("early"), "met")
     few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
     # Each bucket is led by a set of its own, so a set meets as many others as it has keys; and by the smallest of all, which many share.
     leaders = many.groupBy("key").agg(F.min(F.struct("node", "size")).alias("leader_1"), F.min(F.struct(F.xxhash64("node", "key").alias("drawn"), "node", "size")).alias("leader_2"))
@@ -173,17 +186,17 @@ def similar_sets(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -
         y = right.select("key", F.col("node").alias("b"), F.col("size").alias("m"), F.col("at").alias("j"), *[c for c in right.columns if c.startswith("of_")])
         return x.join(y, "key").where(_reaches("n", "i", "m", "j"))
 
-    pairs = pairs_of(few, few).where(F.col("a") < F.col("b")).select("a", "b").unionAll(_ball_pairs(spark, sets))
+    pairs = pairs_of(few, few).where(F.col("a") < F.col("b")).select("a", "b").unionAll(_ball_pairs(spark, sketches, temporary))
     for leader in ("leader_1", "leader_2"):
         pairs = pairs.unionAll(led.where(F.col("node") != F.col(f"{leader}.node")).where(_alike("size", f"{leader}.size")).select(F.col("node").alias("a"), F.col(f"{leader}.node").alias("b")))
-    links = _verified(spark, pairs, docs, rows, shingle)
+    links = _verified(spark, pairs, docs, rows, sketches, shingle)
     groups = components(spark, links).df
     if many.isEmpty():
         return rows, groups
-    named = many.select("key", "node", "size", "at").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sets.select("node", "sketch"), "node")
-    named = Stored(spark, named, "named").df
+    named = many.select("key", "node", "size", "at").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sketches.select("node", "sketch"), "node")
+    named = _kept(temporary, spark, named, "named")
     usual = named.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", F.col("most.label").alias("usual"))
-    split = Stored(spark, named.join(usual, "key"), "split").df
+    split = _kept(temporary, spark, named.join(usual, "key"), "split")
     if split.isEmpty():
         return rows, groups
     # The smaller set of a pair has the key early, so one side or the other is among the early rows.
@@ -191,7 +204,7 @@ def similar_sets(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -
     sided = split.withColumns({"of_apart": F.col("label") != F.col("usual"), "of_label": F.col("label"), "of_sketch": F.col("sketch")})
     right = sided.withColumnsRenamed({"of_apart": "of_other", "of_label": "of_it", "of_sketch": "of_its"})
     across = pairs_of(sided.where(early), right).where(F.col("of_label") != F.col("of_it")).where(F.col("of_apart") | F.col("of_other")).where(_close_sketches("of_sketch", "of_its", "n", "m"))
-    more = _verified(spark, across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, rows, shingle)
+    more = _verified(spark, across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, rows, sketches, shingle)
     if more.isEmpty():
         return rows, groups
     return rows, components(spark, links.unionAll(more)).df
@@ -204,7 +217,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> Da
     without an id link others but are never dropped. A row is dropped by id
     and text, so another text of the same id stays.
     """
-    rows, groups = similar_sets(spark, docs, shingle)
+    temporary: list[Stored] = []
+    rows, groups = similar_sets(spark, docs, temporary, shingle)
     own = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     linked = own.join(groups, "node")
     best = linked.groupBy("label").agg(F.min("least").alias("best"))
@@ -212,4 +226,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> Da
     name, mark = unused(docs, "gone"), unused(docs, "mark")
     gone = rows.join(owner, F.col("node") == F.col("_node")).where("owner < doc_id").select(F.col("doc_id").alias(name), F.col("mark").alias(mark)).distinct()
     gone = Stored(spark, gone, "gone").df
+    for table in temporary:
+        table.drop()
     return docs.join(gone, (docs.doc_id == gone[name]) & (F.xxhash64(docs.text) == gone[mark]), "left_anti")

@@ -81,7 +81,7 @@ def valid_documents(documents: DataFrame, raw: str, path: str) -> DataFrame:
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*", deep: bool = False) -> DataFrame:
-    """(path, name, bytes, frame) of the files of a folder; frame is the number in ``frame_<digits>``, null without."""
+    """(path, name, bytes, frame) of the files of a folder; frame is the number in ``frame_<digits>``, null without. Files without content have no row."""
     from ..functions.text import frame_of_path
 
     held = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(deep).lower()).load(folder)

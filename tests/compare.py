@@ -8,7 +8,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    plain = lambda v: None if pd.isna(v) else round(float(v), 3) if isinstance(v, float) else v
+    plain = lambda v: None if pd.isna(v) else round(float(v), 9) if isinstance(v, float) else v
     return sorted([tuple(plain(v.item() if hasattr(v, "item") else v) for v in r) for r in df.itertuples(index=False)], key=repr)
 
 

@@ -1,11 +1,12 @@
 import numpy as np
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from trackloom.functions import boxes as bx
 from trackloom.functions import points as pt
 from trackloom.functions import text as tx
-from trackloom.operators import homography, joins, select, spatial
+from trackloom.operators import crops, homography, joins, select, spatial
 
 
 def _one(spark, *columns):
@@ -134,3 +135,15 @@ def test_density_of_nothing(spark):
     assert spatial.normalised(grid).first().level == 0 and spatial.normalised(grid.limit(0)).count() == 0
     hists = spark.createDataFrame([(1, [1.0, -1.0]), (1, [-1.0, 1.0]), (2, [3.0, 4.0]), (2, None)], "k long, h array<double>")
     assert {r.k: r["mean"] for r in spatial.mean_histograms(hists, ["k"], "h").collect()} == {1: None, 2: [0.6, 0.8]}
+
+
+def test_arrays_and_bounds(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.arange(24.0).reshape(2, 4, 3))
+    got = crops.array_points(spark, str(tmp_path)).orderBy("at").collect()
+    assert [r["values"] for r in got] == np.arange(24.0).reshape(8, 3).tolist()
+    assert crops.parse_bounds(None, 4, 5) == (0.0, 0.0, 4.0, 5.0) and crops.parse_bounds("1, 2,3,4", 9, 9) == (1.0, 2.0, 3.0, 4.0)
+    for bad in ("1,2,3", "3,2,1,4"):
+        with pytest.raises(ValueError):
+            crops.parse_bounds(bad, 9, 9)
+    none = spark.createDataFrame([("t", 1, None), ("t", 1, [0.5, 0.5, 2.5, 9.0])], "track_id string, frame long, bbox array<double>")
+    assert [r.corners for r in crops.player_crops(none, spark.createDataFrame([(1, 3, 3)], "frame long, width long, height long")).collect()] == [[0, 0, 2, 3]]

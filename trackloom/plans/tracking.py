@@ -103,12 +103,12 @@ def fragment_pairs(spark, d):
     return tracks.fragment_costs(tracks.track_ends(members)).select(F.col("clip_id").alias("track_id"), "a", "b", "gap", F.round("cost", 5).alias("cost"))
 
 
-@query(OBS + ", l AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, greatest(frame - lag(frame) OVER w, 1) AS dt, lead(frame) OVER w AS nf FROM obs WINDOW w AS (PARTITION BY track_id ORDER BY frame, event_id)) SELECT event_id, round(x + coalesce((x - px) / dt * greatest(nf - frame, 1), 0), 5) AS at_x, round(y + coalesce((y - py) / dt * greatest(nf - frame, 1), 0), 5) AS at_y FROM l WHERE nf IS NOT NULL")
+@query(OBS + ", l AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, greatest(frame - lag(frame) OVER w, 1) AS dt, lead(frame) OVER w AS nf FROM obs WINDOW w AS (PARTITION BY track_id ORDER BY frame, event_id)) SELECT event_id, round(x + coalesce((x - px) / dt * greatest(nf - frame, 1), 0) + 0.0000001, 5) AS at_x, round(y + coalesce((y - py) / dt * greatest(nf - frame, 1), 0) + 0.0000001, 5) AS at_y FROM l WHERE nf IS NOT NULL")
 def predicted_points(spark, d):
-    """Where each point leads at its track's next frame."""
+    """Where each point leads at its track's next frame; halves of the last digit are moved off, as engines round them apart."""
     w = Window.partitionBy("track_id").orderBy("frame", "event_id")
     o = observations(spark, d).withColumn("next", F.lead("frame").over(w))
-    return tracks.predicted(o, F.col("next")).where("next is not null").select("event_id", F.round("at_x", 5).alias("at_x"), F.round("at_y", 5).alias("at_y"))
+    return tracks.predicted(o, F.col("next")).where("next is not null").select("event_id", F.round(F.col("at_x") + 0.0000001, 5).alias("at_x"), F.round(F.col("at_y") + 0.0000001, 5).alias("at_y"))
 
 
 _PROJ = OBS + f""", k AS (SELECT unnest({KEYFRAMES}) AS k, unnest(range({len(KEYFRAMES)})) AS i), n AS (SELECT event_id, any_value(o.track_id) AS track_id, any_value(o.frame) AS frame, any_value(x) AS x, any_value(y) AS y, arg_min(k, (abs(o.frame - k), k)) AS keyframe, arg_min(i, (abs(o.frame - k), k)) AS i, min(abs(o.frame - k)) AS distance FROM obs o, k GROUP BY event_id),

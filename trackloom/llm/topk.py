@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Parts of the lists after whose reading the bounds are looked at; after the last everything has been read.
-DEPTHS = (0.5, 0.75, 0.875, 0.9375, 0.96875, 1.0)
+DEPTHS = (0.75, 0.875, 0.9375, 0.96875, 1.0)
 
 
 def bounds(queries: np.ndarray, block: np.ndarray, ordered: np.ndarray, depth: float, kind) -> tuple[np.ndarray, np.ndarray]:

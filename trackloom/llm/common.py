@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -86,6 +87,12 @@ class Stored:
         drop_path(self.spark, self.path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of jobs that are done: it does so once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; 1 marks the held-out fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3

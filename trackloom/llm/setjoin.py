@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stored, text_batches, unused
+from .common import Stored, release, text_batches, unused
 from .components import components
 from .pretokens import forget
 from .simhash import majority, near_links, shingle_hashes
@@ -133,24 +133,28 @@ def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, rows: Data
     """Those of the pairs (a, b) that are similar. Many may share their b, few their a. The sketches go first, as whole sets are large."""
     known = lambda end, size: sets.select(F.col("node").alias(end), F.col("size").alias(size), F.col("sketch").alias(f"of_{end}"))
     near = pairs.distinct().join(known("a", "n"), "a").join(known("b", "m"), "b").where(_close_sketches("of_a", "of_b", "n", "m")).select("a", "b")
+    release(spark)
     pairs = Stored(spark, near.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS))), "pairs")
     ends = pairs.df.select(F.col("a").alias("node")).unionAll(pairs.df.select(F.col("b").alias("node"))).distinct()
     # One row stands for all that have the same set.
     shown = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark")).select(F.col("mark").alias("_mark")).distinct()
     texts = docs.select("doc_id", "text").withColumn("_mark", F.xxhash64("text")).join(shown, "_mark", "left_semi").dropDuplicates(["_mark"])
     whole = Stored(spark, _sets(texts, shingle).select("node", "size", "hashes"), "sets")
+    release(spark)
     left = pairs.df.join(whole.df.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("hashes").alias("x")), "a")
     right = pairs.df.select("b", "part").distinct().join(whole.df.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("hashes").alias("y")), "b")
     both = left.join(right, ["b", "part"])
     similar = Stored(spark, both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.col("m") + F.col("n")) * 4).select("a", "b"), "similar").df
     pairs.drop()
     whole.drop()
+    release(spark)
     return similar
 
 
 def _kept(temporary: list[Stored], spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table that is dropped with the others of the list."""
+    """``df`` as a table that is dropped with the others of the list; the shuffles that made it go at once."""
     temporary.append(Stored(spark, df, label))
+    release(spark)
     return temporary[-1].df
 
 
@@ -186,7 +190,9 @@ def similar_sets(spark: SparkSession, docs: DataFrame, temporary: list[Stored],
         y = right.select("key", F.col("node").alias("b"), F.col("size").alias("m"), F.col("at").alias("j"), *[c for c in right.columns if c.startswith("of_")])
         return x.join(y, "key").where(_reaches("n", "i", "m", "j"))
 
-    pairs = pairs_of(few, few).where(F.col("a") < F.col("b")).select("a", "b").unionAll(_ball_pairs(spark, sketches, temporary))
+    balls = _kept(temporary, spark, _ball_pairs(spark, sketches, temporary), "balls")
+    pairs = balls.unionAll(_kept(temporary, spark, pairs_of(few, few).where(F.col("a") < F.col("b")).select("a", "b").distinct(), "few"))
+    led = _kept(temporary, spark, led.select("node", "size", "leader_1", "leader_2"), "led")
     for leader in ("leader_1", "leader_2"):
         pairs = pairs.unionAll(led.where(F.col("node") != F.col(f"{leader}.node")).where(_alike("size", f"{leader}.size")).select(F.col("node").alias("a"), F.col(f"{leader}.node").alias("b")))
     links = _verified(spark, pairs, docs, rows, sketches, shingle)

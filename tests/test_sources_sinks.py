@@ -19,8 +19,9 @@ def test_documents_and_their_faults(spark, tmp_path):
     state = {r.path: (r.error, r.kind, r.records) for r in sources.read_state(raw, "raw").collect()}
     assert state == {"p": ("file_not_found", None, None), "q": ("invalid_json", None, None), "r": ("top_level_json_is_not_an_object", None, None), "s": (None, "unknown_frames_players_floor_xy", 1), "t": (None, "x", 0)}
     assert sources.valid_documents(raw.where("path in ('s', 't')"), "raw", "path").count() == 2
-    with pytest.raises(Exception, match="invalid_json"):
-        sources.valid_documents(raw, "raw", "path").collect()
+    for path, fault in (("p", "file_not_found"), ("q", "invalid_json"), ("r", "top_level_json_is_not_an_object")):
+        with pytest.raises(Exception, match=f"{path}: {fault}"):
+            sources.valid_documents(raw.where(F.col("path").isin(path, "t")), "raw", "path").collect()
 
 
 def test_rosters(spark, tmp_path):
@@ -78,7 +79,19 @@ def test_stage_rows(spark):
     s = spark.createDataFrame([(1, "complete", True, None), (2, None, False, "file_not_found"), (3, "blocked", True, None)], "id long, status string, found boolean, error string")
     records = stages.stage_records(s)
     assert [r.state for r in records.orderBy("id").collect()] == ["complete", "missing", "blocked"]
-    assert [stages.overall_state(records.where(w)).first().state for w in ("true", "id <> 2", "id = 1", "false")] == ["incomplete", "complete_with_warnings", "complete", "incomplete"]
+    full = records.where("id <> 2")
+    got = [stages.checkpoint_state(*c).first().state for c in ((records, True, 1, True), (full, False, 0, True), (full, True, 0, False), (full, True, 2, False), (full, True, 2, True))]
+    assert got == ["incomplete_missing_stage_summaries", "checkpoint_complete_ocr_unavailable", "checkpoint_complete_no_accepted_jersey_numbers", "checkpoint_complete_identity_pending", "complete"]
+    names = spark.createDataFrame([("x.png", "/far/x.png")], "name string, path string")
+    rows = spark.createDataFrame([(1, "/here/x.png"), (2, "/here/y.png"), (3, None)], "id long, p string")
+    assert [r.p for r in stages.mapped_paths(rows, "p", names, strict=False).orderBy("id").collect()] == ["/far/x.png", None, None]
+    assert stages.mapped_paths(rows.limit(1), "p", names).first().p == "/far/x.png"
+    with pytest.raises(Exception, match="no such file"):
+        stages.mapped_paths(rows, "p", names).collect()
+    stages.check_inference(False, "missing", False, False)
+    for status, local in (("missing", True), ("ready_for_guarded_import", False)):
+        with pytest.raises(RuntimeError):
+            stages.check_inference(True, status, local, False)
     a, b = (spark.createDataFrame([(x,) for x in v], "id long") for v in ([1, 2, 2, None], [2, None]))
     assert tuple(stages.id_checks(a, b, "id").first()) == (4, 2, 1, 0, 1, 0, False, True)
     assert stages.required(a.where("id = 1"), "id = 1", "bad").count() == 1

@@ -19,11 +19,33 @@ def stage_records(summaries: DataFrame) -> DataFrame:
     return summaries.select("id", status.alias("reported_status"), state.alias("state"), "error")
 
 
-def overall_state(records: DataFrame) -> DataFrame:
-    """One row over ``stage_records``: incomplete where a stage is missing, else complete_with_warnings where one is blocked or warns, else complete."""
-    any_ = lambda *states: F.coalesce(F.bool_or(F.col("state").isin(*states)), F.lit(False))
-    return records.agg(F.count(F.lit(1)).alias("stages"), any_("missing").alias("_missing"), any_("blocked", "complete_with_warnings", "available_with_nonstandard_status").alias("_warns")).select(
-        "stages", F.when(F.col("_missing") | (F.col("stages") == 0), "incomplete").when(F.col("_warns"), "complete_with_warnings").otherwise("complete").alias("state"))
+def checkpoint_state(records: DataFrame, engine: bool, accepted: int, identities: bool) -> DataFrame:
+    """One row over ``stage_records``: stages and state. Missing summaries come first, then a missing engine, then no accepted number, then pending identities."""
+    missing = F.coalesce(F.bool_or(F.col("state") == "missing"), F.lit(False))
+    state = (
+        F.when(F.col("_missing"), "incomplete_missing_stage_summaries").when(F.lit(not engine), "checkpoint_complete_ocr_unavailable")
+        .when(F.lit(accepted == 0), "checkpoint_complete_no_accepted_jersey_numbers").when(F.lit(not identities), "checkpoint_complete_identity_pending").otherwise("complete"))
+    return records.agg(F.count(F.lit(1)).alias("stages"), missing.alias("_missing")).select("stages", state.alias("state"))
+
+
+def mapped_paths(rows: DataFrame, path: str, names: DataFrame, strict: bool = True) -> DataFrame:
+    """``rows`` with ``path`` replaced by the path of the file of that name. ``names``: one row per name, with its path.
+
+    Where there is no such file the row raises, or its path is null without ``strict``.
+    """
+    known = names.select(F.col("name").alias("_name"), F.col("path").alias("_path"))
+    met = rows.join(known, F.element_at(F.split(path, "/"), -1) == F.col("_name"), "left")
+    absent = F.raise_error(F.concat(F.lit("no such file: "), F.coalesce(path, F.lit("(none)")))) if strict else F.lit(None)
+    found = F.when(F.col("_path").isNull(), absent.cast("string")).otherwise(F.col("_path"))
+    return met.withColumn(path, found).drop("_name", "_path")
+
+
+def check_inference(wanted: bool, status: str, model_is_local: bool, may_download: bool) -> None:
+    """Raise unless model inference is not wanted, or both the installation is ready and the model is at hand or may be downloaded."""
+    if wanted and status != "ready_for_guarded_import":
+        raise RuntimeError(f"the model's code is not ready: {status}")
+    if wanted and not model_is_local and not may_download:
+        raise RuntimeError("a remote model needs leave to download weights")
 
 
 def merged_in_order(rows: DataFrame, keys: list[str], item: str, order: str) -> DataFrame:

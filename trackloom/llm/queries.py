@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, hilbert, packing, quality, seekable, simhash, topk, toxicity, urlfilter
+from . import bpe, exactdedup, hilbert, infill, packing, quality, seekable, simhash, topk, toxicity, urlfilter
 from .common import read_table
 
 
@@ -60,7 +60,11 @@ def op10_seekable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable.round_trip(spark, read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _pattern())
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_urls, op3_exact, op4_bpe, op5_toxicity, op6_topk, op7_quality, op8_packing, op9_hilbert, op10_seekable)}
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_urls, op3_exact, op4_bpe, op5_toxicity, op6_topk, op7_quality, op8_packing, op9_hilbert, op10_seekable, op11_infill)}
 
 ORACLE_SQL = {
     "op3_exact": """
@@ -69,6 +73,18 @@ ORACLE_SQL = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
         FROM n WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op11_infill": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        d AS (SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+                     CAST('0x' || h[17:24] AS BIGINT) % 100 AS p, CAST('0x' || h[25:32] AS BIGINT) % 100 AS s FROM t),
+        c AS (SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p >= 90 THEN 'plain' WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        x AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(CASE WHEN form = 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+        FROM x
+    """,
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, hilbert, infill, packing, quality, seekable, simhash, topk, toxicity, urlfilter
+from . import bpe, exactdedup, hilbert, infill, negatives, packing, quality, seekable, simhash, topk, toxicity, urlfilter
 from .common import read_table
 
 
@@ -64,7 +64,11 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_urls, op3_exact, op4_bpe, op5_toxicity, op6_topk, op7_quality, op8_packing, op9_hilbert, op10_seekable, op11_infill)}
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(spark, read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_urls, op3_exact, op4_bpe, op5_toxicity, op6_topk, op7_quality, op8_packing, op9_hilbert, op10_seekable, op11_infill, op13_negatives)}
 
 ORACLE_SQL = {
     "op3_exact": """
@@ -85,6 +89,22 @@ ORACLE_SQL = {
                sha256(CASE WHEN form = 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
         FROM x
     """,
+    "op13_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS n FROM s WHERE same),
+        r AS (
+            SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+            WHERE n <= 5)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
+    """,
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings

@@ -83,11 +83,11 @@ def _meet(k: int):
     return meet
 
 
-def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, v): components as floor(scale * x); without vectors that are null or hold null or non-finite components, and without null ids."""
+def quantised(vectors: DataFrame, scale: int = 64, *others: str) -> DataFrame:
+    """(vec_id, v), with ``others`` as longs between them: components as floor(scale * x); without vectors that are null or hold null or non-finite components, and without null ids."""
     x = F.col("embedding")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
+    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite).select(F.col("vec_id").cast("long"), *[F.col(c).cast("long") for c in others], F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
 
 
 def top_k(vectors: DataFrame, is_query: Column | None = None, k: int = 20, block_rows: int = 16_384, query_rows: int = 4_096) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, hilbert, infill, negatives, packing, quality, seekable, simhash, topk, toxicity, urlfilter
+from . import bpe, exactdedup, hilbert, infill, negatives, packing, quality, seekable, setjoin, simhash, topk, toxicity, urlfilter
 from .common import read_table
 
 
@@ -64,11 +64,15 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_groups(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mined(spark, read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_urls, op3_exact, op4_bpe, op5_toxicity, op6_topk, op7_quality, op8_packing, op9_hilbert, op10_seekable, op11_infill, op13_negatives)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_urls, op3_exact, op4_bpe, op5_toxicity, op6_topk, op7_quality, op8_packing, op9_hilbert, op10_seekable, op11_infill, op12_jaccard, op13_negatives)}
 
 ORACLE_SQL = {
     "op3_exact": """
@@ -89,6 +93,17 @@ ORACLE_SQL = {
                sha256(CASE WHEN form = 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
         FROM x
     """,
+    "op12_jaccard": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+        r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT node, b FROM r JOIN l ON a = reached)
+        SELECT node AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n ON n.doc_id = node GROUP BY node
+    """,
     "op13_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e

@@ -1,121 +1,145 @@
-"""Near copies by exact similarity of shingle sets.
+"""Near copies by exact similarity of shingle sets: a prefix-tree join.
 
 Two texts are linked when the Jaccard similarity of their sets of word
 shingles is at least 4/5. Shingles are told apart by their XXH64 hashes.
 
-Search. Put all shingles into one order, whichever. A set of n that is to be
-4/5 similar to another shares at least ceil(4n/5) of its shingles with it, so
-the two share one of the first n - ceil(4n/5) + 1 of each: these are the keys.
-Texts with a key in common meet. Where the first key that two sets of n and m
-share stands at i and j, they share at most 1 + min(n - 1 - i, m - 1 - j)
-shingles, and a pair for which that is too little goes. So the smaller set of
-a pair has that key among its first ninth, which alone keeps apart texts that
-share a common passage. A pair whose sketches (parities of 512 cells) differ too
-much goes as well. The rest are verified on the full sets. The order
-decides only how much meets: shingles that recur in a sample of the texts come
-last, the commonest at the very end.
-
-All pairs of a bucket of at most ``SMALL`` sets are looked at. In a wider one
-some sets are leaders, and every set is first held against those of a dozen of
-its buckets; after that only pairs that the links so far leave in different
-components: each set outside the bucket's commonest component against all
-others. So leaders save work, and no link hangs on them.
+Order. All sets are sequences in one global order: shingles that recur in a
+sample of the texts come last, the commonest at the very end; the others by
+their hash. The order decides only how much work there is.
+
+Meeting. A set of n that is to be 4/5 similar to another shares at least
+ceil(4n/5) of its shingles with it, so the two share one of the first
+n - ceil(4n/5) + 1 of each: these are the keys, under which the sets meet.
+Where the first key that two sets of n and m share stands at i and j, they
+share at most min(n - i, m - j) shingles, and a pair for which that is too
+little goes; so the smaller set of a pair has that key among its first ninth.
+A pair whose sketches (parities of cells) differ too much goes as well.
+
+Verifying. The sets that met one probe form a prefix tree (``prefixtree``),
+which the probe walks, with partial overlaps shared along common prefixes and
+subtrees left by what remains of the lengths. A probe whom many sets met has
+several trees, each of bounded size.
+
+Rounds. First every set of a key is held against the key's leader alone, its
+smallest set. What that links needs no more looking at. Then, for every key
+whose sets are still in different components, each set outside the key's
+commonest component is held against all others of the key. A similar pair
+that the first round has left apart meets there, so no link between components
+is lost, and a group of many near copies costs one pair each and not all.
+
+A key that the sample shows to be very frequent is salted: each of its parts
+has a leader, and the leaders of the parts are paired with the smallest one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Stored, release, text_batches, unused
 from .components import components
 from .pretokens import forget
+from .prefixtree import PrefixTree
 from .simhash import majority, near_links, shingle_hashes
 
 SHINGLE = 5
-#: Sets that one bucket may hold for all its pairs to be verified.
-SMALL = 16
 #: One of so many texts is looked at for common shingles.
 SAMPLE = 32
 #: Common shingles that are put last; the order of the others is that of their hashes.
 COMMON = 200_000
-#: Cells of a set's sketch.
-SKETCH = 512
-#: Wide buckets in which a set is held against their leaders.
-TRIES = 12
-#: Parts that the pairs of one set are dealt to.
-PARTS = 64
+#: Cells of the sketch of a set of up to as many shingles; larger sets have more, up to ``MOST_CELLS``.
+CELLS, MOST_CELLS = 512, 16_384
+#: Rows of a key, by the sample's count, beyond which it is cut into parts.
+PART_ROWS = 200_000
+#: Sets to a prefix tree.
+TREE = 128
+#: Marks of texts that are small enough to be sent to every task.
+MARKS = 1_000_000
 
 
 def parities(own: np.ndarray) -> np.ndarray:
-    """Whether each of ``SKETCH`` cells holds an odd number of the hashes, as longs. Two sets differ in as many hashes as their cells do, at least."""
-    odd = np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    """Whether each cell holds an odd number of the hashes, as longs. Two sets differ in as many hashes as their cells do, at least. Cells are the lowest bits of a hash, so a longer sketch folds onto a shorter one."""
+    cells = CELLS
+    while cells < min(len(own), MOST_CELLS):
+        cells *= 2
+    odd = np.bincount((own % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+class CommonOrder:
+    """Puts the hashes of a set into the global order; ``common`` are the common ones, rarest first, with their counts."""
+
+    def __init__(self, common: np.ndarray, counts: np.ndarray):
+        self.by_hash = np.argsort(common)
+        self.ranked, self.common = common, common[self.by_hash]
+        self.parts = np.minimum(counts * SAMPLE // PART_ROWS + 1, 30_000)
+
+    def __call__(self, own: np.ndarray, node: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes in order, and the part that the node has in each: 0 where a hash is not cut into parts, else from 1 on."""
+        salts = np.zeros(len(own), np.int16)
+        if not len(self.common) or not len(own):
+            return own, salts
+        at = np.minimum(np.searchsorted(self.common, own), len(self.common) - 1)
+        known = self.common[at] == own
+        ranks = np.sort(self.by_hash[at[known]])
+        parts = self.parts[ranks]
+        if len(ranks):
+            salts[len(own) - len(ranks) :] = np.where(parts > 1, 1 + np.uint64(node) % parts.astype(np.uint64), 0)
+        return np.concatenate([own[~known], self.ranked[ranks]]), salts
+
+
+SETS = "doc_id struct<doc_id: long, mark: long>, node long, size int, hashes array<long>, salts array<smallint>, fp long, sketch array<long>"
+
+
 class _Sets:
-    """(row, text) to (row, node, size, some of the hashes): all of them, or the keys alone, in the order of shingles."""
-
-    def __init__(self, shingle: int, common: np.ndarray | None, keys: bool):
-        self.shingle, self.keys = shingle, keys
-        if keys:
-            self.by_hash = np.argsort(common)
-            self.ranked, self.common = common, common[self.by_hash]
-
-    def first(self, own: np.ndarray) -> np.ndarray:
-        n = len(own)
-        if not n:
-            return np.zeros(1, np.uint64)
-        count = n - (4 * n + 4) // 5 + 1
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, own), len(self.common) - 1)
-            known = self.common[at] == own
-            own = np.concatenate([own[~known], self.ranked[np.sort(self.by_hash[at[known]])]])
-        return own[:count]
+    """(row, text) to the row's set: its node, its size, and its hashes in the global order, all of them or the keys alone; with the keys also their parts, the fingerprint and the sketch."""
+
+    def __init__(self, shingle: int, order: CommonOrder | None, keys: bool):
+        self.shingle, self.order, self.keys = shingle, order, keys
 
     def __call__(self, batches):
         forget()
         for batch in batches:
-            nodes, sizes, ends, parts, fps, marks = [], [], [0], [], [], []
+            nodes, sizes, parts, salts, fps, marks = [], [], [], [], [], []
             for t in batch.column(1):
                 hashes = shingle_hashes(t.as_py(), self.shingle)
                 own = np.unique(hashes)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
-                sizes.append(len(own))
+                n = len(own)
+                sizes.append(n)
+                ordered, salt = self.order(own, nodes[-1]) if self.order else (own, np.empty(0, np.int16))
+                count = n - (4 * n + 4) // 5 + 1 if n else 0
+                parts.append(ordered[:count] if self.keys else ordered)
+                salts.append(salt[:count] if self.keys else salt[:0])
                 fps.append(majority(hashes) if self.keys else 0)
-                marks.append(parities(own))
-                parts.append(self.first(own) if self.keys else own)
-                ends.append(ends[-1] + len(parts[-1]))
-            flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
-            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                marks.append(parities(own) if self.keys else np.empty(0, np.int64))
             longs = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (nodes, fps)]
-            flat = np.concatenate(marks) if marks else np.empty(0, np.int64)
-            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCH // 64), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), longs[0], pa.array(sizes, pa.int32()), held, longs[1], sketch], names=["doc_id", "node", "size", "hashes", "fp", "sketch"])
+            arrays = [batch.column(0), longs[0], pa.array(sizes, pa.int32()), _lists(parts, np.uint64, np.int64), _lists(salts, np.int16, np.int16), longs[1], _lists(marks, np.int64, np.int64)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "size", "hashes", "salts", "fp", "sketch"])
 
 
-def _sets(docs: DataFrame, shingle: int, common: np.ndarray | None = None, keys: bool = False) -> DataFrame:
-    """(doc_id, mark, node, size, hashes, fp) of every row; mark tells texts of one id apart, node names the set, fp is the fingerprint (with ``keys``)."""
+def _lists(parts: list[np.ndarray], kind, shown) -> pa.ListArray:
+    flat = np.concatenate(parts) if parts else np.empty(0, kind)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat.view(shown)))
+
+
+def _sets(docs: DataFrame, shingle: int, order: CommonOrder | None = None, keys: bool = False) -> DataFrame:
+    """(doc_id, mark, node, size, hashes, ...) of every row; mark tells texts of one id apart, node names the set."""
     rows = text_batches(docs).select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark")).alias("doc_id"), F.col("text").cast("binary"))
-    found = rows.mapInArrow(_Sets(shingle, common, keys), "doc_id struct<doc_id: long, mark: long>, node long, size int, hashes array<long>, fp long, sketch array<long>")
-    return found.select("doc_id.doc_id", "doc_id.mark", "node", "size", "hashes", "fp", "sketch")
+    return rows.mapInArrow(_Sets(shingle, order, keys), SETS).select("doc_id.*", *[c.split()[0] for c in SETS.split(", ")[2:]])
 
 
-def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
-    """Hashes of shingles that recur in the sample, rarest first."""
+def common_shingles(docs: DataFrame, shingle: int = SHINGLE) -> CommonOrder:
+    """The order: shingles that recur in the sample, rarest first, come after all others."""
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     counts = _sets(some, shingle).dropDuplicates(["node"]).select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1")
     rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
-    return rows.column("h").to_numpy().view(np.uint64)[::-1].copy()
-
-
-def _alike(a: str, b: str) -> Column:
-    """Whether sets of these sizes can be 4/5 similar at all."""
-    return F.least(a, b) * 5 >= F.greatest(a, b) * 4
+    return CommonOrder(rows.column("h").to_numpy().view(np.uint64)[::-1].copy(), rows.column("count").to_numpy()[::-1].copy())
 
 
 def _reaches(n: str, i: str, m: str, j: str) -> Column:
@@ -124,113 +148,193 @@ def _reaches(n: str, i: str, m: str, j: str) -> Column:
 
 
 def _close_sketches(a: str, b: str, n: str, m: str) -> Column:
-    """Whether two sketches leave it open that sets of n and m are 4/5 similar: they may differ in a ninth of n + m."""
-    apart = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, SKETCH // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
-    return apart * 9 <= F.col(n) + F.col(m)
-
-
-def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, rows: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar. Many may share their b, few their a. The sketches go first, as whole sets are large."""
-    known = lambda end, size: sets.select(F.col("node").alias(end), F.col("size").alias(size), F.col("sketch").alias(f"of_{end}"))
-    near = pairs.distinct().join(known("a", "n"), "a").join(known("b", "m"), "b").where(_close_sketches("of_a", "of_b", "n", "m")).select("a", "b")
-    release(spark)
-    pairs = Stored(spark, near.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS))), "pairs")
-    ends = pairs.df.select(F.col("a").alias("node")).unionAll(pairs.df.select(F.col("b").alias("node"))).distinct()
-    # One row stands for all that have the same set.
-    shown = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark")).select(F.col("mark").alias("_mark")).distinct()
-    texts = docs.select("doc_id", "text").withColumn("_mark", F.xxhash64("text")).join(shown, "_mark", "left_semi").dropDuplicates(["_mark"])
-    whole = Stored(spark, _sets(texts, shingle).select("node", "size", "hashes"), "sets")
-    release(spark)
-    left = pairs.df.join(whole.df.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("hashes").alias("x")), "a")
-    right = pairs.df.select("b", "part").distinct().join(whole.df.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("hashes").alias("y")), "b")
-    both = left.join(right, ["b", "part"])
-    similar = Stored(spark, both.where(F.size(F.array_intersect("x", "y")) * 9 >= (F.col("m") + F.col("n")) * 4).select("a", "b"), "similar").df
-    pairs.drop()
-    whole.drop()
-    release(spark)
-    return similar
-
-
-def _kept(temporary: list[Stored], spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table that is dropped with the others of the list; the shuffles that made it go at once."""
-    temporary.append(Stored(spark, df, label))
-    release(spark)
-    return temporary[-1].df
-
-
-def _ball_pairs(spark: SparkSession, sets: DataFrame, temporary: list[Stored]) -> DataFrame:
+    """Whether two sketches leave it open that sets of n and m are 4/5 similar: they may differ in a ninth of n + m. Sizes within 4/5 differ by one doubling of the cells at most, and the longer sketch is folded."""
+    fold = lambda s, t: F.when(F.size(s) > F.size(t), F.zip_with(F.slice(s, 1, F.size(t)), F.slice(s, F.size(t) + 1, F.size(t)), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(s))
+    differ = F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(differ, F.lit(0), lambda s, c: s + c) * 9 <= F.col(n) + F.col(m)
+
+
+class _Stars:
+    """Rows (key, salt, node, size, at), sorted by key, salt and node, to (key, salt, node, size, at, lead): those of keys with several sets, each with the key's first set as leader. One pass; no key is held as a whole."""
+
+    def __call__(self, batches):
+        last, pending = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, salt, node, size, at = (c.to_numpy() for c in batch.columns)
+            first = np.r_[last is None or (key[0], salt[0]) != last[:2], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
+            starts = np.flatnonzero(first)
+            run = np.cumsum(first) - 1
+            lead = np.where(run >= 0, node[starts[np.maximum(run, 0)]] if len(starts) else 0, last[2] if last else 0)
+            counts = np.diff(np.r_[starts, len(key)])
+            shown = np.where(run >= 0, counts[np.maximum(run, 0)] > 1 if len(starts) else False, True) | (salt > 0)
+            out = [batch.filter(pa.array(shown)).add_column(5, "lead", pa.array(lead[shown]))]
+            if pending is not None and not first[0]:
+                out.insert(0, pending)
+            pending = None if shown[-1] else batch.slice(len(key) - 1).add_column(5, "lead", pa.array(lead[-1:]))
+            last = (key[-1], salt[-1], lead[-1])
+            yield from (b for b in out if b.num_rows)
+
+
+def _verify(shingle_sets: pa.Table) -> pa.Table:
+    """One tree and its probe, or several probes' rows of one group: (node, probe, hashes) to (a, b)."""
+    nodes, probe = shingle_sets.column("node").to_numpy(), shingle_sets.column("probe").to_numpy(zero_copy_only=False)
+    hashes = shingle_sets.column("hashes").combine_chunks()
+    flat, ends = hashes.values.to_numpy().view(np.uint64), hashes.offsets.to_numpy()
+    of = lambda i: flat[ends[i] : ends[i + 1]]
+    held = np.flatnonzero(~probe)
+    tree = PrefixTree([of(i) for i in held])
+    pairs = [(int(nodes[held[j]]), int(nodes[p])) for p in np.flatnonzero(probe) for j in tree.similar(of(p))]
+    a, b = zip(*pairs, strict=True) if pairs else ([], [])
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+class _Join:
+    """What a run of the join needs again and again; ``temporary`` gets the tables that are to be dropped in the end."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, shingle: int, temporary: list[Stored]):
+        self.spark, self.docs, self.shingle, self.temporary = spark, docs, shingle, temporary
+        self.order = common_shingles(docs, shingle)
+        found = Stored(spark, _sets(docs, shingle, self.order, keys=True), "found")
+        self.rows = self.kept(found.df.select("doc_id", "mark", "node", "size"), "rows")
+        # One row stands for all that have the same set; the keys travel with it.
+        sets = found.df.drop("doc_id").dropDuplicates(["node"])
+        self.sketches = self.kept(sets.select("node", "mark", "size", "fp", "sketch"), "sketches")
+        keyed = sets.select("node", "size", F.posexplode(F.arrays_zip("hashes", "salts")).alias("at", "k")).select(F.col("k.hashes").alias("key"), F.col("k.salts").alias("salt"), "node", "size", "at")
+        dealt = keyed.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
+        self.met = self.kept(dealt.mapInArrow(_Stars(), "key long, salt smallint, node long, size int, at int, lead long"), "met")
+        found.drop()
+
+    def kept(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` as a table that is dropped with the others; the shuffles that made it go at once."""
+        self.temporary.append(Stored(self.spark, df, label))
+        release(self.spark)
+        return self.temporary[-1].df
+
+    def sketched(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sizes and sketches leave it open that they are similar."""
+        known = lambda end, size: self.sketches.select(F.col("node").alias(end), F.col("size").alias(size), F.col("sketch").alias(f"of_{end}"))
+        sized = pairs.join(known("a", "n"), "a").join(known("b", "m"), "b").where("least(n, m) * 5 >= greatest(n, m) * 4")
+        return sized.where(_close_sketches("of_a", "of_b", "n", "m")).select("a", "b")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs (a, b), a stored table, that are similar: b walks the prefix trees of its a's."""
+        trees = F.ceil(F.col("count") / TREE).cast("int")
+        cut = pairs.join(pairs.groupBy("b").count(), "b").select("a", "b", F.pmod(F.xxhash64("a"), trees).cast("int").alias("part"))
+        members = cut.select("b", "part", F.col("a").alias("node"), F.lit(False).alias("probe")).unionAll(cut.select("b", "part", F.col("b").alias("node"), F.lit(True).alias("probe")).distinct())
+        members = Stored(self.spark, members, "members")
+        shown = Stored(self.spark, self.sketches.join(members.df.select("node").distinct(), "node", "left_semi").select(F.col("mark").alias("_mark")).distinct(), "shown")
+        marks = F.broadcast(shown.df) if shown.df.count() <= MARKS else shown.df
+        texts = self.docs.select("doc_id", "text").withColumn("_mark", F.xxhash64("text")).join(marks, "_mark", "left_semi").dropDuplicates(["_mark"])
+        whole = Stored(self.spark, _sets(texts, self.shingle, self.order).select("node", "hashes"), "sets")
+        release(self.spark)
+        similar = members.df.join(whole.df, "node").groupBy("b", "part").applyInArrow(_verify, "a long, b long")
+        similar = self.kept(similar, "similar")
+        for table in (members, shown, whole):
+            table.drop()
+        return similar
+
+    def leaders(self) -> DataFrame:
+        """Pairs (a, b) of a set and the leader of a key of its, and of the leaders of a salted key's parts."""
+        own = self.met.select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        parts = self.met.where("salt > 0").select("key", F.col("lead").alias("a")).distinct()
+        top = parts.groupBy("key").agg(F.min("a").alias("b"))
+        return own.unionAll(parts.join(top, "key").select("a", "b")).where("a <> b").distinct()
+
+    def outsiders(self, groups: DataFrame) -> DataFrame:
+        """Pairs (a, b) that meet in a key and are in different components, one of which is not the key's commonest."""
+        named = self.met.select("key", "node", "size", "at").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = self.kept(named, "named")
+        usual = named.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
+        split = self.kept(named.join(usual.where("labels > 1").select("key", F.col("most.label").alias("usual")), "key"), "split")
+        apart, early = F.col("label") != F.col("usual"), (F.col("size") - F.col("at")) * 9 >= F.col("size") * 8
+
+        def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+            x = left.select("key", F.col("node").alias("a"), F.col("size").alias("n"), F.col("at").alias("i"), F.col("label").alias("of_a"))
+            y = right.select("key", F.col("node").alias("b"), F.col("size").alias("m"), F.col("at").alias("j"), F.col("label").alias("of_b"))
+            return x.join(y, "key").where((F.col("of_a") != F.col("of_b")) & _reaches("n", "i", "m", "j")).select("a", "b")
+
+        # The smaller set of a pair has the key early, so the one or the other is among the early rows.
+        met = pairs(split.where(apart & early), split).unionAll(pairs(split.where(apart), split.where(early)))
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def groups(self, proposed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """(node, label) of every node that is linked to another; ``proposed`` makes more pairs (a, b) for the first round from (node, fp)."""
+        pairs = self.leaders()
+        if proposed is not None:
+            pairs = pairs.unionAll(proposed(self.sketches.select("node", "fp"))).distinct()
+        first = self.kept(self.sketched(pairs), "first")
+        links = self.verified(first)
+        found = components(self.spark, links)
+        self.temporary.append(found)
+        tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        second = self.kept(self.sketched(self.outsiders(found.df)).join(tried, ["a", "b"], "left_anti"), "second")
+        if second.isEmpty():
+            return found.df
+        more = self.verified(second)
+        if more.isEmpty():
+            return found.df
+        found = components(self.spark, links.unionAll(more))
+        self.temporary.append(found)
+        return found.df
+
+
+def _ball_pairs(join: _Join, sets: DataFrame) -> DataFrame:
     """Pairs of sets that ball hashing of their fingerprints proposes; equal fingerprints go through their smallest set."""
-    near = _kept(temporary, spark, sets.groupBy("fp").agg(F.min("node").alias("own")), "fps")
-    links = near_links(spark, near.select("fp"))
+    near = join.kept(sets.groupBy("fp").agg(F.min("node").alias("own")), "fps")
+    links = near_links(join.spark, near.select("fp"))
     far = near.select(F.col("fp").alias("b"), F.col("own").alias("to"))
     across = links.join(near, F.col("a") == F.col("fp")).join(far, "b").select(F.col("own").alias("a"), F.col("to").alias("b"))
     same = sets.join(near, "fp").where("node <> own").select(F.col("node").alias("a"), F.col("own").alias("b"))
-    return across.unionAll(same)
-
-
-def similar_sets(spark: SparkSession, docs: DataFrame, temporary: list[Stored], shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark, node) of every row, and (node, label) of every node that is linked to another. The tables in ``temporary`` are to be dropped when both have been used."""
-    found = _kept(temporary, spark, _sets(docs, shingle, common_shingles(docs, shingle), keys=True), "keys")
-    rows = found.select("doc_id", "mark", "node")
-    sketches = _kept(temporary, spark, found.select("node", "size", "fp", "sketch").dropDuplicates(["node"]), "sketches")
-    sets = found.select("node", "size", "hashes").dropDuplicates(["node"])
-    w = Window.partitionBy("key")
-    keyed = sets.select("node", "size", F.posexplode("hashes").alias("at", "key"))
-    early = F.max(((F.col("size") - F.col("at")) * 9 >= F.col("size") * 8).cast("int"))
-    met = _kept(temporary, spark, keyed.withColumns({"n": F.count(F.lit(1)).over(w), "early": early.over(w)}).where("n > 1 and early = 1").drop("early"), "met")
-    few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
-    # Each bucket is led by a set of its own, so a set meets as many others as it has keys; and by the smallest of all, which many share.
-    leaders = many.groupBy("key").agg(F.min(F.struct("node", "size")).alias("leader_1"), F.min(F.struct(F.xxhash64("node", "key").alias("drawn"), "node", "size")).alias("leader_2"))
-    tries = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key")))
-    led = many.withColumn("try", tries).where(F.col("try") <= TRIES).join(leaders, "key")
-
-    def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs (a, b) of rows with a common key that can be similar."""
-        x = left.select("key", F.col("node").alias("a"), F.col("size").alias("n"), F.col("at").alias("i"), *[c for c in left.columns if c.startswith("of_")])
-        y = right.select("key", F.col("node").alias("b"), F.col("size").alias("m"), F.col("at").alias("j"), *[c for c in right.columns if c.startswith("of_")])
-        return x.join(y, "key").where(_reaches("n", "i", "m", "j"))
-
-    balls = _kept(temporary, spark, _ball_pairs(spark, sketches, temporary), "balls")
-    pairs = balls.unionAll(_kept(temporary, spark, pairs_of(few, few).where(F.col("a") < F.col("b")).select("a", "b").distinct(), "few"))
-    led = _kept(temporary, spark, led.select("node", "size", "leader_1", "leader_2"), "led")
-    for leader in ("leader_1", "leader_2"):
-        pairs = pairs.unionAll(led.where(F.col("node") != F.col(f"{leader}.node")).where(_alike("size", f"{leader}.size")).select(F.col("node").alias("a"), F.col(f"{leader}.node").alias("b")))
-    links = _verified(spark, pairs, docs, rows, sketches, shingle)
-    groups = components(spark, links).df
-    if many.isEmpty():
-        return rows, groups
-    named = many.select("key", "node", "size", "at").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sketches.select("node", "sketch"), "node")
-    named = _kept(temporary, spark, named, "named")
-    usual = named.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", F.col("most.label").alias("usual"))
-    split = _kept(temporary, spark, named.join(usual, "key"), "split")
-    if split.isEmpty():
-        return rows, groups
-    # The smaller set of a pair has the key early, so one side or the other is among the early rows.
-    early = (F.col("size") - F.col("at")) * 9 >= F.col("size") * 8
-    sided = split.withColumns({"of_apart": F.col("label") != F.col("usual"), "of_label": F.col("label"), "of_sketch": F.col("sketch")})
-    right = sided.withColumnsRenamed({"of_apart": "of_other", "of_label": "of_it", "of_sketch": "of_its"})
-    across = pairs_of(sided.where(early), right).where(F.col("of_label") != F.col("of_it")).where(F.col("of_apart") | F.col("of_other")).where(_close_sketches("of_sketch", "of_its", "n", "m"))
-    more = _verified(spark, across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, rows, sketches, shingle)
-    if more.isEmpty():
-        return rows, groups
-    return rows, components(spark, links.unionAll(more)).df
+    return join.kept(across.unionAll(same), "balls")
+
+
+def _owners(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, owner): the smallest doc_id that a node's links reach, its own included."""
+    own = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+    linked = own.join(groups, "node")
+    best = linked.groupBy("label").agg(F.min("least").alias("best"))
+    return own.join(linked.select("node", "label").join(best, "label").select("node", "best"), "node", "left").select("node", F.coalesce("best", "least").alias("owner"))
+
+
+def jaccard_groups(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, the smallest doc_id that links reach, its own included.
+
+    The set of a text are its distinct shingles of so many words, A-Z
+    lower-cased; with fewer words the whole sequence is one. A text that is
+    null, empty or without words has an empty set, is linked with nothing and
+    is its own component. Equal sets are always linked. Repeated rows are
+    repeated in the result; null ids take part in links but name a component
+    only where all of it is null. Texts are taken whole, however long. Other
+    columns, whatever their names, are ignored; an empty table gives an empty
+    result. The result is a table in the shared folder; all others are dropped.
+    """
+    temporary: list[Stored] = []
+    join = _Join(spark, docs, shingle, temporary)
+    owner = _owners(join.rows.where("size > 0"), join.groups())
+    result = join.rows.join(owner, "node", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("owner")).otherwise(F.col("doc_id")).alias("component_id"))
+    result = Stored(spark, result, "components").df
+    for table in temporary:
+        table.drop()
+    return result
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` without the rows whose group of near copies has a smaller doc_id; all columns stay.
+    """``docs`` without the rows whose group of near copies has a smaller doc_id; all columns stay, whatever their names.
 
     A group is all that links reach. Texts without words are one group. Rows
     without an id link others but are never dropped. A row is dropped by id
-    and text, so another text of the same id stays.
+    and text, so another text of the same id stays. An empty table stays
+    empty. Pairs come from ball hashing of SimHash fingerprints and from the
+    set join, and all are verified on the full sets. One narrow table, of the
+    rows that go, stays in the shared folder.
     """
     temporary: list[Stored] = []
-    rows, groups = similar_sets(spark, docs, temporary, shingle)
-    own = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    linked = own.join(groups, "node")
-    best = linked.groupBy("label").agg(F.min("least").alias("best"))
-    owner = own.join(linked.select("node", "label").join(best, "label").select("node", "best"), "node", "left").select(F.col("node").alias("_node"), F.coalesce("best", "least").alias("owner"))
+    join = _Join(spark, docs, shingle, temporary)
+    owner = _owners(join.rows, join.groups(lambda sets: _ball_pairs(join, sets)))
     name, mark = unused(docs, "gone"), unused(docs, "mark")
-    gone = rows.join(owner, F.col("node") == F.col("_node")).where("owner < doc_id").select(F.col("doc_id").alias(name), F.col("mark").alias(mark)).distinct()
+    gone = join.rows.join(owner, "node").where("owner < doc_id").select(F.col("doc_id").alias(name), F.col("mark").alias(mark)).distinct()
     gone = Stored(spark, gone, "gone").df
     for table in temporary:
         table.drop()

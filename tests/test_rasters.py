@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom import rasters
-from trackloom.operators.components import components
+from trackloom.operators.components import Scratch, components
 from trackloom.rasters import colour, measures, regions
 
 
@@ -147,7 +147,8 @@ def test_patches_and_histograms(spark, images):
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(300 + k, 301 + k) for k in range(40)] + [(5, 5), (None, 4)]
-    got = {x.node: x.root for x in components(spark.createDataFrame(links, "a int, b int")).collect()}
+    with Scratch(spark) as scratch:
+        got = {x.node: x.root for x in components(scratch, spark.createDataFrame(links, "a int, b int")).collect()}
     group = {}
     for a, b in links:
         if a is not None and a != b:
@@ -215,7 +216,8 @@ def _plain_outer(found, h, w):
 @pytest.mark.parametrize("size", [6, 64])
 def test_number_regions(spark, images, size):
     tiles = rasters.tiles(_frame(spark, images), size)
-    outer, whole = (d.collect() for d in regions.outer_regions(tiles, size))
+    with Scratch(spark) as scratch:
+        outer, whole = (d.collect() for d in regions.outer_regions(scratch, tiles, size))
     metrics = {r.image: r for r in regions.number_region_metrics(tiles, size).collect()}
     enclosed = 0
     for k, a in images.items():

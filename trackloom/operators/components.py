@@ -1,40 +1,71 @@
-"""Connected components of a table of links, with the lineage cut in the cluster's shared folder."""
+"""Connected components of a table of links, and the scratch tables of jobs that go on in rounds."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written by ``checkpoint`` into the folder that ``spark.checkpoint.dir`` names; only where that is unset and all tasks run in this process, into a folder of our own."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        known = spark.conf.get("spark.checkpoint.dir", None)
-        if not known and not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(known or "file://" + tempfile.mkdtemp(prefix="trackloom-"))
-    return df.checkpoint()
+class Scratch:
+    """Tables in the folder that the driver and all executors share, which cut a job's lineage; gone when the block ends, but for those that ``keep`` wrote.
+
+    The cluster names the folder in ``spark.checkpoint.dir``. Only where that
+    is unset and all tasks run in this process, one of our own is made.
+    """
+
+    def __init__(self, spark: SparkSession):
+        known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not known:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="trackloom-"))
+            known = spark.sparkContext.getCheckpointDir()
+        self.spark, self.folder = spark, f"{known.rstrip('/')}/trackloom-scratch-{uuid.uuid4().hex[:16]}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(self.folder)
+
+    def drop(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """``df`` as a written table."""
+        return self._written(df, f"{self.folder}/{uuid.uuid4().hex[:16]}")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table that stays, as a result is read from it."""
+        return self._written(df, f"{self.folder}-kept")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(scratch: Scratch, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that is linked to another one; the root is the smallest node reachable.
 
     Nodes may be of any type that has an order, structs included. Each round
     takes the smallest root among a node's neighbours and then the root's own
-    root, so distances halve. Null nodes and links to oneself are ignored.
+    root, so distances halve. Null nodes and links to oneself are ignored. The
+    result is one of the scratch's tables.
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    edges = cut(ends.unionAll(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    roots = cut(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("root")))
+    edges = scratch.cut(ends.unionAll(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    roots = scratch.cut(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("root")))
     while True:
         near = edges.join(roots, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))
-        hooked = cut(roots.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("before"), F.least("root", "near").alias("root")))
+        hooked = scratch.cut(roots.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("before"), F.least("root", "near").alias("root")))
         onward = hooked.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        roots = cut(hooked.join(onward, F.col("root") == F.col("at")).select("node", "before", F.col("next").alias("root")))
-        if roots.where("before <> root").isEmpty():
-            return roots.select("node", "root")
+        roots = scratch.cut(hooked.join(onward, F.col("root") == F.col("at")).select("node", "before", F.col("next").alias("root")))
+        settled = roots.where("before <> root").isEmpty()
         roots = roots.select("node", "root")
+        if settled:
+            return roots

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components, cut
+from ..operators.components import Scratch, components
 from . import SIZE, TILES, Tile, _array, _batches, _place, _rows, stencil, tile_rows
 from .colour import grey_14
 from .measures import _total, _variance
@@ -146,12 +146,12 @@ class _Regions:
     raster. ``rim``: the pixels on tiles' borders with their root.
     """
 
-    def __init__(self, tiles: DataFrame, background: bool, size: int):
-        rows = cut(stencil(tiles, _parts(background), PARTS, size=size))
+    def __init__(self, scratch: Scratch, tiles: DataFrame, background: bool, size: int):
+        rows = scratch.cut(stencil(tiles, _parts(background), PARTS, size=size))
         seen = rows.where(F.col("kind") == _OWN).select("image", "pixel", F.col("label").alias("other"))
         met = rows.where(F.col("kind") == _BEYOND).select("image", "label", "pixel").join(seen, ["image", "pixel"])
         links = met.select(F.struct("image", "label").alias("a"), F.struct("image", F.col("other").alias("label")).alias("b"))
-        self.roots = components(links).select("node.image", "node.label", F.col("root.label").alias("root"))
+        self.roots = components(scratch, links).select("node.image", "node.label", F.col("root.label").alias("root"))
         self.parts = self.rooted(rows.where(F.col("kind") == _PART).drop("kind", "pixel"))
         self.rim = self.rooted(rows.where(F.col("kind") == _OWN).select("image", "label", "pixel"))
         self.whole = self.parts.groupBy("image", "root").agg(*[F.sum(c).alias(c) for c in ("n", "strong", "border")], *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
@@ -160,12 +160,12 @@ class _Regions:
         return rows.join(self.roots, ["image", "label"], "left").withColumn("root", F.coalesce("root", "label"))
 
 
-def edge_map(tiles: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def edge_map(scratch: Scratch, tiles: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tiles of one channel, 2 where there is an edge; edge regions: image, root, n, border, x0, y0, x1, y1; their parts: image, label, root). Weak ridges count where they hang together with a strong one."""
-    ridges = cut(thin_edges(tiles, size=size))
-    found = _Regions(ridges, False, size)
-    whole = cut(found.whole.where("strong > 0").drop("strong"))
-    parts = cut(found.parts.select("image", "ty", "tx", "label", "root").join(whole.select("image", "root"), ["image", "root"], "left_semi"))
+    ridges = scratch.cut(thin_edges(tiles, size=size))
+    found = _Regions(scratch, ridges, False, size)
+    whole = scratch.cut(found.whole.where("strong > 0").drop("strong"))
+    parts = scratch.cut(found.parts.select("image", "ty", "tx", "label", "root").join(whole.select("image", "root"), ["image", "root"], "left_semi"))
     kept = parts.groupBy("image", "ty", "tx").agg(F.collect_list("label").alias("kept"))  # one tile's labels
 
     def paint(batches):
@@ -180,18 +180,18 @@ def edge_map(tiles: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame,
         yield from _batches(each(), TILES)
 
     painted = ridges.join(kept, ["image", "ty", "tx"], "left").select(*ridges.columns, "kept").mapInArrow(paint, TILES)
-    return cut(painted), whole, parts.drop("ty", "tx")
+    return scratch.cut(painted), whole, parts.drop("ty", "tx")
 
 
-def outer_regions(tiles: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+def outer_regions(scratch: Scratch, tiles: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """(edge regions that no other one encloses, all edge regions): image, root, n, border, x0, y0, x1, y1.
 
     Pixels without an edge hang together in four directions. A region is
     outermost where it touches the raster's rim or pixels that hang together
     with the rim.
     """
-    edges, whole, parts = edge_map(tiles, size)
-    ground = _Regions(edges, True, size)
+    edges, whole, parts = edge_map(scratch, tiles, size)
+    ground = _Regions(scratch, edges, True, size)
     outside = ground.whole.where("border > 0").select("image", F.col("root").alias("ground"))
 
     def touch(p: np.ndarray, t: Tile):
@@ -205,7 +205,7 @@ def outer_regions(tiles: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFr
                 found.update(zip(lines[x][both].tolist(), own[y][both].tolist(), strict=True))
         return [*((t.image, a, b, None) for a, b in found), *((t.image, a, None, k) for a, k in _beyond(t, free, lines, FOUR))]
 
-    met = cut(stencil(edges, touch, "image long, line long, label long, pixel long", size=size))
+    met = scratch.cut(stencil(edges, touch, "image long, line long, label long, pixel long", size=size))
     near = ground.rooted(met.where("label is not null").select("image", "line", "label")).select("image", "line", F.col("root").alias("ground"))
     far = met.where("pixel is not null").select("image", "line", "pixel").join(ground.rim, ["image", "pixel"]).select("image", "line", F.col("root").alias("ground"))
     free = near.unionAll(far).join(outside, ["image", "ground"], "left_semi").select("image", F.col("line").alias("label")).distinct()
@@ -218,7 +218,7 @@ def number_region_metrics(tiles: DataFrame, size: int = SIZE) -> DataFrame:
 
     A component is an outermost edge region; it looks like a digit by the
     shares of its box. Fixed values: those shares and the weights. Rasters
-    without pixels have no row.
+    without pixels have no row. The result is a table in the shared folder.
     """
     schema = "image long, width int, height int, n long, grey long, grey2 long"
 
@@ -227,7 +227,13 @@ def number_region_metrics(tiles: DataFrame, size: int = SIZE) -> DataFrame:
         return [(t.image, t.width, t.height, g.size, int(g.sum()), int((g * g).sum()))]
 
     own = _total(tile_rows(tiles, kernel, schema, size), schema, "image", "width", "height")
-    outer, whole = outer_regions(tiles, size)
+    scratch = Scratch(tiles.sparkSession)
+    with scratch:
+        outer, whole = outer_regions(scratch, tiles, size)
+        return scratch.keep(_scored(own, outer, whole))
+
+
+def _scored(own: DataFrame, outer: DataFrame, whole: DataFrame) -> DataFrame:
     edges = whole.groupBy("image").agg(F.sum("n").alias("edges"))
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     wide, tall = w / F.col("width"), h / F.col("height")

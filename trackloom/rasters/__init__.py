@@ -243,3 +243,56 @@ def visits(tiles_: DataFrame, asks: DataFrame, prepare: Callable, answer: Callab
         yield from _batches(each(), schema)
 
     return _dealt(own.unionAll(rest), "kind").mapInArrow(run, schema)
+
+
+PATCHES = "image long, width int, height int, channels int, oy int, ox int, oh int, ow int, pixels binary"
+
+
+def assembled(patches: DataFrame, size: int = SIZE) -> DataFrame:
+    """Tiles of rasters given in rectangles of any size that cover them once: image, width, height, channels, the rectangle's first pixel oy, ox, its size oh, ow, and its pixels."""
+    pieces = "image long, width int, height int, channels int, ty int, tx int, y int, x int, h int, w int, pixels binary"
+
+    def cut(batches):
+        def each():
+            for image, width, height, channels, oy, ox, oh, ow, pixels in _rows(batches):
+                own = _array(pixels, oh, ow, channels)
+                for ty in range(oy // size, -(-(oy + oh) // size)):
+                    for tx in range(ox // size, -(-(ox + ow) // size)):
+                        y0, y1, x0, x1 = max(oy, ty * size), min(oy + oh, (ty + 1) * size), max(ox, tx * size), min(ox + ow, (tx + 1) * size)
+                        yield image, width, height, channels, ty, tx, y0 - ty * size, x0 - tx * size, y1 - y0, x1 - x0, own[y0 - oy : y1 - oy, x0 - ox : x1 - ox].tobytes()
+
+        yield from _batches(each(), pieces)
+
+    def join(batches):
+        def each():
+            key, out = None, None
+            for *now, y, x, h, w, pixels in _rows(batches):
+                if now != key:
+                    if key is not None:
+                        yield (*key, out.tobytes())
+                    key = now
+                    image, width, height, channels, ty, tx = now
+                    t = _place(image, width, height, ty, tx, size)
+                    out = np.zeros((t.h, t.w, channels), np.uint8)
+                out[y : y + h, x : x + w] = _array(pixels, h, w, now[3])
+            if key is not None:
+                yield (*key, out.tobytes())
+
+        yield from _batches(each(), TILES)
+
+    return _dealt(patches.mapInArrow(cut, pieces)).mapInArrow(join, TILES)
+
+
+def cropped(tiles_: DataFrame, boxes: DataFrame, size: int = SIZE) -> DataFrame:
+    """Tiles of the parts of rasters that ``boxes`` (image, crop, box with whole inclusive corners within the raster) cut out; a part is a raster whose image is ``crop``."""
+    b = F.col("box")
+    at = {c: b[c].cast("long") for c in ("x0", "y0", "x1", "y1")}
+    span = lambda a, z: F.sequence((at[a] / size).cast("int"), (at[z] / size).cast("int"))
+    asks = boxes.where("box is not null").select("image", F.explode(span("y0", "y1")).alias("ty"), "crop", *[v.alias(c) for c, v in at.items()], span("x0", "x1").alias("xs")).withColumn("tx", F.explode("xs")).drop("xs")
+
+    def part(p, t: Tile, crop, x0, y0, x1, y1):
+        top, left, bottom, right = max(y0, t.y0), max(x0, t.x0), min(y1 + 1, t.y0 + t.h), min(x1 + 1, t.x0 + t.w)
+        piece = p[top - t.y0 : bottom - t.y0, left - t.x0 : right - t.x0]
+        return [(crop, x1 - x0 + 1, y1 - y0 + 1, p.shape[-1], top - y0, left - x0, bottom - top, right - left, piece.tobytes())]
+
+    return assembled(visits(tiles_, asks.select("image", "ty", "tx", "crop", "x0", "y0", "x1", "y1"), lambda p, _, t: p, part, PATCHES, size=size), size)

@@ -42,6 +42,11 @@ def test_files_and_packages(spark, tmp_path):
         sources.unique_names(sources.files(spark, str(tmp_path), "*.jpg", deep=True)).collect()
     found = sources.file_records(spark, str(tmp_path))
     assert found.count() == 3 and not any(r.oversize for r in found.collect())
+    (tmp_path / "x" / "frame_0009.jpg").write_bytes(b"")
+    (tmp_path / "_hidden.jpg").write_bytes(b"")
+    empty = [r for r in sources.files(spark, str(tmp_path), "*.jpg", deep=True).collect() if not r.bytes]
+    assert [(r.name, r.frame, r.path.startswith("file:")) for r in empty] == [("frame_0009.jpg", 9, True)]
+    assert [r.sha256[:8] for r in sources.file_records(spark, str(tmp_path)).collect() if not r.bytes] == ["e3b0c442"]
     expected = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "path string, required boolean")
     there = spark.createDataFrame([("a", 5), ("c", 100 << 20)], "path string, bytes long")
     inv = sinks.package_inventory(expected, there)
@@ -73,6 +78,7 @@ def test_writers(spark, tmp_path):
     sinks.write_arrays(points.select(F.array("x", "y").alias("a")), str(tmp_path / "n"))
     assert spark.read.json(str(tmp_path / "j")).count() == 9 and spark.read.parquet(str(tmp_path / "n")).count() == 9
     assert sinks.replaced_section("a\n# H\nold\n# N\nz", "# H", "# N", "# H\nnew") == "a\n# H\nnew\n\n# N\nz" and sinks.replaced_section("a\n", "# H", "# N", "# H\n") == "a\n\n# H\n"
+    assert sinks.replaced_section("# N\na\n# H\nold\n# N\nz", "# H", "# N", "# H\nnew") == "# N\na\n# H\nold\n# N\nz\n\n# H\nnew\n"
 
 
 def test_stage_rows(spark):

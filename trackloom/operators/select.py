@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import reasons
+from .components import Scratch
 
 
 def strided(rows: DataFrame, group: list[str], order: list[str], stride: int, limit: int | None = None) -> DataFrame:
@@ -17,13 +18,40 @@ def strided(rows: DataFrame, group: list[str], order: list[str], stride: int, li
 
 
 def evenly_sampled(rows: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
-    """At most ``most`` rows of a group at evenly spaced positions, both ends included; positions round half to even."""
-    w = Window.partitionBy(*group)
-    held = rows.withColumns({"position": F.row_number().over(w.orderBy(*order)) - 1, "n": F.count(F.lit(1)).over(w)})
+    """At most ``most`` rows of a group at evenly spaced positions, both ends included; positions round half to even. Null groups have no rows."""
+    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    held = rows.join(counts, group).withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.rint(k * (F.col("n") - 1) / F.lit(max(most - 1, 1))).cast("long"))
     return held.where((F.col("n") <= most) | F.array_contains(wanted, F.col("position").cast("long"))).drop("n")
 
 
+def numbered(scratch: Scratch, rows: DataFrame, order: list[str], name: str = "at") -> DataFrame:
+    """``rows`` and their number from 0 in one order over all of them, without all of them in one task.
+
+    Rows are dealt to ranges of the order and written in it; a range's count
+    gives the next one its start. Only the counts, one a range, meet.
+    """
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = scratch.cut(sorted_.withColumns({"_range": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return held.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_in")).drop("_range", "_in", "_start")
+
+
+def evenly_picked(scratch: Scratch, rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """At most ``most`` of all rows, at evenly spaced places of one order, both ends included; places round half to even. Columns stay."""
+    held = numbered(scratch, rows, order, "_at")
+    n = held.count()
+    if n <= most:
+        return held.drop("_at")
+    step = (n - 1) / max(most - 1, 1)
+    guess = F.floor(F.col("_at") / step)
+    at = F.lit(False)
+    for k in (-1, 0, 1):  # the place whose rounding is this number, if there is one
+        at |= (guess + k).between(0, most - 1) & (F.rint((guess + k) * F.lit(step)).cast("long") == F.col("_at"))
+    return held.where(at).drop("_at")
+
+
 def top_n(rows: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
 

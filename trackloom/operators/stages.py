@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .components import Scratch
 
 
 def stage_records(summaries: DataFrame) -> DataFrame:
@@ -139,3 +140,46 @@ def run_stages(data: dict, steps: list[tuple[str, Callable[[dict], DataFrame]]])
     for name, step in steps:
         out[name] = step(out)
     return out
+
+
+def _observed(rows: DataFrame, counts: dict[str, Column]) -> tuple[DataFrame, Observation | None]:
+    seen = Observation() if counts else None
+    return (rows.observe(seen, *[c.alias(n) for n, c in counts.items()]) if counts else rows), seen
+
+
+def one_pass(rows: DataFrame, sinks: dict[str, tuple[Callable[[DataFrame], DataFrame], str]], counts: dict[str, Column], manifest: dict, path: str) -> dict:
+    """Rows made once and written to several places: each sink is a view of them and a path, where it goes as JSON lines.
+
+    ``counts`` are aggregates that are observed while the rows are stored,
+    without a pass of their own. The manifest, with status, counts and
+    outputs, goes to ``path`` last, when all else is there, and is returned.
+    """
+    from ..sinks import write_document, write_rows
+
+    with Scratch(rows.sparkSession) as scratch:
+        watched, seen = _observed(rows, counts)
+        held = scratch.cut(watched)
+        for view, place in sinks.values():
+            write_rows(view(held), place)
+    told = {**manifest, "status": "complete", "counts": {n: seen.get.get(n) for n in counts} if seen else {}, "outputs": {n: place for n, (_, place) in sinks.items()}}
+    write_document(rows.sparkSession, told, path)
+    return told
+
+
+def run_with_counts(spark: SparkSession, data: dict, steps: list[tuple[str, Callable[[dict], DataFrame], dict[str, Column]]], folder: str) -> tuple[dict, dict]:
+    """``run_stages`` with every result written once as Parquet below ``folder`` and read from there by the later ones; returns the results and the summary, which is written beside them.
+
+    The counts of a stage are observed while it is written.
+    """
+    from ..sinks import write_document
+
+    out, summary = dict(data), {"status": "complete", "stage": "run_summary", "counts": {}, "stage_outputs": {}}
+    for name, step, counts in steps:
+        watched, seen = _observed(step(out), counts)
+        place = f"{folder.rstrip('/')}/{name}"
+        watched.write.mode("overwrite").parquet(place)
+        out[name] = spark.read.schema(watched.schema).parquet(place)
+        summary["counts"] |= {n: seen.get.get(n) for n in counts} if seen else {}
+        summary["stage_outputs"][name] = place
+    write_document(spark, summary, f"{folder.rstrip('/')}/run_summary.json")
+    return out, summary

@@ -12,11 +12,11 @@ def roster_index(roster: DataFrame) -> DataFrame:
     return roster.groupBy("number").agg(F.count(F.lit(1)).alias("players"), F.countDistinct("team").alias("teams")).withColumn("ambiguous", F.col("players") > 1)
 
 
-def duplicates(roster: DataFrame, names: int = 100) -> DataFrame:
-    """Numbers that a team has given twice or more: team, number, players and the first ``names`` names in order."""
-    each = Window.partitionBy("team", "number")
-    held = roster.withColumns({"players": F.count(F.lit(1)).over(each), "_at": F.row_number().over(each.orderBy("name", "player_id"))}).where("players > 1 and _at <= " + str(names))
-    return held.groupBy("team", "number").agg(F.first("players").alias("players"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+def duplicates(roster: DataFrame) -> DataFrame:
+    """Numbers that a team has given twice or more, a row for each player: team, number, players, place (from 1, by name) and name."""
+    counts = roster.groupBy("team", "number").agg(F.count(F.lit(1)).alias("players")).where("players > 1")
+    met = roster.join(counts, ["team", "number"])
+    return met.select("team", "number", "players", F.row_number().over(Window.partitionBy("team", "number").orderBy("name", "player_id")).alias("place"), "name")
 
 
 def shared_numbers(roster: DataFrame) -> DataFrame:

@@ -299,7 +299,7 @@ def windowed_counts(spark, d):
     return streaming.windowed_counts(table(spark, d, "events"))
 
 
-@query(OBS + "SELECT frame, x, y, label FROM obs UNION SELECT frame, x, y, 'copy' FROM obs WHERE score > 50")
+@query(OBS + "SELECT frame, x, y, label FROM obs UNION ALL SELECT frame, x, y, 'copy' FROM obs WHERE score > 50")
 def union_points(spark, d):
     o = observations(spark, d)
-    return o.select("frame", "x", "y", "label").unionByName(o.where("score > 50").select("frame", "x", "y", F.lit("copy").alias("label"))).distinct()
+    return o.select("frame", "x", "y", "label").unionByName(o.where("score > 50").select("frame", "x", "y", F.lit("copy").alias("label")))

@@ -133,9 +133,13 @@ def text_scalars(spark, d):
         tx.path_key(F.concat(F.lit("./x//"), key.cast("string"), F.lit(".png")), "/data").alias("key"), tx.portable_path(there, "/data").alias("portable"), tx.crop_filename(size, key, F.lit("torso"), F.lit("raw")).alias("file"), tx.number_region_path("/r/", size, key, F.lit(None).cast("string")).alias("region"))
 
 
-@query(ROSTER + "SELECT team, number, count(*) AS players, string_agg(name, ',' ORDER BY name) AS names FROM roster GROUP BY 1, 2 HAVING count(*) > 1")
+@query(
+    ROSTER
+    + """SELECT team, number, count(*) OVER (PARTITION BY team, number) AS players, CAST(row_number() OVER (PARTITION BY team, number ORDER BY name, player_id) AS INTEGER) AS place, name
+FROM roster QUALIFY players > 1"""
+)
 def roster_ambiguous(spark, d):
-    """Numbers given twice in a team. A hundred names at most are listed; a team has a hundred numbers."""
+    """Numbers given twice in a team, each player a row in the order of names."""
     return votes.duplicates(roster(spark, d))
 
 

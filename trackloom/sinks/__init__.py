@@ -7,6 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import Scratch
+from ..operators.select import evenly_picked
+
 #: The columns of the two tables for reviewers.
 QUALITY_COLUMNS = ("track_id", "final_label", "confidence_score", "frame_count", "first_frame", "last_frame", "average_bbox_area", "bbox_area_variance", "average_image_speed", "average_field_speed", "maximum_image_jump_distance", "maximum_field_jump_distance", "missing_frames", "projected_point_count", "percent_projected_inside_bounds", "percent_projected_outside_bounds", "near_boards_sideline_fraction", "best_crop_path", "human_readable_reasons")
 REVIEW_COLUMNS = ("track_id", "frame_index", "crop_path", "crop_type", "likely_view", "auto_quality_score", "ocr_candidate", "manual_number_visible", "manual_number_text", "manual_view", "notes")
@@ -58,10 +61,11 @@ def write_ply(points: DataFrame, path: str, order: list[str], most: int | None =
 
     ``most``: evenly spaced points at most. A reader joins the parts by name.
     """
-    if most is not None:
-        from ..operators.select import evenly_sampled
+    with Scratch(points.sparkSession) as scratch:
+        return _write_ply(points if most is None else evenly_picked(scratch, points, order, most), path, order)
+
 
-        points = evenly_sampled(points.withColumn("_all", F.lit(0)), ["_all"], order, most).drop("_all")
+def _write_ply(points: DataFrame, path: str, order: list[str]) -> int:
     n = points.count()
     head = ["ply", "format ascii 1.0", f"element vertex {n}", *[f"property float {c}" for c in "xyz"], *[f"property uchar {c}" for c in ("red", "green", "blue")], "end_header"]
     spark = points.sparkSession
@@ -91,9 +95,8 @@ def checked_package(inventory: DataFrame) -> DataFrame:
 
 
 def replaced_section(text: str, header: str, following: str, replacement: str) -> str:
-    """``text`` with what lies from ``header`` up to ``following`` replaced, or appended where the two aren't there in that order."""
-    before, found, rest = text.partition(header)
-    cut = rest.find(following) if found else -1
-    if cut < 0:
-        return f"{text.rstrip()}\n\n{replacement.rstrip()}\n"
-    return f"{before}{replacement.rstrip()}\n\n{rest[cut:]}"
+    """``text`` with what lies from the first ``header`` up to the first ``following`` replaced, or appended where the two aren't there in that order."""
+    start, end = text.find(header), text.find(following)
+    if 0 <= start < end:
+        return f"{text[:start]}{replacement.rstrip()}\n\n{text[end:]}"
+    return f"{text.rstrip()}\n\n{replacement.rstrip()}\n"

@@ -80,18 +80,34 @@ def valid_documents(documents: DataFrame, raw: str, path: str) -> DataFrame:
     return state.withColumn("error", F.when(F.col("error").isNotNull(), broken).otherwise(F.col("error"))).where(F.coalesce("error", F.lit("")) == "").drop("error", "kind", "records")
 
 
+def _empty_files(spark: SparkSession, folder: str, pattern: str, deep: bool) -> DataFrame:
+    """(path) of the files without content, which Spark's readers leave out of a scan; from the file system's listing, as Spark lists on the driver itself."""
+    import fnmatch
+
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed, found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, deep), []
+    while listed.hasNext():
+        at = listed.next()
+        name = at.getPath().getName()
+        if at.getLen() == 0 and fnmatch.fnmatchcase(name, pattern) and name[:1] not in "_.":
+            found.append((at.getPath().toString(),))
+    return spark.createDataFrame(found, "path string")
+
+
 def files(spark: SparkSession, folder: str, pattern: str = "*", deep: bool = False) -> DataFrame:
-    """(path, name, bytes, frame) of the files of a folder; frame is the number in ``frame_<digits>``, null without. Files without content have no row."""
+    """(path, name, bytes, frame) of the files of a folder, those without content included; frame is the number in ``frame_<digits>``, null without. Hidden files (names that begin with a dot or an underscore) are left out."""
     from ..functions.text import frame_of_path
 
-    held = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(deep).lower()).load(folder)
-    return held.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), frame_of_path(F.col("path")).alias("frame"))
+    held = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(deep).lower()).load(folder).select("path", F.col("length").alias("bytes"))
+    every = held.unionAll(_empty_files(spark, folder, pattern, deep).select("path", F.lit(0).cast("long")))
+    return every.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", frame_of_path(F.col("path")).alias("frame"))
 
 
 def file_records(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256, oversize) of all files below a folder; over 90 MB is oversize."""
+    """(path, bytes, sha256, oversize) of all files below a folder, those without content included; over 90 MB is oversize."""
     held = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return held.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), (F.col("length") > 90 * 1024 * 1024).alias("oversize"))
+    own = held.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), (F.col("length") > 90 * 1024 * 1024).alias("oversize"))
+    return own.unionAll(_empty_files(spark, folder, pattern, True).select("path", F.lit(0).cast("long"), F.sha2(F.lit(b""), 256), F.lit(False)))
 
 
 def unique_names(listed: DataFrame) -> DataFrame:

@@ -232,12 +232,24 @@ def test_topk(spark):
     assert topk.top_k(df.where("vec_id in (0, 3)")).count() == 1
 
 
-def test_topk_bounds_hold():
+def test_topk_stops_reading():
+    """Lists with few large values are left early, by blocks of any size; what is left is right."""
     r = np.random.default_rng(2)
-    block, qs = r.integers(-20, 20, (200, 6)), r.integers(-20, 20, (9, 6))
-    for depth in topk.DEPTHS:
-        low, high = topk.bounds(qs, block, np.sort(block, axis=0), depth, np.float64)
-        assert (low <= qs @ block.T).all() and (qs @ block.T <= high).all()
+    n, ids = 5000, np.arange(5000)
+    skewed = np.floor(np.exp(r.normal(0, 2, (n, 12))) * (r.random((n, 12)) < 0.1)).astype(np.int64)
+    flat, tied = r.integers(-9, 9, (n, 6)), np.repeat(r.integers(-3, 4, (5, 6)), n // 5, axis=0)
+    reads = {}
+    for name, block in (("skewed", skewed), ("flat", flat), ("tied", tied)):
+        lists, qs = topk.Lists(block), np.abs(r.integers(0, 50, (9, block.shape[1]))) if name == "skewed" else r.integers(-9, 9, (9, block.shape[1]))
+        qs[8] = 0
+        got = list(topk.top_of_block(ids[:9] * 7, qs, ids, block, 20, lists))
+        reads[name] = lists.read / (np.count_nonzero(qs) * n)
+        for i, q in enumerate(qs):
+            scores = block @ q
+            best = [j for j in np.lexsort((ids, -scores)) if j != i * 7][:20]
+            assert [(j, s) for a, j, s in got if a == i * 7] == [(int(j), int(scores[j])) for j in best]
+    assert reads["skewed"] < 0.2 and max(reads.values()) <= 1
+    assert [*topk.depths(10)] == [10] and [*topk.depths(5000)][-1] == 5000
 
 
 def test_packing(spark, docs, rows, none):

@@ -2,64 +2,103 @@
 
 Vectors are dealt into blocks, and every block of queries meets every block of
 candidates in a group of its own. Within a group each dimension has its list
-of candidates sorted by value, read from the top where the query's component
-is positive and from the bottom where it is negative. All lists are read in
-step. What has been read of a candidate gives it a lower bound (its unread
-components count as the end of their lists) and an upper bound (they count as
-the value that the reading has reached). Reading stops when few enough
-candidates have an upper bound that reaches the k-th best lower bound; only
-these are resolved to their final scores. The bounds of many queries are
-computed at once, as products of matrices.
+of candidates sorted by value. A query reads the lists of all dimensions in
+which it is not zero, in step: from the top where its component is positive,
+from the bottom where it is negative. What has been read of a candidate gives
+it bounds: the components not yet read count as the end of their lists for the
+lower one, and as the value that the reading has reached for the upper one. A
+candidate that has not been met at all can reach what the reading has reached
+in all lists. Whoever can't reach the k-th best lower bound goes for good; the
+reading stops when nobody unmet can, and when those left are no more than k or
+are known in full. Only then are those few resolved to their final scores.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Parts of the lists after whose reading the bounds are looked at; after the last everything has been read.
-DEPTHS = (0.75, 0.875, 0.9375, 0.96875, 1.0)
-
-
-def bounds(queries: np.ndarray, block: np.ndarray, ordered: np.ndarray, depth: float, kind) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of all scores after that part of every list has been read. ``ordered``: the block's columns, each sorted."""
-    n = len(block)
-    read = min(n, max(1, int(np.ceil(depth * n))))
-    from_top, from_bottom = ordered[n - read], ordered[read - 1]
-    least, most = ordered[0], ordered[-1]
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    both = np.hstack([up, down]).astype(kind)
-    lower = np.hstack([np.where(block >= from_top, block, least), np.where(block <= from_bottom, block, most)]).astype(kind)
-    upper = np.hstack([np.maximum(block, from_top), np.minimum(block, from_bottom)]).astype(kind)
-    return both @ lower.T, both @ upper.T
+#: Entries of every list that are read before the bounds are first looked at.
+FIRST = 64
+
+
+def depths(n: int, first: int = FIRST) -> Iterator[int]:
+    """How far the lists of n entries have been read at each look: four times as far each time, then half of what is left, at last all."""
+    at = first
+    while at < n:
+        yield at
+        at = at * 4 if at * 4 < n else at + (n - at) // 2 if n - at > max(2 * first, n // 16) else n
+    yield n
+
+
+class Lists:
+    """The sorted lists of a block, and how many of their entries have been read in all."""
+
+    def __init__(self, block: np.ndarray, kind=np.float64):
+        self.kind = kind  # single precision where it holds all sums of products
+        self.n = len(block)
+        up = np.argsort(block, axis=0, kind="stable").T
+        self.ids = np.ascontiguousarray(up), np.ascontiguousarray(up[:, ::-1])
+        self.values = tuple(np.take_along_axis(block.T, ids, axis=1).astype(np.float64) for ids in self.ids)
+        self.read = 0
+
+    def best(self, query: np.ndarray, k: int, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(candidates, score or NaN): at least the k best of those that are not ``out``, ties included; the score where the reading has found all of it."""
+        dims = np.flatnonzero(query)
+        if not len(dims):
+            return np.flatnonzero(~out), np.zeros(int((~out).sum()))
+        q = query[dims].astype(np.float64)
+        lists = [(self.ids[int(v > 0)][d], self.values[int(v > 0)][d]) for d, v in zip(dims, q, strict=True)]
+        partial, missing, alive, before = np.zeros(self.n), np.ones((len(dims), self.n), self.kind), ~out, 0
+        ends = q * np.array([values[-1] for _, values in lists])
+        for depth in depths(self.n):
+            for d, (ids, values) in enumerate(lists):
+                part = ids[before:depth]
+                partial[part] += q[d] * values[before:depth]
+                missing[d][part] = 0
+            self.read += (depth - before) * len(dims)
+            before = depth
+            reached = q * np.array([values[depth - 1] for _, values in lists])
+            # Per candidate: what is missing at the least, at the most, and how many components that is.
+            least, most, short = np.stack([ends, reached, np.ones(len(dims))]).astype(self.kind) @ missing
+            seen = np.flatnonzero(alive & (short < len(dims)))
+            lower, upper = partial[seen] + least[seen], partial[seen] + most[seen]
+            kth = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf
+            alive[seen[upper < kth]] = False
+            left = seen[upper >= kth]
+            if reached.sum() >= kth and (alive & (short == len(dims))).any():
+                continue  # one that has not been met could still be among the best
+            if len(left) <= k or not short[left].any():
+                break
+        return left, np.where(short[left] == 0, partial[left], np.nan)
 
 
-def top_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, block: np.ndarray, k: int, few: int = 2048, step: int = 128):
+def top_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, block: np.ndarray, k: int, lists: Lists | None = None):
     """(query id, id, score) of each query's k best in the block, ties to the smaller id; a query's own id is left out."""
     if not len(block) or not len(queries):
         return
     queries, block = queries.astype(np.int64), block.astype(np.int64)
-    reach = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * max(1, block.shape[1])
-    kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else object
-    exact = block.astype(object) if kind is object else block
-    ordered = np.sort(block, axis=0)
-    for at in range(0, len(queries), step):
-        own = ids[None, :] == query_ids[at : at + step, None]
-        for depth in DEPTHS:
-            lower, upper = bounds(queries[at : at + step], block, ordered, depth, kind)
-            lower[own], upper[own] = -np.inf, -np.inf
-            kth = np.partition(lower, len(block) - k, axis=1)[:, len(block) - k] if len(block) > k else np.full(len(lower), -np.inf)
-            alive = (upper >= kth[:, None]) & ~own
-            if depth == 1.0 or alive.sum(axis=1).max(initial=0) <= few:
-                break
-        for q, mask in enumerate(alive, start=at):
-            left = np.flatnonzero(mask)
-            scores = exact[left] @ queries[q].astype(exact.dtype)
-            for j in np.lexsort((ids[left], -scores))[:k]:
-                yield int(query_ids[q]), int(ids[left[j]]), int(scores[j])
+    reach = int(np.abs(queries).max(initial=0)) * int(np.abs(block).max(initial=0)) * max(1, block.shape[1])
+    if reach >= 1 << 53:  # beyond what doubles hold, all scores are taken in Python's integers
+        queries, block = queries.astype(object), block.astype(object)
+    else:
+        lists = lists or Lists(block, np.float32 if reach < 1 << 24 else np.float64)
+    for query_id, query in zip(query_ids, queries, strict=True):
+        own = ids == query_id
+        left, scores = (np.flatnonzero(~own), None) if lists is None else lists.best(query, k, own)
+        if scores is None:
+            scores = block[left] @ query
+        else:
+            short = np.flatnonzero(np.isnan(scores))
+            scores[short] = block[left[short]] @ query
+            scores = np.rint(scores).astype(np.int64)
+        for j in np.lexsort((ids[left], -scores))[:k]:
+            yield int(query_id), int(ids[left[j]]), int(scores[j])
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -96,8 +135,11 @@ def top_k(vectors: DataFrame, is_query: Column | None = None, k: int = 20, block
     Queries: rows whose vec_id is divisible by 20, or ``is_query``. Ties go to
     the smaller vec_id. A query's own id never counts; repeated rows count one
     by one; vectors of different lengths are compared as if padded with zeros.
-    With fewer than k others all are returned. A group holds about
-    ``block_rows`` candidates and ``query_rows`` queries, whatever the input.
+    With fewer than k others all are returned. Rows with a null id or vector,
+    or a component that is null or not finite, take no part; other columns,
+    whatever their names, are ignored; an empty table gives an empty result. A
+    group holds about ``block_rows`` candidates and ``query_rows`` queries,
+    whatever the input.
     """
     rows = quantised(vectors)
     chosen = F.col("vec_id") % 20 == 0 if is_query is None else is_query

@@ -221,3 +221,15 @@ def test_motion_counts_a_frame_at_least(spark):
     got = {r.event_id: (r.step, r.vx) for r in tracks.motion(rows).collect()}
     assert got == {1: (None, None), 2: (5.0, 3.0), 3: (None, None)}
     assert tracks.predicted(rows, F.lit(6)).where("event_id = 2").first().at_x == 9.0
+
+
+def test_crowds_give_the_same_costs(spark, monkeypatch):
+    """By cells, as in crowded frames, or all at once, as in others."""
+    rows = _rows(9, clips=2, frames=12)
+    df = spark.createDataFrame(rows, SCHEMA)
+    at = ["clip_id", "_f"]
+    sides = df.withColumn("_f", F.col("frame") + 1), df.withColumn("_f", F.col("frame"))
+    few = sorted(map(tuple, tracks.associations(*sides, at).collect()))
+    monkeypatch.setattr(tracks, "FEW_SEEN", 0)
+    assert sorted(map(tuple, tracks.associations(*sides, at).collect())) == few
+    assert len(few) > 50 and len({r[:2] for r in few}) == len(few)

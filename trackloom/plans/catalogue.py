@@ -89,10 +89,10 @@ _IOU = """, p AS (SELECT a.frame, a.part AS a_part, b.part AS b_part, greatest(0
 
 
 def _box_pairs(spark, d):
-    b = boxes(spark, d).select("frame", "part", "x0", "y0", "x1", "y1")
-    a = b.select("frame", *[F.col(c).alias(f"a_{c}") for c in ("part", "x0", "y0", "x1", "y1")])
-    c = b.select("frame", *[F.col(c).alias(f"b_{c}") for c in ("part", "x0", "y0", "x1", "y1")])
-    return a.join(c, "frame").where("a_part < b_part").withColumn("iou", fn.iou("a_", "b_"))
+    """Boxes of a frame that share an area, by the cells they cover."""
+    b = boxes(spark, d).select("frame", "part", bx.box(*[F.col(c) for c in bx.SIDES]).alias("box"))
+    a, c = (b.select("frame", F.col("part").alias(f"{p}_part"), F.col("box").alias(f"{p}_box")) for p in "ab")
+    return joins.touching_join(a, c, ["frame"], "a_box", "b_box", 256.0).where("a_part < b_part").withColumn("iou", bx.iou(F.col("a_box"), F.col("b_box")))
 
 
 @query(BOX + _IOU + "SELECT frame, a_part, b_part, round(o / (s - o), 6) AS iou FROM p WHERE o / (s - o) >= 0.01")

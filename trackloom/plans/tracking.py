@@ -47,8 +47,8 @@ def mutual_nearest(spark, d):
 
 
 def _clips(spark, d):
-    """Users as 64 clips; the order within a frame is the event's number."""
-    return detections(spark, d).withColumns({"clip_id": F.col("track_id") % 64, "detection": F.col("event_id")})
+    """Users as clips of 24, so there are the more clips the more users; the order within a frame is the event's number."""
+    return detections(spark, d).withColumns({"clip_id": F.expr("track_id div 24"), "detection": F.col("event_id")})
 
 
 @query(None)

@@ -8,9 +8,10 @@ from the bottom where it is negative. What has been read of a candidate gives
 it bounds: the components not yet read count as the end of their lists for the
 lower one, and as the value that the reading has reached for the upper one. A
 candidate that has not been met at all can reach what the reading has reached
-in all lists. Whoever can't reach the k-th best lower bound goes for good; the
-reading stops when nobody unmet can, and when those left are no more than k or
-are known in full. Only then are those few resolved to their final scores.
+in all lists. A query stops when those who can still reach the k-th best lower
+bound are no more than k, or are settled; only then are those few resolved to
+their final scores. Many queries read the same stretch of the lists at once,
+as a product of matrices, and each stops on its own.
 """
 
 from __future__ import annotations
@@ -25,57 +26,73 @@ from pyspark.sql.window import Window
 
 #: Entries of every list that are read before the bounds are first looked at.
 FIRST = 64
+#: Queries that read together. Each stops on its own.
+BATCH = 128
+#: Candidates whose bounds tell whether a look at all of them may be worth it.
+PROBE = 1024
 
 
 def depths(n: int, first: int = FIRST) -> Iterator[int]:
-    """How far the lists of n entries have been read at each look: four times as far each time, then half of what is left, at last all."""
+    """How far the lists of n entries have been read at each look: sixteen times as far each time, then half of what is left, at last all."""
     at = first
     while at < n:
         yield at
-        at = at * 4 if at * 4 < n else at + (n - at) // 2 if n - at > max(2 * first, n // 16) else n
+        at = at * 16 if at * 16 < n else at + (n - at) // 2 if n - at > max(2 * first, n // 8) else n
     yield n
 
 
 class Lists:
-    """The sorted lists of a block, and how many of their entries have been read in all."""
+    """The sorted lists of a block, from the top and from the bottom, and how many entries queries have read in all."""
 
     def __init__(self, block: np.ndarray, kind=np.float64):
+        self.n, self.width = block.shape
         self.kind = kind  # single precision where it holds all sums of products
-        self.n = len(block)
         up = np.argsort(block, axis=0, kind="stable").T
-        self.ids = np.ascontiguousarray(up), np.ascontiguousarray(up[:, ::-1])
-        self.values = tuple(np.take_along_axis(block.T, ids, axis=1).astype(np.float64) for ids in self.ids)
+        self.ids = np.vstack([up[:, ::-1], up])
+        self.values = np.take_along_axis(np.vstack([block.T, block.T]), self.ids, axis=1).astype(kind)
         self.read = 0
 
-    def best(self, query: np.ndarray, k: int, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(candidates, score or NaN): at least the k best of those that are not ``out``, ties included; the score where the reading has found all of it."""
-        dims = np.flatnonzero(query)
-        if not len(dims):
-            return np.flatnonzero(~out), np.zeros(int((~out).sum()))
-        q = query[dims].astype(np.float64)
-        lists = [(self.ids[int(v > 0)][d], self.values[int(v > 0)][d]) for d, v in zip(dims, q, strict=True)]
-        partial, missing, alive, before = np.zeros(self.n), np.ones((len(dims), self.n), self.kind), ~out, 0
-        ends = q * np.array([values[-1] for _, values in lists])
+    def stretch(self, before: int, depth: int, missing: np.ndarray) -> np.ndarray:
+        """The entries of all lists from ``before`` to ``depth`` as a matrix of lists by candidates; takes them out of ``missing``."""
+        part, out = self.ids[:, before:depth], np.zeros(missing.shape, self.kind)
+        np.put_along_axis(out, part, self.values[:, before:depth], axis=1)
+        np.put_along_axis(missing, part, 0, axis=1)
+        return out
+
+    def best(self, queries: np.ndarray, k: int, out: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (candidates, score or NaN): at least the k best of those that are not ``out``, ties included; the score where the reading has settled it."""
+        q = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(self.kind)
+        ends, lists = q * self.values[:, -1], (q != 0).sum(axis=1)
+        partial, missing = np.zeros((len(q), self.n), self.kind), np.ones(self.ids.shape, self.kind)
+        found, going, before = [None] * len(q), np.arange(len(q)), 0
         for depth in depths(self.n):
-            for d, (ids, values) in enumerate(lists):
-                part = ids[before:depth]
-                partial[part] += q[d] * values[before:depth]
-                missing[d][part] = 0
-            self.read += (depth - before) * len(dims)
+            # What the queries that still read add from these entries of their lists.
+            partial[going] += q[going] @ self.stretch(before, depth, missing)
+            self.read += int((depth - before) * lists[going].sum())
             before = depth
-            reached = q * np.array([values[depth - 1] for _, values in lists])
-            # Per candidate: what is missing at the least, at the most, and how many components that is.
-            least, most, short = np.stack([ends, reached, np.ones(len(dims))]).astype(self.kind) @ missing
-            seen = np.flatnonzero(alive & (short < len(dims)))
-            lower, upper = partial[seen] + least[seen], partial[seen] + most[seen]
-            kth = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf
-            alive[seen[upper < kth]] = False
-            left = seen[upper >= kth]
-            if reached.sum() >= kth and (alive & (short == len(dims))).any():
-                continue  # one that has not been met could still be among the best
-            if len(left) <= k or not short[left].any():
+            reached = q[going] * self.values[:, depth - 1]
+            if depth < self.n:
+                # Nobody can stop while one not met could still beat the best lower bound of some.
+                some = np.s_[: min(PROBE, self.n)]
+                sure = (partial[going, some] + ends[going] @ missing[:, some]).max(axis=1)
+                hopeful = reached.sum(axis=1) < sure
+            else:
+                hopeful = np.ones(len(going), bool)
+            looks = going[hopeful]
+            if not len(looks):
+                continue
+            lower, upper = partial[looks] + ends[looks] @ missing, partial[looks] + reached[hopeful] @ missing
+            for i, low, high in zip(looks, lower, upper, strict=True):
+                low[out[i]] = high[out[i]] = -np.inf
+                kth = np.partition(low, self.n - k)[self.n - k] if self.n > k else -np.inf
+                left = np.flatnonzero((high >= kth) & ~out[i])
+                known = low[left] == high[left]
+                if len(left) <= k or known.all():
+                    found[i] = left, np.where(known, low[left], np.nan).astype(np.float64)
+            going = np.array([i for i in going if found[i] is None], np.int64)
+            if not len(going):
                 break
-        return left, np.where(short[left] == 0, partial[left], np.nan)
+        return found
 
 
 def top_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, block: np.ndarray, k: int, lists: Lists | None = None):
@@ -88,17 +105,19 @@ def top_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, bl
         queries, block = queries.astype(object), block.astype(object)
     else:
         lists = lists or Lists(block, np.float32 if reach < 1 << 24 else np.float64)
-    for query_id, query in zip(query_ids, queries, strict=True):
-        own = ids == query_id
-        left, scores = (np.flatnonzero(~own), None) if lists is None else lists.best(query, k, own)
-        if scores is None:
-            scores = block[left] @ query
-        else:
-            short = np.flatnonzero(np.isnan(scores))
-            scores[short] = block[left[short]] @ query
-            scores = np.rint(scores).astype(np.int64)
-        for j in np.lexsort((ids[left], -scores))[:k]:
-            yield int(query_id), int(ids[left[j]]), int(scores[j])
+    for at in range(0, len(queries), BATCH):
+        some = queries[at : at + BATCH]
+        own = ids[None, :] == query_ids[at : at + BATCH, None]
+        found = lists.best(some, k, own) if lists else [(np.flatnonzero(~o), None) for o in own]
+        for query_id, query, (left, scores) in zip(query_ids[at : at + BATCH], some, found, strict=True):
+            if scores is None:
+                scores = block[left] @ query
+            else:
+                short = np.flatnonzero(np.isnan(scores))
+                scores[short] = block[left[short]] @ query
+                scores = np.rint(scores).astype(np.int64)
+            for j in np.lexsort((ids[left], -scores))[:k]:
+                yield int(query_id), int(ids[left[j]]), int(scores[j])
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:

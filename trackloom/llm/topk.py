@@ -33,11 +33,11 @@ PROBE = 1024
 
 
 def depths(n: int, first: int = FIRST) -> Iterator[int]:
-    """How far the lists of n entries have been read at each look: sixteen times as far each time, then half of what is left, at last all."""
+    """How far the lists of n entries have been read at each look: four times as far each time, then half of what is left, at last all."""
     at = first
     while at < n:
         yield at
-        at = at * 16 if at * 16 < n else at + (n - at) // 2 if n - at > max(2 * first, n // 8) else n
+        at = at * 4 if at * 4 < n else at + (n - at) // 2 if n - at > max(2 * first, n // 8) else n
     yield n
 
 

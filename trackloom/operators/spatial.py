@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def density(points: DataFrame, width: int, height: int) -> DataFrame:
-    """Counts per cell; coordinates round half to even and cells outside the field drop out."""
+def density(points: DataFrame, width: int, height: int, weight: float | None = None) -> DataFrame:
+    """Counts per cell, or their ``weight`` in all; coordinates round half to even and cells outside the field drop out, as do points without a place."""
     cells = points.select(F.rint("x").cast("long").alias("cell_x"), F.rint("y").cast("long").alias("cell_y"))
-    return cells.where(F.col("cell_x").between(0, width - 1) & F.col("cell_y").between(0, height - 1)).groupBy("cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n"))
+    return cells.where(F.col("cell_x").between(0, width - 1) & F.col("cell_y").between(0, height - 1)).groupBy("cell_x", "cell_y").agg((F.count(F.lit(1)) * (1 if weight is None else F.lit(weight))).alias("n"))
 
 
 def normalised(grid: DataFrame) -> DataFrame:

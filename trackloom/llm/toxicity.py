@@ -3,14 +3,17 @@
 Two zstandard dictionaries are trained, one on toxic text and one on ordinary
 text. A document is cut into windows of one word each; a window that becomes
 shorter with the toxic dictionary than with the ordinary one is evidence. How
-often windows of a document gain 2, 3, 4 or 6 bytes gives its score through
-weights fitted to learning documents that the dictionaries had not seen.
+often windows of a document gain 2, 3, 4 or 6 bytes, and how many it has, give
+its score through weights fitted to learning documents that the dictionaries
+had not seen.
 
 Labels mark whole documents, most of whose words are ordinary. So the toxic
-dictionary is trained on the windows that hold a byte n-gram which is far
-commoner in toxic documents, and the ordinary one is trained twice: the
-windows of ordinary documents that seem toxic at first go in again, nearest
-the end, where references are shortest.
+dictionary is trained on the windows that hold a byte n-gram which far more
+toxic documents hold, or hold twice, and the ordinary one is trained twice:
+the windows of ordinary documents that seem toxic at first go in again,
+nearest the end, where references are shortest. Windows with an n-gram that
+toxic documents repeat and ordinary ones don't are left out of it, as now and
+then an ordinary document has one too.
 
 A window alone is too short to be compressed at all, so a fixed line that both
 dictionaries hold is put behind it. Dictionaries serve as raw content, so that
@@ -36,8 +39,12 @@ from .pretokens import Memory, loaded
 FRAME = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ "
 GAINS = (2, 3, 4, 6)
 THRESHOLD = 0.7
+#: The part of ordinary learning documents, looked at with dictionaries trained without them, that may reach the threshold.
+FALSE_MARKS = 0.004
 #: Bytes of a word that a window holds; longer words are several windows.
 WINDOW = 48
+#: Lengths of the n-grams that are looked for in all windows, and in those that hold a telling one.
+SHORT, LONG = (5, 6), (7, 8, 9)
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -47,15 +54,15 @@ def windows(text: bytes) -> list[bytes]:
     return [w[k : k + WINDOW] for w in words for k in range(0, len(w), WINDOW)]
 
 
-def _grams(word: bytes) -> set[bytes]:
+def _grams(word: bytes, sizes: tuple[int, ...] = SHORT) -> set[bytes]:
     b = b" " + word + b" "
-    return {b[i : i + k] for k in (5, 6) for i in range(len(b) - k + 1)}
+    return {b[i : i + k] for k in sizes for i in range(len(b) - k + 1)}
 
 
 def _core(word: bytes, telling: set[bytes]) -> bytes:
     """The part of a window, with a space on either side, that telling n-grams cover; empty if none does."""
     b = b" " + word + b" "
-    spans = [(i, i + k) for k in (5, 6) for i in range(len(b) - k + 1) if b[i : i + k] in telling]
+    spans = [(i, i + k) for k in SHORT + LONG for i in range(len(b) - k + 1) if b[i : i + k] in telling]
     return b[min(a for a, _ in spans) : max(z for _, z in spans)] if spans else b""
 
 
@@ -99,36 +106,57 @@ class Model:
     def evidence(self, text: bytes) -> list[float]:
         own = windows(text)
         gains = np.fromiter(map(self.gain, own), np.int16, len(own))
-        return [float(np.log(((gains >= g).sum() + 0.1) / (len(own) + 20.0))) + 5.0 for g in GAINS]
+        size = float(np.log(len(own) + 20.0))
+        return [float(np.log((gains >= g).sum() + 0.1)) - size + 5.0 for g in GAINS] + [size - 5.0]
 
     def score(self, text: bytes | None) -> float:
         x = np.array([*self.evidence(text or b""), 1.0])
         return float(sigmoid(x @ self.weights))
 
 
+def _telling(toxic: Counter, ordinary: Counter, n: Counter, times: int = 20) -> set[bytes]:
+    """The n-grams of enough toxic documents that are so many times as common there."""
+    return {g for g, k in toxic.items() if k >= max(4, 0.03 * n[1]) and k / n[1] >= times * (ordinary[g] + 0.5) / n[0]}
+
+
 def dictionaries(texts: list[tuple[bytes, int]]) -> Model:
     """Both dictionaries from texts of both classes, without weights."""
-    words, grams, n = {1: Counter(), 0: Counter()}, {1: Counter(), 0: Counter()}, Counter(y for _, y in texts)
-    for t, y in texts:
-        own = set(windows(t))
-        words[y].update(own)
-        grams[y].update(set().union(*map(_grams, own)) if own else ())
-    telling = {g for g, k in grams[1].items() if k >= max(4, 0.03 * n[1]) and k / n[1] >= 20 * (grams[0][g] + 0.5) / n[0]}
-    suspect = Counter()
+    words, once, often, n = *({1: Counter(), 0: Counter()} for _ in range(3)), Counter(y for _, y in texts)
+    held = [(Counter(windows(t)), y) for t, y in texts]
+
+    def count(sizes: tuple[int, ...], among: set[bytes] | None) -> None:
+        for own, y in held:
+            grams = Counter()
+            for w, k in own.items():
+                if among is None or _core(w, among):
+                    for g in _grams(w, sizes):
+                        grams[g] += k
+            once[y].update(grams.keys())
+            often[y].update(g for g, k in grams.items() if k > 1)
+
+    for own, y in held:
+        words[y].update(own.keys())
+    count(SHORT, None)
+    # Some stems are met now and then in ordinary documents, but twice in hardly any.
+    repeated = _telling(often[1], often[0], n, 10)
+    count(LONG, repeated)
+    repeated |= {g for g in _telling(often[1], often[0], n, 10) if len(g) in LONG}
+    telling, suspect = _telling(once[1], once[0], n) | repeated, Counter()
     for w, k in words[1].items():
         if core := _core(w, telling):
             suspect[core] += k
-    ordinary = _trained(65536, words[0])
+    usual = Counter({w: k for w, k in words[0].items() if not _core(w, repeated)})
+    ordinary = _trained(65536, usual)
     model, again = Model(_trained(6144, suspect), ordinary), Counter()
     for _ in range(2):
-        again.update({w: k + 3 for w, k in words[0].items() if model.gain(w) >= 2})
+        again.update({w: k + 3 for w, k in usual.items() if model.gain(w) >= 2})
         if again:
             model = Model(model.toxic, ordinary + _trained(24576, again))
     return model
 
 
 def fit(sample: list[tuple[str, int]], parts: int = 3) -> Model:
-    """Train both dictionaries, and calibrate for even odds of the classes.
+    """Train both dictionaries, and calibrate: for even odds of the classes, and lower where too many ordinary documents would be marked.
 
     The weights are fitted to evidence that every text got from dictionaries
     trained without it: the sample is cut into ``parts``, and each is looked at
@@ -140,13 +168,17 @@ def fit(sample: list[tuple[str, int]], parts: int = 3) -> Model:
     n = Counter(y for _, y in texts)
     cuts = [[r for k, r in enumerate(texts) if k % parts != part] for part in range(parts)]
     if any(len({y for _, y in cut}) < 2 for cut in cuts):
-        return Model(b"", b"", np.array([0.0] * len(GAINS) + [np.log((n[1] + 1) / (n[0] + 1))]))
+        return Model(b"", b"", np.array([0.0] * (len(GAINS) + 1) + [np.log((n[1] + 1) / (n[0] + 1))]))
     seen = []
     for part, cut in enumerate(cuts):
         other = dictionaries(cut)
         seen += [(other.evidence(t), y) for k, (t, y) in enumerate(texts) if k % parts == part]
     model = dictionaries(texts)
     model.weights = fit_logistic(np.array([e for e, _ in seen]), np.array([y for _, y in seen], float), ridge=0.05)
+    # The score of ordinary documents above which only so few of them lie comes below the threshold.
+    ordinary = np.sort([float(np.array([*e, 1.0]) @ model.weights) for e, y in seen if not y])
+    reach = ordinary[max(0, len(ordinary) - 1 - int(FALSE_MARKS * len(ordinary)))]
+    model.weights[-1] -= max(0.0, reach + 1e-6 - float(np.log(THRESHOLD / (1 - THRESHOLD))))
     return model
 
 

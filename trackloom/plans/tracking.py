@@ -8,14 +8,20 @@ from pyspark.sql.window import Window
 from ..functions import boxes as bx
 from ..functions import projected
 from ..operators import filters, joins, spatial, tracks
-from ..sources import observations
+from ..operators.components import Scratch
+from ..sources import observations, table_stream
+from ..streaming.tracker import EVENTS, track_stream
 from .catalogue import KEYFRAMES, MATRIX, OBS, query
 
 
-def detections(spark, d):
+#: Where a stream keeps its state, and the hour before the first event's.
+ROCKS, FIRST_HOUR = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", 473_000
+
+
+def detections(spark, d, events=None):
     """events as detections: the clip is the label, the frame the hour; some have no foot, box, third dimension or histogram."""
     x, y, i = F.col("x"), F.col("y"), F.col("event_id")
-    o = observations(spark, d).select("event_id", "label", "track_id", "frame", "x", "y")
+    o = observations(spark, d, events).select("event_id", "label", "track_id", "frame", "x", "y")
     known = lambda n, v: F.when(i % n != 0, v)
     return o.withColumns({
         "foot_x": known(7, x), "foot_y": known(7, y + 4), "box": known(11, bx.box(x - 4, y - 9, x + 4, y + 9)),
@@ -46,9 +52,9 @@ def mutual_nearest(spark, d):
     return joins.mutual_nearest(_costs(spark, d).withColumn("cost", F.round("cost", 9)), "a", "b", F.col("cost")).select("a", "b", F.round("cost", 5).alias("cost"))
 
 
-def _clips(spark, d):
+def _clips(spark, d, events=None):
     """Users as clips of 24, so there are the more clips the more users; the order within a frame is the event's number."""
-    return detections(spark, d).withColumns({"clip_id": F.expr("track_id div 24"), "detection": F.col("event_id")})
+    return detections(spark, d, events).withColumns({"clip_id": F.expr("track_id div 24"), "detection": F.col("event_id")})
 
 
 @query(None)
@@ -64,6 +70,23 @@ def tracker(spark, d):
     return tracks.track_clips(_clips(spark, d)).withColumn("cost", F.round("cost", 6))
 
 
+@query(None)
+def tracker_stream(spark, d):
+    """I02, I04 on a stream: the events' table as a stream of its files. Held against the table's tracker in the tests."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, ROCKS)
+    try:
+        with Scratch(spark) as scratch:
+            events = table_stream(spark, d, "events")
+            out = scratch.folder + "-kept"
+            run = track_stream(_clips(spark, d, events).withColumn("frame", F.col("frame") - FIRST_HOUR)).writeStream.format("parquet").option("path", out)
+            run.option("checkpointLocation", f"{scratch.folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+            found = spark.read.schema(EVENTS).parquet(out)
+    finally:
+        spark.conf.set(name, store)
+    return found.select("clip_id", (F.col("frame") + FIRST_HOUR).alias("frame"), "detection", "track", F.round("cost", 6).alias("cost"), "gap", "event")
+
+
 @query(None)
 def track_merges(spark, d):
     """Fragments merged until none is left. Held against a plain loop in the tests."""

@@ -31,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is a folder of them or one file."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    held = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    return held.parquet(f"{sf_dir}/{name}.parquet") if folder else held.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def json_documents(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
     """Whole-file JSON documents under a fixed schema; a broken one keeps its text in _corrupt_record."""
     held = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
@@ -130,9 +138,9 @@ def roster_players(documents: DataFrame) -> DataFrame:
     return documents.select(F.upper(F.trim("team.abbreviation")).alias("team"), F.explode("players").alias("p")).select("team", F.trim("p.name").alias("name"), "p.number", "p.height", "p.weight_lbs", "p.position")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as observations: track is the user, frame the hour, the point (value, props.k)."""
-    e = table(spark, sf_dir, "events")
+def observations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """events, read here or given (as a stream), as observations: track is the user, frame the hour, the point (value, props.k)."""
+    e = table(spark, sf_dir, "events") if events is None else events
     return e.select(F.col("user_id").alias("track_id"), F.expr("unix_seconds(cast(ts as timestamp)) div 3600").alias("frame"), "event_id", F.col("event_type").alias("label"), F.col("value").alias("score"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
 
 

@@ -122,8 +122,7 @@ def track_stream(detections: DataFrame, max_age: int = 5, frame_ms: int = 1000,
 
     ``detections`` has the columns of a detection, frames not negative; its
     event time is frame + 1 times ``frame_ms``, as a watermark starts at zero. A frame is taken once the stream's
-    newest frame, of any clip, is more than ``late`` beyond it, and
-    detections that come later than that are dropped, as Spark does with late
+    newest frame, of any clip, is ``late`` or more beyond it, and detections that come later than that are dropped, as Spark does with late
     rows. So the last frames wait until newer ones come. Rows with the event
     ``track_killed`` have no detection: they stand at the clip's first frame
     that is more than ``max_age`` after the track's last. All other rows are

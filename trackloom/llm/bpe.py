@@ -113,7 +113,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
     Columns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas)
     and decoded_sha256; with ``keep_ids`` also ids and the decoded bytes. A
     null or empty text has no tokens; a repeated row gives a repeated result;
-    other columns of ``docs`` are ignored. Bytes that are not UTF-8 count as
+    other columns of ``docs`` are ignored; an empty table gives an empty
+    result; a text is encoded whole, however long. Bytes that are not UTF-8 count as
     the replacement character. No shuffle: one pass over the texts.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded binary" if keep_ids else "")

@@ -213,7 +213,9 @@ def exact_duplicates(docs: DataFrame, budget: int = 48 << 20) -> DataFrame:
     Texts are equal when identical after lower-casing A-Z; null counts as
     empty. keep_id is the largest id of the group; null ids lose against any
     other. A repeated row (same id, same text) is the same document and is kept
-    or dropped with it. Other columns of ``docs`` are ignored.
+    or dropped with it. Other columns of ``docs``, whatever their names, are
+    ignored; an empty table gives an empty result. Texts are taken whole: a
+    trie hands on what is finished when its budget is reached.
     """
     own = text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_Digests(), "doc_id long, sha binary")
     found = own.join(text_classes(docs, budget), F.col("sha") == F.col("digest"), "left")
@@ -225,7 +227,8 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Rows without an id stay only where their whole group has none. Repeats of
     a kept row are reduced to one. A row is told by id and text, so losing
-    with one text does not touch another text of the same id.
+    with one text does not touch another text of the same id. An empty table
+    stays empty; columns may have any names.
     """
     same, raw, sha = unused(docs, "same"), unused(docs, "raw"), unused(docs, "sha")
     digest = lambda: F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)

@@ -113,7 +113,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, seed
     included. A null text counts as empty; texts without words have the
     fingerprint zero and are linked like any other. Repeated rows are repeated
     in the result; null ids take part but never name a component unless all of
-    it is null. Other columns of ``docs`` are ignored. Two tables, of
+    it is null. Other columns of ``docs`` are ignored; an empty table gives an
+    empty result; texts are taken whole, however long. Two tables, of
     fingerprints and of their components, stay in the shared folder, as the
     result is read from them; some 60 bytes a document.
     """

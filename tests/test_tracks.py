@@ -233,3 +233,16 @@ def test_crowds_give_the_same_costs(spark, monkeypatch):
     monkeypatch.setattr(tracks, "FEW_SEEN", 0)
     assert sorted(map(tuple, tracks.associations(*sides, at).collect())) == few
     assert len(few) > 50 and len({r[:2] for r in few}) == len(few)
+
+
+def test_ends_of_many_tracks_need_one_pass(spark, monkeypatch):
+    """Ends are found block by block, and no window looks ahead row by row over a clip's tracks."""
+    rng = random.Random(5)
+    seen = [(c, f, t) for c in (0, 1) for t in range(60) for f in (rng.randrange(-40, 90),)]
+    held = sorted({(c, rng.randrange(-60, 100)) for c in (0, 1) for _ in range(50)})
+    want = sorted((c, min(g), t, "track_killed") for c, f, t in seen if (g := [at for k, at in held if k == c and at > f + 5]))
+    for block in (4, 1024):
+        monkeypatch.setattr(tracks.joins, "BLOCK", block)
+        e = tracks.track_events(spark.createDataFrame(seen, "clip_id long, frame long, track long"), spark.createDataFrame(held, "clip_id long, frame long"))
+        assert sorted(map(tuple, e.where("event = 'track_killed'").collect())) == want
+        assert "unboundedfollowing" not in e._jdf.queryExecution().toString().lower()

@@ -246,3 +246,20 @@ def test_ends_of_many_tracks_need_one_pass(spark, monkeypatch):
         e = tracks.track_events(spark.createDataFrame(seen, "clip_id long, frame long, track long"), spark.createDataFrame(held, "clip_id long, frame long"))
         assert sorted(map(tuple, e.where("event = 'track_killed'").collect())) == want
         assert "unboundedfollowing" not in e._jdf.queryExecution().toString().lower()
+
+
+def test_crowds_in_few_cells_are_not_repeated_per_cell(spark, monkeypatch):
+    """A frame whose pairs are mostly within a gate meets as a whole, in pieces, and each side's cheapest are found without keeping the pairs."""
+    rows = _rows(9, clips=2, frames=12)
+    df = spark.createDataFrame(rows, SCHEMA)
+    sides = df.withColumn("_f", F.col("frame") + 1), df.withColumn("_f", F.col("frame")), ["clip_id", "_f"]
+    plain = sorted(map(tuple, tracks.associations(*sides).collect()))
+    rounded = [(a, b, round(c, 9)) for a, b, c in plain]
+    first = lambda k: {min((r for r in rounded if r[k] == i), key=lambda r: (r[2], r[1 - k])) for i in {r[k] for r in rounded}}
+    monkeypatch.setattr(tracks, "FEW_SEEN", 0)
+    monkeypatch.setattr(tracks, "PIECE", 3)
+    for cells in (0, 10**9):
+        monkeypatch.setattr(tracks, "FEW_CELLS", cells)
+        assert sorted(map(tuple, tracks.associations(*sides).collect())) == plain
+        best = tracks.mutual_associations(*sides)
+        assert sorted((a, b, round(c, 9)) for a, b, c in best.collect()) == sorted(first(0) & first(1))

@@ -147,3 +147,14 @@ def test_arrays_and_bounds(spark, tmp_path):
             crops.parse_bounds(bad, 9, 9)
     none = spark.createDataFrame([("t", 1, None), ("t", 1, [0.5, 0.5, 2.5, 9.0])], "track_id string, frame long, bbox array<double>")
     assert [r.corners for r in crops.player_crops(none, spark.createDataFrame([(1, 3, 3)], "frame long, width long, height long")).collect()] == [[0, 0, 2, 3]]
+
+
+def test_shares_of_boxes_that_are_apart(spark):
+    """All pairs of a frame, also those that share no area."""
+    from trackloom import plans
+
+    got = plans.QUERIES["box_pair_shares"](spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_partkey")
+    other = lines.withColumnRenamed("l_partkey", "other")
+    assert got.count() == lines.join(other, "l_orderkey").where("l_partkey < other").count()
+    assert got.where("of_first = 0").count() > 0

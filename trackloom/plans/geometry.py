@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
 from ..functions import points as pt
-from ..operators import homography, joins
+from ..operators import homography
 from ..sources import boxes, observations, table
 from .catalogue import BOX, FIELD, MATRIX, OBS, query
 
@@ -97,13 +97,12 @@ def box_scores(spark, d):
 _PAIR = RAW + ", p AS (SELECT a.frame, a.part AS a_part, b.part AS b_part, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1, (a.x1 - a.x0 + 1) * (a.y1 - a.y0 + 1) AS aa, (b.x1 - b.x0 + 1) * (b.y1 - b.y0 + 1) AS ba FROM raw a JOIN raw b ON a.frame = b.frame AND a.part < b.part), q AS (SELECT *, CASE WHEN least(ax1, bx1) >= greatest(ax0, bx0) AND least(ay1, by1) >= greatest(ay0, by0) THEN (least(ax1, bx1) - greatest(ax0, bx0) + 1) * (least(ay1, by1) - greatest(ay0, by0) + 1) ELSE 0 END AS shared FROM p) "
 
 
-@query(_PAIR + "SELECT frame, a_part, b_part, round(least(aa, ba) / greatest(aa, ba), 6) AS size_similarity, round(shared / greatest(aa, 1), 6) AS of_first, round(shared / greatest(ba, 1), 6) AS of_second FROM q WHERE shared > 0")
+@query(_PAIR + "SELECT frame, a_part, b_part, round(least(aa, ba) / greatest(aa, ba), 6) AS size_similarity, round(shared / greatest(aa, 1), 6) AS of_first, round(shared / greatest(ba, 1), 6) AS of_second FROM q")
 def box_pair_shares(spark, d):
-    """D06, D08, of boxes that share an area."""
+    """D06, D08, of all pairs of a frame's boxes."""
     r = _raw(spark, d)
-    p = joins.touching_join(r.select("frame", F.col("part").alias("a_part"), F.col("b").alias("a")), r.select("frame", F.col("part").alias("b_part"), F.col("b").alias("c")), ["frame"], "a", "c", 256.0).where("a_part < b_part")
+    p = r.select("frame", F.col("part").alias("a_part"), F.col("b").alias("a")).join(r.select("frame", F.col("part").alias("b_part"), F.col("b").alias("c")), "frame").where("a_part < b_part")
     a, c = F.col("a"), F.col("c")
-    p = p.where(bx.intersection_fraction(a, c) > 0)
     return p.select("frame", "a_part", "b_part", F.round(bx.size_similarity(a, c), 6).alias("size_similarity"), F.round(bx.intersection_fraction(a, c), 6).alias("of_first"), F.round(bx.intersection_fraction(c, a), 6).alias("of_second"))
 
 

@@ -1,5 +1,7 @@
 """Outlines against known shapes and a plain walk round every region."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from test_rasters import _frame
@@ -89,3 +91,21 @@ def test_outlines(spark, size):
     assert [hole for hole, _ in corners[3]] == [False, True] and corners[3][0][1] == ((0, 0), (4, 0), (4, 3), (0, 3))
     assert corners[4] == [(False, ((0, 0), (2, 2)))]
     assert corners[5] == [(False, ((0, 2), (2, 0), (4, 2), (2, 4)))]
+
+
+def test_rounds_leave_one_table(spark, monkeypatch):
+    """Of the rounds' tables only the last one stays while the job goes on."""
+    from pyspark.sql import functions as F
+
+    from trackloom.operators import components
+
+    tables = lambda scratch: len(list(Path(scratch.folder.removeprefix("file:")).iterdir()))
+    with components.Scratch(spark) as scratch:
+        circle = spark.range(40).select(F.lit(0).cast("long").alias("image"), F.col("id").alias("step"), ((F.col("id") + 1) % 40).alias("next"))
+        got = outlines.ranked_circles(scratch, circle)
+        assert sorted((r.circle, r.rank) for r in got.collect()) == [(0, k) for k in range(40)]
+        assert tables(scratch) == 1
+    with components.Scratch(spark) as scratch:
+        line = spark.range(39).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        assert {r.root for r in components.components(scratch, line).collect()} == {0}
+        assert tables(scratch) == 2

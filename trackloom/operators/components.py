@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -25,6 +26,7 @@ class Scratch:
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="trackloom-"))
             known = spark.sparkContext.getCheckpointDir()
         self.spark, self.folder = spark, f"{known.rstrip('/')}/trackloom-scratch-{uuid.uuid4().hex[:16]}"
+        self.paths: list[tuple[DataFrame, str]] = []
 
     def __enter__(self) -> Scratch:
         return self
@@ -42,7 +44,20 @@ class Scratch:
 
     def cut(self, df: DataFrame) -> DataFrame:
         """``df`` as a written table."""
-        return self._written(df, f"{self.folder}/{uuid.uuid4().hex[:16]}")
+        path = f"{self.folder}/{uuid.uuid4().hex[:16]}"
+        self.paths.append((self._written(df, path), path))
+        return self.paths[-1][0]
+
+    def replace(self, df: DataFrame, *old: DataFrame) -> DataFrame:
+        """``df`` as a written table in place of earlier ones of ``cut``, which go, as do the shuffles that made it: jobs that go on in rounds hold one round on disk."""
+        new = self.cut(df)
+        for held, path in [(held, path) for held, path in self.paths if any(held is o for o in old)]:
+            self.drop(path)
+        self.paths = [p for p in self.paths if not any(p[0] is o for o in old)]
+        # Spark deletes shuffle files once the driver has collected what refers to them.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return new
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` as a table that stays, as a result is read from it."""
@@ -60,12 +75,13 @@ def components(scratch: Scratch, links: DataFrame, a: str = "a", b: str = "b") -
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = scratch.cut(ends.unionAll(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     roots = scratch.cut(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("root")))
+    held = roots
     while True:
         near = edges.join(roots, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))
         hooked = scratch.cut(roots.join(near, F.col("node") == F.col("u")).select("node", F.col("root").alias("before"), F.least("root", "near").alias("root")))
         onward = hooked.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        roots = scratch.cut(hooked.join(onward, F.col("root") == F.col("at")).select("node", "before", F.col("next").alias("root")))
-        settled = roots.where("before <> root").isEmpty()
-        roots = roots.select("node", "root")
+        held = scratch.replace(hooked.join(onward, F.col("root") == F.col("at")).select("node", "before", F.col("next").alias("root")), held, hooked)
+        settled = held.where("before <> root").isEmpty()
+        roots = held.select("node", "root")
         if settled:
             return roots

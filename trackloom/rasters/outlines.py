@@ -45,18 +45,18 @@ def _steps(p: np.ndarray, t: Tile):
 def ranked_circles(scratch: Scratch, steps: DataFrame) -> DataFrame:
     """``steps`` (image, step, next: circles) with circle, the smallest step of their circle, and rank, how many steps they come after it."""
     state = scratch.cut(steps.select("image", "step", F.col("next").alias("jump"), F.col("step").alias("least"), F.lit(0).cast("long").alias("off")))
-    span = 1
+    held, span = state, 1
     while True:
         far = state.select("image", F.col("step").alias("jump"), F.col("jump").alias("_jump"), F.col("least").alias("_least"), F.col("off").alias("_off"))
         less = F.col("_least") < F.col("least")
-        state = scratch.cut(state.join(far, ["image", "jump"]).select("image", "step", F.col("_jump").alias("jump"), F.least("least", "_least").alias("least"), F.when(less, F.col("_off") + span).otherwise(F.col("off")).alias("off"), less.alias("_moved")))
+        held = scratch.replace(state.join(far, ["image", "jump"]).select("image", "step", F.col("_jump").alias("jump"), F.least("least", "_least").alias("least"), F.when(less, F.col("_off") + span).otherwise(F.col("off")).alias("off"), less.alias("_moved")), held)
+        state = held.drop("_moved")
         span *= 2
-        if state.where("_moved").isEmpty():
+        if held.where("_moved").isEmpty():
             break
-        state = state.drop("_moved")
     lengths = state.groupBy("image", "least").agg(F.count(F.lit(1)).alias("_n"))
-    held = state.join(lengths, ["image", "least"]).select("image", "step", F.col("least").alias("circle"), F.pmod(F.col("_n") - F.col("off"), F.col("_n")).alias("rank"))
-    return steps.join(held, ["image", "step"])
+    ranked = state.join(lengths, ["image", "least"]).select("image", "step", F.col("least").alias("circle"), F.pmod(F.col("_n") - F.col("off"), F.col("_n")).alias("rank"))
+    return steps.join(ranked, ["image", "step"])
 
 
 def outlines(scratch: Scratch, masks: DataFrame, corners_only: bool = True, holes: bool = True, size: int = SIZE) -> DataFrame:

@@ -239,3 +239,11 @@ def test_number_regions(spark, images, size):
         assert math.isclose(m.contrast_score, contrast, abs_tol=1e-9) and math.isclose(m.edge_density, density, abs_tol=1e-12)
         assert math.isclose(m.number_visibility_signal, min(1.0, 0.42 * contrast + 0.36 * min(1.0, density / 0.16) + 0.22 * min(1.0, len(digits) / 2)), abs_tol=1e-9)
     assert enclosed >= 2 and sum(m.digit_like_component_count for m in metrics.values()) >= 2
+
+
+def test_queries_cut_few_tiles(spark):
+    """Rasters of the queries are cut as the library cuts them, not into more rows than that."""
+    from trackloom.plans import images
+
+    held = images._tiles(spark, "/root/testdata/sf0.001").selectExpr("ceil(height / 64) as most", "image").collect()
+    assert len(held) == sum({r.image: r.most for r in held}.values())

@@ -158,3 +158,12 @@ def test_shares_of_boxes_that_are_apart(spark):
     other = lines.withColumnRenamed("l_partkey", "other")
     assert got.count() == lines.join(other, "l_orderkey").where("l_partkey < other").count()
     assert got.where("of_first = 0").count() > 0
+
+
+def test_polygon_texts_are_read_once(spark):
+    """Texts of polygons are parsed in one row of their own, which the points meet."""
+    from trackloom import plans
+
+    plan = plans.QUERIES["polygon_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.splitlines()[0]
+    assert "from_json" not in top and "split(" not in top and "plain#" in top

@@ -126,7 +126,9 @@ def polygon_text(spark, d):
     plain = pt.polygon_pixels(pt.parse_polygon(F.lit(_CORNERS + "; ")), F.lit(500.0), F.lit(100.0))
     pairs = "[" + ",".join(f"[{x / 500}, {y / 100}]" for x, y in FIELD) + "]"
     known = pt.polygon_pixels(pt.parse_polygon_json(F.lit('{"polygon": ' + pairs + "}")), F.lit(500.0), F.lit(100.0))
-    return o.select("event_id", pt.inside_polygon(F.col("x"), F.col("y"), plain).alias("inside"), pt.inside_polygon(F.col("x"), F.col("y"), known).alias("inside_json"))
+    # The texts are read once, not for every point.
+    parsed = F.broadcast(spark.range(1).select(plain.alias("plain"), known.alias("known")))
+    return o.crossJoin(parsed).select("event_id", pt.inside_polygon(F.col("x"), F.col("y"), F.col("plain")).alias("inside"), pt.inside_polygon(F.col("x"), F.col("y"), F.col("known")).alias("inside_json"))
 
 
 _MASK = OBS + """, px AS (SELECT track_id, frame // 24 AS frame, CAST(floor(x) AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM obs), m AS (SELECT track_id, frame, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, avg(x) AS cx, avg(y) AS cy FROM px GROUP BY 1, 2),

@@ -71,3 +71,72 @@ def test_stream_of_nothing(rocks, tmp_path):
     _write(rocks, [], tmp_path / "in", "overwrite")
     _run(rocks, tmp_path / "in", tmp_path / "out", tmp_path / "state")
     assert rocks.read.schema("clip_id long").parquet(str(tmp_path / "out")).where(F.col("clip_id").isNotNull()).isEmpty()
+
+
+class _Held(dict):
+    """A state in memory that counts what is read and written."""
+
+    def __init__(self, counts):
+        super().__init__()
+        self.counts, self.exists = counts, lambda: None in self
+
+    def count(self, n=1):
+        self.counts.append(n)
+
+    def containsKey(self, k):
+        self.count()
+        return k in self
+
+    def getValue(self, k):
+        self.count()
+        return (self[k][0],)
+
+    def updateValue(self, k, v):
+        self.count()
+        self[k] = v
+
+    def removeKey(self, k):
+        self.count()
+        self.pop(k, None)
+
+    def keys(self):
+        self.count(len(self) + 1)
+        return iter(list(super().keys()))
+
+    def iterator(self):
+        self.count(len(self) + 1)
+        return iter(list(self.items()))
+
+    def get(self):
+        return self[None]
+
+    def update(self, v):
+        self.count()
+        self[None] = v
+
+
+def test_state_is_read_in_proportion_to_the_frames():
+    """All frames of a micro-batch wait at once; taking them must not look through them once a frame."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from trackloom.streaming.tracker import TrackClips
+
+    def run(frames):
+        counts, timers = [], set()
+        held = lambda *_: _Held(counts)
+        clips = TrackClips(5, 1000)
+        clips.init(SimpleNamespace(getMapState=held, getValueState=held, registerTimer=timers.add))
+        rows = pd.DataFrame([(1, f, f, 10.0, 10.0 + f % 3, *[None] * 6, None) for f in range(frames)], columns=list(tracks.COLUMNS))
+        list(clips.handleInputRows((1,), iter([rows]), None))
+        end, out = (frames + 100) * 1000, []
+        while due := sorted(t for t in timers if t <= end):
+            out += clips.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: end), SimpleNamespace(getExpiryTimeInMs=lambda: due[0]))
+            timers.remove(due[0])
+        out = pd.concat([o for o in out if len(o)])
+        assert out.frame.tolist() == list(range(frames)) and set(out.track) == {1}
+        return sum(counts)
+
+    few, many = run(640), run(2560)
+    assert many < 2560 and many < 5 * few

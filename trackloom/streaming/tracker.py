@@ -1,15 +1,18 @@
 """The tracker on a stream of detections: the same tracks as ``operators.tracks.track_clips`` makes of a table.
 
-State per clip: the detections of frames that may still get more, one entry a
-frame, and the active tracks, one entry a track. A frame is taken when the
-watermark has passed it, so its detections may come in several micro-batches
-and in any order. A second timer clears a clip that has had no frame for
-longer than a track lives.
+State per clip: the detections of frames that may still get more, one entry for
+a stretch of frames, and the active tracks, one entry a track. A frame is taken
+when the watermark has passed it, so its detections may come in several
+micro-batches and in any order. A clip's first timer of a micro-batch takes all
+frames that are due, with the tracks read and written once and one stretch of
+detections held at a time. Another timer clears a clip that has had no frame
+for longer than a track lives.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -21,7 +24,9 @@ from ..functions import boxes as bx
 from ..operators.tracks import COLUMNS, _Seen, _Track, _Trail, greedy_frame
 
 EVENTS = "clip_id long, frame long, detection long, track long, cost double, gap long, event string"
-_ROW = "detection long, x double, y double, foot_x double, foot_y double, x0 double, y0 double, x1 double, y1 double, hist array<double>"
+#: Frames to a stretch.
+STRETCH = 64
+_ROW = "frame long, detection long, x double, y double, foot_x double, foot_y double, x0 double, y0 double, x1 double, y1 double, hist array<double>"
 _TRAIL = "prior array<double>, prior_at long, last array<double>, last_at long"
 _STATE = f"frame long, box array<double>, hists array<double>, n long, mean array<double>, centres struct<{_TRAIL.replace(' ', ': ').replace(',: ', ', ')}>, feet struct<{_TRAIL.replace(' ', ': ').replace(',: ', ', ')}>"
 
@@ -49,6 +54,10 @@ def _unpacked(track: int, row) -> _Track:
     return t
 
 
+def _events(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in EVENTS.split(", ")]).astype({"detection": "Int64", "cost": float, "gap": "Int64"})
+
+
 class TrackClips(StatefulProcessor):
     """Greedy tracking of one clip; see ``track_stream``."""
 
@@ -57,61 +66,80 @@ class TrackClips(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "frame long", f"rows array<struct<{', '.join(c.replace(' ', ': ', 1) for c in _ROW.split(', '))}>>")
+        self.waiting = handle.getMapState("waiting", "stretch long", f"rows array<struct<{', '.join(c.replace(' ', ': ', 1) for c in _ROW.split(', '))}>>")
         self.tracks = handle.getMapState("tracks", "track long", _STATE)
         #: Tracks whose state a timer has cleared; their end is told at the clip's next frame.
         self.ended = handle.getMapState("ended", "track long", "frame long")
         self.following = handle.getValueState("following", "track long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for part in rows:
             part = part.astype(object).where(part.notna(), None)
-            for frame, own in part.groupby("frame", sort=True):
-                at = (int(frame),)
+            for stretch, own in part.groupby(part["frame"].astype("int64") // STRETCH, sort=True):
+                at = (int(stretch),)
                 held = [tuple(r) for r in self.waiting.getValue(at)[0]] if self.waiting.containsKey(at) else []
-                held += [(int(r[2]), *(None if v is None else float(v) for v in r[3:11]), _floats(r[11])) for r in own[list(COLUMNS)].itertuples(index=False, name=None)]
+                held += [(int(r[1]), int(r[2]), *(None if v is None else float(v) for v in r[3:11]), _floats(r[11])) for r in own[list(COLUMNS)].itertuples(index=False, name=None)]
                 self.waiting.updateValue(at, (held,))
-                self.handle.registerTimer((at[0] + 1) * self.frame_ms)
+                least = min(r[0] for r in held)
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer((first + 1) * self.frame_ms)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        reached = expiredTimerInfo.getExpiryTimeInMs() // self.frame_ms - 1
-        due = sorted(f for (f,) in self.waiting.keys() if f <= reached)
-        out = []
-        for frame in due:
-            rows = self.waiting.getValue((frame,))[0]
-            self.waiting.removeKey((frame,))
-            out += self.take(key[0], frame, rows)
-            # One frame further than any of its tracks may live.
-            self.handle.registerTimer((frame + self.max_age + 2) * self.frame_ms)
-        if not due:
-            for (track,), row in list(self.tracks.iterator()):
-                if reached - row[0] > self.max_age:
-                    self.ended.updateValue((track,), (row[0],))
-                    self.tracks.removeKey((track,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")]).astype({"detection": "Int64", "cost": float, "gap": "Int64"})
-
-    def take(self, clip: int, frame: int, rows) -> list[tuple]:
-        active = {int(t): _unpacked(int(t), row) for (t,), row in self.tracks.iterator()}
+        # Spark fires the timers that the watermark has passed or reached, so all frames up to here are complete.
+        reached = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // self.frame_ms - 1
+        stretches = sorted(s for (s,) in self.waiting.keys())
+        due = [s for s in stretches if s * STRETCH <= reached]
+        active = {int(t): _unpacked(int(t), row) for (t,), row in sorted(self.tracks.iterator(), key=lambda e: e[0][0])}
+        before, taken, rest = set(active), None, [s * STRETCH for s in stretches[len(due) : len(due) + 1]]
+        following = self.following.get()[0] if due and self.following.exists() else 1
+        for stretch in due:
+            rows = sorted(map(tuple, self.waiting.getValue((stretch,))[0]), key=lambda r: r[:2])
+            later = [r for r in rows if r[0] > reached]
+            if later:
+                rest.append(later[0][0])
+            if len(later) == len(rows):
+                continue
+            if later:
+                self.waiting.updateValue((stretch,), (later,))
+            else:
+                self.waiting.removeKey((stretch,))
+            out = []
+            for frame, own in groupby(rows[: len(rows) - len(later)], key=lambda r: r[0]):
+                ended = [int(t) for (t,) in self.ended.keys()] if taken is None else []
+                for t in ended:
+                    self.ended.removeKey((t,))
+                taken = frame
+                following = self.take(key[0], frame, list(own), active, ended, following, out)
+            yield _events(out)
+        if taken is not None:
+            for t in before - set(active):
+                self.tracks.removeKey((t,))
+            for t, held in active.items():
+                self.tracks.updateValue((t,), _packed(held))
+            self.following.update((int(following),))
+            # One frame further than any of the tracks may live.
+            self.handle.registerTimer((taken + self.max_age + 2) * self.frame_ms)
+        else:
+            for t, held in active.items():
+                if reached - held.frame > self.max_age:
+                    self.ended.updateValue((t,), (held.frame,))
+                    self.tracks.removeKey((t,))
+        if rest:
+            self.handle.registerTimer((min(rest) + 1) * self.frame_ms)
+        yield _events([])
+
+    def take(self, clip: int, frame: int, rows: list[tuple], active: dict[int, _Track], ended: list[int], following: int, out: list[tuple]) -> int:
+        """One frame into the active tracks; adds its rows to ``out`` and gives the next free id."""
         gone = [t for t, track in active.items() if frame - track.frame > self.max_age]
         for t in gone:
             active.pop(t)
-            self.tracks.removeKey((t,))
-        cleared = [int(t) for (t,) in self.ended.keys()]
-        for t in cleared:
-            self.ended.removeKey((t,))
-        following = self.following.get()[0] if self.following.exists() else 1
-        found = [_Seen((clip, frame, *r)) for r in sorted(map(tuple, rows), key=lambda r: r[0])]
-        took, following = greedy_frame(dict(sorted(active.items())), following, frame, found)
-        known = {}
-        out = [(clip, frame, None, t, None, None, "track_killed") for t in sorted(gone + cleared)]
-        for (detection, track, cost, gap), seen in zip(took, found, strict=True):
-            known[track] = active[track] if track in active else _Track(track, seen)
-            out.append((clip, frame, detection, track, cost, gap, "track_started" if cost is None else "matched"))
-        for track, held in known.items():
-            self.tracks.updateValue((track,), _packed(held))
-        self.following.update((int(following),))
-        return out
+        took, following = greedy_frame(active, following, frame, [_Seen((clip, *r)) for r in rows])
+        out += [(clip, frame, None, t, None, None, "track_killed") for t in sorted(gone + ended)]
+        out += [(clip, frame, detection, track, cost, gap, "track_started" if cost is None else "matched") for detection, track, cost, gap in took]
+        return following
 
     def close(self) -> None:
         pass

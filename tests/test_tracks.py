@@ -263,3 +263,43 @@ def test_crowds_in_few_cells_are_not_repeated_per_cell(spark, monkeypatch):
         assert sorted(map(tuple, tracks.associations(*sides).collect())) == plain
         best = tracks.mutual_associations(*sides)
         assert sorted((a, b, round(c, 9)) for a, b, c in best.collect()) == sorted(first(0) & first(1))
+
+
+def test_merge_query_runs_the_tracker_once(spark, monkeypatch):
+    from trackloom.plans import tracking
+
+    seen, plain = spark.sparkContext.accumulator(0), tracks.track_clips
+
+    def counted(detections):
+        def count(parts):
+            for part in parts:
+                seen.add(len(part))
+                yield part
+
+        return plain(detections).mapInPandas(count, tracks.ASSIGNED)
+
+    monkeypatch.setattr(tracks, "track_clips", counted)
+    assert tracking.track_merges(spark, "/root/testdata/sf0.001").count() > 0
+    assert seen.value == 1000
+
+
+def test_few_pairs_cost_what_many_do(monkeypatch):
+    import random
+
+    r = random.Random(3)
+
+    def seen(frame, k):
+        some = lambda share, *v: v if r.random() < share else (None,) * len(v)
+        x, y = r.choice([r.uniform(0, 400), float(r.randrange(0, 300, 10))]), r.uniform(0, 100)
+        return tracks._Seen((1, frame, k, *some(0.9, x, y), *some(0.8, x, y + 4), *some(0.9, x - 4 - r.choice([0, 3, -9]), y - 9, x + 4, y + 9), *some(0.8, [r.random() for _ in range(3)])))
+
+    for _ in range(200):
+        active = [tracks._Track(k + 1, seen(r.randrange(3), k)) for k in range(r.randrange(1, 12))]
+        for t in active:
+            if r.random() < 0.6:
+                t.add(seen(r.randrange(3, 6), 9))
+        found = [seen(6, k) for k in range(r.randrange(1, 8))]
+        few = tracks._costs(active, found, 6)
+        with monkeypatch.context() as m:
+            m.setattr(tracks, "FEW", 0)
+            assert few == tracks._costs(active, found, 6)

@@ -128,3 +128,22 @@ def test_odd_tables(spark):
     assert ordered(map(tuple, setjoin.jaccard_groups(spark, blank).collect())) == ordered([(1, 0, 1), (2, 0, 2), (3, 0, 3), (3, 0, 3)])
     order = setjoin.CommonOrder(np.array([5, 3], np.uint64), np.array([2, 9]))
     assert order(np.array([1, 3, 5, 8], np.uint64))[0].tolist() == [1, 8, 5, 3]
+
+
+def test_a_loose_group_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text, most of them too far from each other: their keys are shared, so all pairs of them meet."""
+    r, made = random.Random(7), []
+    monkeypatch.setattr(setjoin, "MANY", 8)
+    plainly = setjoin._Join.outsiders
+
+    def counted(*args):
+        made.append(plainly(*args).count())
+        return plainly(*args)
+
+    monkeypatch.setattr(setjoin._Join, "outsiders", counted)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(edited(r, base, r.choice([0.01, 0.02, 0.02, 0.02, 0.03])))) for k in range(120)]
+    want = plain(rows)
+    got = setjoin.jaccard_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ordered(map(tuple, got.collect())) == ordered(want)
+    assert 1 < len({c for _, _, c in want}) and sum(made) < 10 * len(rows)

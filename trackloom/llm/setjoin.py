@@ -21,9 +21,13 @@ subtrees left by what remains of the lengths. A probe whom many sets met has
 several trees, each of bounded size.
 
 Rounds. First every set of a key is held against the key's leader alone, its
-smallest set. What that links needs no more looking at. Then, for every key
-whose sets are still in different components, each set outside the key's
-commonest component is held against all others of the key. A similar pair
+smallest set. What that links needs no more looking at. Where many sets of a
+key are still outside its commonest component, further rounds hold the key's
+sets against one other leader from within that component and one from without;
+neighbouring keys take different ones, so loosely linked groups grow together
+at a few pairs a set. Last, for every key whose sets are still in different
+components, each set outside the key's commonest component is held against all
+others of the key. A similar pair
 that the first round has left apart meets there, so no link between components
 is lost, and a group of many near copies costs one pair each and not all.
 
@@ -58,6 +62,8 @@ CELLS, MOST_CELLS = 512, 16_384
 PART_ROWS = 200_000
 #: Sets to a prefix tree.
 TREE = 128
+#: Sets of a key outside its commonest component from which on it gets other leaders, the rounds of that, and the different leaders of a round that equal sets of keys are given.
+MANY, ROUNDS, LEADERS = 32, 2, 8
 #: Marks of texts that are small enough to be sent to every task.
 MARKS = 1_000_000
 
@@ -242,18 +248,36 @@ class _Join:
         top = parts.groupBy("key").agg(F.min("a").alias("b"))
         return own.unionAll(parts.join(top, "key").select("a", "b")).where("a <> b").distinct()
 
-    def outsiders(self, groups: DataFrame) -> DataFrame:
-        """Pairs (a, b) that meet in a key and are in different components, one of which is not the key's commonest."""
-        named = self.met.select("key", "node", "size", "at").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def split(self, groups: DataFrame) -> DataFrame:
+        """The rows of keys whose sets are in different components, with their component, the key's commonest one and the number of sets outside it."""
+        named = self.met.select("key", "salt", "node", "size", "at").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = self.kept(named, "named")
-        usual = named.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
-        split = self.kept(named.join(usual.where("labels > 1").select("key", F.col("most.label").alias("usual")), "key"), "split")
+        usual = named.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("sets"))
+        usual = usual.where("labels > 1").select("key", F.col("most.label").alias("usual"), (F.col("sets") - F.col("most.count")).alias("apart"))
+        return self.kept(named.join(usual, "key"), "split")
+
+    def other_leaders(self, split: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+        """Pairs (a, b) in different components of a set and another leader of a key of its: one out of the key's commonest component, one from outside it."""
+        order = F.xxhash64("node", F.pmod("key", F.lit(LEADERS)), F.lit(turn))
+        many, pairs = split.where(F.col("apart") >= MANY).repartition("key", "salt"), []
+        for within in (F.col("label") == F.col("usual"), F.col("label") != F.col("usual")):
+            dealt = many.sortWithinPartitions("key", "salt", F.desc(within), order).select("key", "salt", "node", "size", "at")
+            pairs.append(dealt.mapInArrow(_Stars(), "key long, salt smallint, node long, size int, at int, lead long").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+        met = pairs[0].unionAll(pairs[1]).where("a <> b").distinct()
+        return self.labelled(met, groups).where("of_a <> of_b").select("a", "b")
+
+    def outsiders(self, split: DataFrame) -> DataFrame:
+        """Pairs (a, b) that meet in a key and are in different components, one of which is not the key's commonest; sizes and sketches are compared where two sets meet, so that no row is made of what they rule out."""
+        split = self.kept(split.join(self.sketches.select("node", "sketch"), "node"), "sketched")
         apart, early = F.col("label") != F.col("usual"), (F.col("size") - F.col("at")) * 9 >= F.col("size") * 8
 
         def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-            x = left.select("key", F.col("node").alias("a"), F.col("size").alias("n"), F.col("at").alias("i"), F.col("label").alias("of_a"))
-            y = right.select("key", F.col("node").alias("b"), F.col("size").alias("m"), F.col("at").alias("j"), F.col("label").alias("of_b"))
-            return x.join(y, "key").where((F.col("of_a") != F.col("of_b")) & _reaches("n", "i", "m", "j")).select("a", "b")
+            x = left.select("key", F.col("node").alias("a"), F.col("size").alias("n"), F.col("at").alias("i"), F.col("label").alias("of_a"), F.col("sketch").alias("s"))
+            y = right.select("key", F.col("node").alias("b"), F.col("size").alias("m"), F.col("at").alias("j"), F.col("label").alias("of_b"), F.col("sketch").alias("t"))
+            sized = F.expr("of_a <> of_b and least(n, m) * 5 >= greatest(n, m) * 4")
+            # Nested, as sketches are only comparable where the sizes are.
+            may = F.when(sized & _reaches("n", "i", "m", "j"), _close_sketches("s", "t", "n", "m")).otherwise(False)
+            return x.withColumnRenamed("key", "k").join(y, (F.col("k") == F.col("key")) & may).select("a", "b")
 
         # The smaller set of a pair has the key early, so the one or the other is among the early rows.
         met = pairs(split.where(apart & early), split).unionAll(pairs(split.where(apart), split.where(early)))
@@ -265,19 +289,45 @@ class _Join:
         if proposed is not None:
             pairs = pairs.unionAll(proposed(self.sketches.select("node", "fp"))).distinct()
         first = self.kept(self.sketched(pairs), "first")
-        links = self.verified(first)
+        ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        tried, found = ordered(first), self.linked(self.verified(first))
+        split = self.split(found)
+        for turn in range(ROUNDS):
+            if split.where(F.col("apart") >= MANY).isEmpty():
+                break
+            again = self.kept(self.sketched(self.other_leaders(split, found, turn)), "again")
+            more = self.verified(again)
+            tried = tried.unionAll(ordered(again))
+            if more.isEmpty():
+                break
+            found = self.linked(more, found)
+            split = self.split(found)
+        last = self.kept(self.outsiders(split).join(tried, ["a", "b"], "left_anti"), "last")
+        if last.isEmpty():
+            return found
+        more = self.verified(last)
+        return found if more.isEmpty() else self.linked(more, found)
+
+    def linked(self, links: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+        """(node, label) of the nodes of the links, and of ``groups``, which the links join: then only pairs of components go through the rounds, however many links there are between two."""
+        if groups is not None:
+            named = self.labelled(links, groups)
+            met = named.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("of_a").alias("label")), F.struct(F.col("b").alias("node"), F.col("of_b").alias("label")))).alias("x")).select("x.*")
+            nodes = self.kept(groups.unionAll(met).distinct(), "nodes")
+            links = self.kept(named.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), "merges")
         found = components(self.spark, links)
         self.temporary.append(found)
-        tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        second = self.kept(self.sketched(self.outsiders(found.df)).join(tried, ["a", "b"], "left_anti"), "second")
-        if second.isEmpty():
+        if groups is None:
             return found.df
-        more = self.verified(second)
-        if more.isEmpty():
-            return found.df
-        found = components(self.spark, links.unionAll(more))
-        self.temporary.append(found)
-        return found.df
+        roots = found.df.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        return self.kept(nodes.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "groups")
+
+    @staticmethod
+    def labelled(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        """``pairs`` (a, b) with of_a and of_b, the components of their ends."""
+        for end in ("a", "b"):
+            pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+        return pairs
 
 
 def _ball_pairs(join: _Join, sets: DataFrame) -> DataFrame:

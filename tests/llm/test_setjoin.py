@@ -147,3 +147,23 @@ def test_a_loose_group_makes_few_pairs(spark, monkeypatch):
     got = setjoin.jaccard_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     assert ordered(map(tuple, got.collect())) == ordered(want)
     assert 1 < len({c for _, _, c in want}) and sum(made) < 10 * len(rows)
+
+
+def test_keys_of_few_sets_carry_no_sketches(spark, monkeypatch):
+    """Texts that share long passages by threes and are too far from each other to be linked: many keys, few pairs."""
+    made = []
+    plainly = setjoin._Join.kept
+
+    def counted(join, df, label):
+        table = plainly(join, df, label)
+        if "sketch" in table.columns:
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(setjoin._Join, "kept", counted)
+    own = lambda k, n: [f"own{k}x{i}" for i in range(n)]
+    rows = [(k, " ".join([f"p{k // 3}x{i}" for i in range(60)] + own(k, 40))) for k in range(30)]
+    rows.append((30, rows[4][1] + " and more"))
+    got = setjoin.jaccard_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ordered(map(tuple, got.collect())) == ordered(plain(rows))
+    assert made and max(made) <= len(rows)

@@ -21,15 +21,18 @@ subtrees left by what remains of the lengths. A probe whom many sets met has
 several trees, each of bounded size.
 
 Rounds. First every set of a key is held against the key's leader alone, its
-smallest set. What that links needs no more looking at. Where many sets of a
+smallest set. What that links needs no more looking at, and neither do keys of
+two sets nor the leaders. Where many sets of a
 key are still outside its commonest component, further rounds hold the key's
 sets against one other leader from within that component and one from without;
 neighbouring keys take different ones, so loosely linked groups grow together
-at a few pairs a set. Last, for every key whose sets are still in different
-components, each set outside the key's commonest component is held against all
-others of the key. A similar pair
+at a few pairs a set. Last, for every key whose other sets are still in
+different components, each set outside the key's commonest component is held
+against all others of the key. A similar pair
 that the first round has left apart meets there, so no link between components
 is lost, and a group of many near copies costs one pair each and not all.
+Sketches travel with the rows of keys of many sets alone; the pairs of keys of
+few sets are made first, once each however many keys they share.
 
 A key that the sample shows to be very frequent is salted: each of its parts
 has a leader, and the leaders of the parts are paired with the smallest one.
@@ -153,6 +156,10 @@ def _reaches(n: str, i: str, m: str, j: str) -> Column:
     return (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * 9) >= (F.col(n) + F.col(m)) * 4
 
 
+#: Whether a set has a key so early that it may be the smaller one of a similar pair whose first shared key this is.
+EARLY = "(size - at) * 9 >= size * 8"
+
+
 def _close_sketches(a: str, b: str, n: str, m: str) -> Column:
     """Whether two sketches leave it open that sets of n and m are 4/5 similar: they may differ in a ninth of n + m. Sizes within 4/5 differ by one doubling of the cells at most, and the longer sketch is folded."""
     fold = lambda s, t: F.when(F.size(s) > F.size(t), F.zip_with(F.slice(s, 1, F.size(t)), F.slice(s, F.size(t) + 1, F.size(t)), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(s))
@@ -160,27 +167,46 @@ def _close_sketches(a: str, b: str, n: str, m: str) -> Column:
     return F.aggregate(differ, F.lit(0), lambda s, c: s + c) * 9 <= F.col(n) + F.col(m)
 
 
+STARS = "key long, salt smallint, node long, size int, at int, lead long, lead_size int, more boolean"
+
+
 class _Stars:
-    """Rows (key, salt, node, size, at), sorted by key, salt and node, to (key, salt, node, size, at, lead): those of keys with several sets, each with the key's first set as leader. One pass; no key is held as a whole."""
+    """Rows (key, salt, node, size, at), sorted by key, salt and node, to ``STARS``: those of keys with several sets, each with the key's first set as leader, its size, and whether the key has sets that the leader's pairs leave out (three sets or more, or parts). One pass; of a key at most two rows are held back."""
 
     def __call__(self, batches):
-        last, pending = None, None
+        last, held = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, salt, node, size, at = (c.to_numpy() for c in batch.columns)
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            key, salt = (batch.column(k).to_numpy() for k in (0, 1))
             first = np.r_[last is None or (key[0], salt[0]) != last[:2], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
             starts = np.flatnonzero(first)
-            run = np.cumsum(first) - 1
-            lead = np.where(run >= 0, node[starts[np.maximum(run, 0)]] if len(starts) else 0, last[2] if last else 0)
-            counts = np.diff(np.r_[starts, len(key)])
-            shown = np.where(run >= 0, counts[np.maximum(run, 0)] > 1 if len(starts) else False, True) | (salt > 0)
-            out = [batch.filter(pa.array(shown)).add_column(5, "lead", pa.array(lead[shown]))]
-            if pending is not None and not first[0]:
-                out.insert(0, pending)
-            pending = None if shown[-1] else batch.slice(len(key) - 1).add_column(5, "lead", pa.array(lead[-1:]))
-            last = (key[-1], salt[-1], lead[-1])
-            yield from (b for b in out if b.num_rows)
+            # What may yet become a key of three sets waits for the next batch.
+            cut = starts[-1] if len(starts) and len(key) - starts[-1] < 3 else len(key)
+            held = batch.slice(cut) if cut < len(key) else None
+            yield from self.led(batch.slice(0, cut), starts[starts < cut], last)
+            if held is not None:
+                last = None
+            elif len(starts):
+                last = (key[-1], salt[-1], *(batch.column(k).to_numpy()[starts[-1]] for k in (2, 3)))
+        if held is not None:
+            yield from self.led(held, np.zeros(1, np.int64), None)
+
+    @staticmethod
+    def led(batch: pa.RecordBatch, starts: np.ndarray, last: tuple | None):
+        """The rows of keys that begin at ``starts``; those before the first belong to the key of ``last``, of which three rows or more are known."""
+        salt, node, size = (batch.column(k).to_numpy() for k in (1, 2, 3))
+        begun = len(batch) if not len(starts) else starts[0]
+        counts = np.diff(np.r_[starts, len(batch)])
+        of = lambda before, each: np.r_[np.full(begun, before, each.dtype), np.repeat(each, counts)]
+        count = of(3, counts)
+        added = [of(last[2] if last else 0, node[starts]), of(last[3] if last else 0, size[starts]), (count > 2) | (salt > 0)]
+        shown = (count > 1) | (salt > 0)
+        if shown.any():
+            rows = pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, added)], names=[c.split()[0] for c in STARS.split(", ")])
+            yield rows.filter(pa.array(shown))
 
 
 def _verify(shingle_sets: pa.Table) -> pa.Table:
@@ -209,7 +235,7 @@ class _Join:
         self.sketches = self.kept(sets.select("node", "mark", "size", "fp", "sketch"), "sketches")
         keyed = sets.select("node", "size", F.posexplode(F.arrays_zip("hashes", "salts")).alias("at", "k")).select(F.col("k.hashes").alias("key"), F.col("k.salts").alias("salt"), "node", "size", "at")
         dealt = keyed.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
-        self.met = self.kept(dealt.mapInArrow(_Stars(), "key long, salt smallint, node long, size int, at int, lead long"), "met")
+        self.met = self.kept(dealt.mapInArrow(_Stars(), STARS), "met")
         found.drop()
 
     def kept(self, df: DataFrame, label: str) -> DataFrame:
@@ -220,10 +246,17 @@ class _Join:
 
     def sketched(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sizes and sketches leave it open that they are similar."""
-        known = lambda end, size: self.sketches.select(F.col("node").alias(end), F.col("size").alias(size), F.col("sketch").alias(f"of_{end}"))
+        pairs = self.kept(pairs, "pairs")
+        near = self.sketches_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        known = lambda end, size: near.select(F.col("node").alias(end), F.col("size").alias(size), F.col("sketch").alias(f"of_{end}"))
         sized = pairs.join(known("a", "n"), "a").join(known("b", "m"), "b").where("least(n, m) * 5 >= greatest(n, m) * 4")
         return sized.where(_close_sketches("of_a", "of_b", "n", "m")).select("a", "b")
 
+    def sketches_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, size, sketch) of some nodes; a table, as later steps would else deal out all sketches for them."""
+        ends = self.kept(nodes.distinct(), "ends")
+        return self.kept(self.sketches.select("node", "size", "sketch").join(ends, "node", "left_semi"), "near")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b), a stored table, that are similar: b walks the prefix trees of its a's."""
         trees = F.ceil(F.col("count") / TREE).cast("int")
@@ -242,46 +275,51 @@ class _Join:
         return similar
 
     def leaders(self) -> DataFrame:
-        """Pairs (a, b) of a set and the leader of a key of its, and of the leaders of a salted key's parts."""
-        own = self.met.select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        """Pairs (a, b) of a set and the leader of a key of its, of sizes that may be similar, and of the leaders of a salted key's parts."""
+        own = self.met.where("least(size, lead_size) * 5 >= greatest(size, lead_size) * 4").select(F.col("node").alias("a"), F.col("lead").alias("b"))
         parts = self.met.where("salt > 0").select("key", F.col("lead").alias("a")).distinct()
         top = parts.groupBy("key").agg(F.min("a").alias("b"))
         return own.unionAll(parts.join(top, "key").select("a", "b")).where("a <> b").distinct()
 
-    def split(self, groups: DataFrame) -> DataFrame:
-        """The rows of keys whose sets are in different components, with their component, the key's commonest one and the number of sets outside it."""
-        named = self.met.select("key", "salt", "node", "size", "at").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = self.kept(named, "named")
-        usual = named.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("count").alias("sets"))
-        usual = usual.where("labels > 1").select("key", F.col("most.label").alias("usual"), (F.col("sets") - F.col("most.count")).alias("apart"))
-        return self.kept(named.join(usual, "key"), "split")
-
-    def other_leaders(self, split: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    def split(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows of keys whose sets are in different components, leaders aside, which have met all, with their component: those of keys of ``MANY`` sets at most, and those of the others with the key's commonest component and the number of sets outside it."""
+        rest = self.met.where("more and (salt > 0 or node <> lead)").select("key", "salt", "node", "size", "at")
+        named = self.kept(rest.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+        # The smaller set of a similar pair has the key early.
+        keys = named.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.expr(EARLY)).alias("early"))
+        split = self.kept(named.join(keys.where("low <> high and early").select("key", "sets"), "key"), "split")
+        few, wide = split.where(F.col("sets") <= MANY), split.where(F.col("sets") > MANY)
+        usual = wide.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"))
+        usual = usual.select("key", F.col("most.label").alias("usual"), F.col("most.count").alias("within"))
+        return few, self.kept(wide.join(usual, "key").withColumn("apart", F.expr("sets - within")), "wide")
+
+    def other_leaders(self, wide: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
         """Pairs (a, b) in different components of a set and another leader of a key of its: one out of the key's commonest component, one from outside it."""
         order = F.xxhash64("node", F.pmod("key", F.lit(LEADERS)), F.lit(turn))
-        many, pairs = split.where(F.col("apart") >= MANY).repartition("key", "salt"), []
+        many, pairs = wide.where(F.col("apart") >= MANY).repartition("key", "salt"), []
         for within in (F.col("label") == F.col("usual"), F.col("label") != F.col("usual")):
             dealt = many.sortWithinPartitions("key", "salt", F.desc(within), order).select("key", "salt", "node", "size", "at")
-            pairs.append(dealt.mapInArrow(_Stars(), "key long, salt smallint, node long, size int, at int, lead long").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+            pairs.append(dealt.mapInArrow(_Stars(), STARS).select(F.col("node").alias("a"), F.col("lead").alias("b")))
         met = pairs[0].unionAll(pairs[1]).where("a <> b").distinct()
         return self.labelled(met, groups).where("of_a <> of_b").select("a", "b")
 
-    def outsiders(self, split: DataFrame) -> DataFrame:
-        """Pairs (a, b) that meet in a key and are in different components, one of which is not the key's commonest; sizes and sketches are compared where two sets meet, so that no row is made of what they rule out."""
-        split = self.kept(split.join(self.sketches.select("node", "sketch"), "node"), "sketched")
-        apart, early = F.col("label") != F.col("usual"), (F.col("size") - F.col("at")) * 9 >= F.col("size") * 8
-
-        def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-            x = left.select("key", F.col("node").alias("a"), F.col("size").alias("n"), F.col("at").alias("i"), F.col("label").alias("of_a"), F.col("sketch").alias("s"))
-            y = right.select("key", F.col("node").alias("b"), F.col("size").alias("m"), F.col("at").alias("j"), F.col("label").alias("of_b"), F.col("sketch").alias("t"))
-            sized = F.expr("of_a <> of_b and least(n, m) * 5 >= greatest(n, m) * 4")
-            # Nested, as sketches are only comparable where the sizes are.
-            may = F.when(sized & _reaches("n", "i", "m", "j"), _close_sketches("s", "t", "n", "m")).otherwise(False)
+    def outsiders(self, split: tuple[DataFrame, DataFrame]) -> DataFrame:
+        """Pairs (a, b) that meet in a key and are in different components, one of which is not the key's commonest. In keys of many sets sizes and sketches are compared where two sets meet, so that no row is made of what they rule out; the others make few pairs, whose sketches are looked up afterwards."""
+        few, wide = split
+        wide = self.kept(wide.join(self.sketches_of(wide.select("node")).select("node", "sketch"), "node"), "sketched")
+        apart, sized = F.col("label") != F.col("usual"), F.expr("of_a <> of_b and least(n, m) * 5 >= greatest(n, m) * 4") & _reaches("n", "i", "m", "j")
+
+        def pairs(left: DataFrame, right: DataFrame, may: Column, *more: str) -> DataFrame:
+            x = left.select("key", F.col("node").alias("a"), F.col("size").alias("n"), F.col("at").alias("i"), F.col("label").alias("of_a"), *[F.col(c).alias("s") for c in more])
+            y = right.select("key", F.col("node").alias("b"), F.col("size").alias("m"), F.col("at").alias("j"), F.col("label").alias("of_b"), *[F.col(c).alias("t") for c in more])
             return x.withColumnRenamed("key", "k").join(y, (F.col("k") == F.col("key")) & may).select("a", "b")
 
+        # Nested, as sketches are only comparable where the sizes are.
+        close = F.when(sized, _close_sketches("s", "t", "n", "m")).otherwise(False)
         # The smaller set of a pair has the key early, so the one or the other is among the early rows.
-        met = pairs(split.where(apart & early), split).unionAll(pairs(split.where(apart), split.where(early)))
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        met = pairs(wide.where(apart & F.expr(EARLY)), wide, close, "sketch").unionAll(pairs(wide.where(apart), wide.where(EARLY), close, "sketch"))
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return met.unionAll(self.sketched(pairs(few, few, F.expr("a < b") & sized).distinct())).distinct()
 
     def groups(self, proposed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """(node, label) of every node that is linked to another; ``proposed`` makes more pairs (a, b) for the first round from (node, fp)."""
@@ -293,9 +331,9 @@ class _Join:
         tried, found = ordered(first), self.linked(self.verified(first))
         split = self.split(found)
         for turn in range(ROUNDS):
-            if split.where(F.col("apart") >= MANY).isEmpty():
+            if split[1].where(F.col("apart") >= MANY).isEmpty():
                 break
-            again = self.kept(self.sketched(self.other_leaders(split, found, turn)), "again")
+            again = self.kept(self.sketched(self.other_leaders(split[1], found, turn)), "again")
             more = self.verified(again)
             tried = tried.unionAll(ordered(again))
             if more.isEmpty():

@@ -167,3 +167,21 @@ def test_keys_of_few_sets_carry_no_sketches(spark, monkeypatch):
     got = setjoin.jaccard_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     assert ordered(map(tuple, got.collect())) == ordered(plain(rows))
     assert made and max(made) <= len(rows)
+
+
+def test_equal_fingerprints_hide_no_near_copies(spark, monkeypatch):
+    """One word repeated outweighs all else, so a dozen pairs of near copies have one fingerprint; ball hashing proposes each set with the smallest only, the set join finds the rest."""
+    made = []
+    plainly = setjoin._ball_pairs
+
+    def counted(*args):
+        pairs = plainly(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(setjoin, "_ball_pairs", counted)
+    base = "x " * 4000
+    rows = [(2 * g + more, base + " ".join([f"g{g}w{k}" for k in range(60)] + ["more"] * more)) for g in range(12) for more in (0, 1)]
+    got = setjoin.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 24, 2))
+    assert made == [len(rows) - 1]

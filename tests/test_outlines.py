@@ -109,3 +109,19 @@ def test_rounds_leave_one_table(spark, monkeypatch):
         line = spark.range(39).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
         assert {r.root for r in components.components(scratch, line).collect()} == {0}
         assert tables(scratch) == 2
+
+
+@pytest.mark.parametrize(("size", "most"), [(64, 0), (8, 120)])
+def test_rounds_hold_what_crosses_tiles(spark, monkeypatch, size, most):
+    """Borders within a tile take part in no round, the others by one row for each time they enter one."""
+    made, plainly = [], outlines.ranked_circles
+
+    def counted(scratch, steps):
+        made.append(steps.count())
+        return plainly(scratch, steps)
+
+    monkeypatch.setattr(outlines, "ranked_circles", counted)
+    with Scratch(spark) as scratch:
+        got = _read(outlines.outlines(scratch, rasters.tiles(_frame(spark, {7: SHAPES[7], 8: SHAPES[8]}), size), corners_only=False, size=size))
+    assert [got[k] for k in (7, 8)] == [sorted((hole, _turned(p)) for hole, p in _walks(SHAPES[k])) for k in (7, 8)]
+    assert made[0] <= most

@@ -167,3 +167,29 @@ def test_eight_variants(spark, images):
     for r in variants.digests(tiles, SIZE).collect():
         flat = some[r.image].ravel().astype(int)
         assert r.digest == sum((v + 1) * ((k * 40503 + 12345) % 65521) for k, v in enumerate(flat.tolist()))
+
+
+@pytest.mark.parametrize("kind", ["enhanced", "forms"])
+def test_whole_rasters_as_tiles(spark, monkeypatch, images, kind):
+    """Rasters that are not cut give what their tiles give, without a shuffle."""
+    some = _frame(spark, {k: a for k, a in images.items() if k in (1, 2, 4, 6)})
+    if kind == "enhanced":
+        crops = some.selectExpr("*", "image % 2 = 0 AS torso", "IF(image = 2, NULL, named_struct('x0', 2D, 'y0', 1D, 'x1', 9D, 'y1', 7D)) AS box")
+        made = lambda: variants.enhanced_digests(crops, 2, SIZE)
+    else:
+        made = lambda: variants.form_digests(some, SIZE)
+    got = made()
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(map(tuple, got.collect()))
+    monkeypatch.setattr(variants, "WHOLE", 300)  # images 1 and 6 are cut
+    cut = made()
+    assert "Exchange" in cut._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, cut.select(got.columns).collect())) == whole
+    assert len(whole) == 4 * (8 if kind == "enhanced" else 5)
+
+
+def test_queries_shuffle_no_pictures(spark):
+    from trackloom.plans import images as queries
+
+    for query in (queries.number_variants,):
+        assert "Exchange" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

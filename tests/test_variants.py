@@ -191,5 +191,5 @@ def test_whole_rasters_as_tiles(spark, monkeypatch, images, kind):
 def test_queries_shuffle_no_pictures(spark):
     from trackloom.plans import images as queries
 
-    for query in (queries.number_variants,):
+    for query in (queries.number_variants, queries.reading_forms):
         assert "Exchange" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

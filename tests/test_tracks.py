@@ -303,3 +303,31 @@ def test_few_pairs_cost_what_many_do(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(tracks, "FEW", 0)
             assert few == tracks._costs(active, found, 6)
+
+
+def test_cheapest_of_pieces(monkeypatch):
+    """Two pieces held against each other leave few pairs, with each detection's cheapest among them, ties to the smaller ids."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    monkeypatch.setattr(tracks, "_ROWS", 7)
+
+    def side(n):
+        x, y = r.integers(0, 40, n) * 20.0, r.integers(0, 4, n) * 20.0
+        v = np.stack([x, y, x, y + 4, x - 4, y - 9, x + 4, y + 9, x / 100, y / 100, np.ones(n), np.full(n, np.nan)], axis=1)
+        for columns in ((0, 1), (2, 3), (4, 5, 6, 7), (8, 9, 10)):
+            for k in columns:
+                v[r.random(n) < 0.1, k] = np.nan
+        return np.concatenate([v, np.isnan(v)], axis=1)
+
+    a, b = side(90), side(80)
+    ids = r.permutation(500)[:90], r.permutation(500)[:80]
+    with np.errstate(all="ignore"):
+        cost, gates = tracks._pair_costs(a[:, :12], b[:, :12], a[:, 12:] > 0, b[:, 12:] > 0)
+        near = np.logical_or.reduce([np.broadcast_to(d <= most, cost.shape) for d, most in gates]) & (cost <= 2.85)
+    order = sorted((round(float(cost[i, j]), 9), int(ids[0][i]), int(ids[1][j])) for i, j in zip(*np.nonzero(near), strict=True))
+    want = {min((x for x in order if x[k] == i), key=lambda x: (x[0], x[3 - k]))[1:] for k in (1, 2) for i in {x[k] for x in order}}
+    got = list(zip(*(v.tolist() for v in tracks._cheapest([a, b], list(ids), 2.85, 2e-9)), strict=True))
+    sorted_got = set(got)
+    assert len(got) == len(sorted_got) and sorted_got <= {x[1:] for x in order}
+    assert want <= sorted_got and len(got) < 0.2 * len(order)
